@@ -7,8 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import packing
-from tracewright.llm.common import table
+from tracewright.llm import langid, packing, token_files
+from tracewright.llm.common import scratch, table
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    predicted = langid.predict(docs, langid.train(docs), keep=["doc_id"])
+    return predicted.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), scratch(spark, "token-files"), length=1024, end_id=2)
+    return token_files.read_token_files(index).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +28,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_packing": op10_packing}
+    return {
+        "op5_language_id": op5_language_id,
+        "op8_token_files": op8_token_files,
+        "op10_packing": op10_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
