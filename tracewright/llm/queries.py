@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import langid, packing, token_files
+from tracewright.llm import audio, chat, langid, packing, token_files
 from tracewright.llm.common import scratch, table
 
 
@@ -17,11 +17,23 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary, control = public_tokenizers.path("byte_bpe_50k.json"), "<|im_end|><|im_start|>assistant ok"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_conversations(turns.unionByName(planted), vocabulary), vocabulary).drop("n_tokens", "n_loss_tokens")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), scratch(spark, "token-files"), length=1024, end_id=2)
     return token_files.read_token_files(index).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = audio.extract(audio.stored(table(spark, sf_dir, "documents")), tensors=False)
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "n_segments")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), longest=1024, end_id=0, keep_ids=False)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -30,7 +42,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_language_id": op5_language_id,
+        "op7_chat_format": op7_chat_format,
         "op8_token_files": op8_token_files,
+        "op9_audio_features": op9_audio_features,
         "op10_packing": op10_packing,
     }
 
