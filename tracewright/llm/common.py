@@ -1,47 +1,26 @@
-"""What the operators of this subpackage share: reading tables and cutting lineage."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewright.sources.shared import materialize, scratch, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where the setting is absent (local tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+__all__ = ["materialize", "running_total", "scratch", "shared_dir", "table"]
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df once as Parquet in the shared folder and reads it back, so that later jobs neither recompute it nor depend on executors that may be lost."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def running_total(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
     """Adds `out`: the sum of `value` over all rows that sort before this one by `order`.
 
     `df` should be narrow and already materialized. Rows are range-partitioned, so no task sees more than its range;
-    only one total per range goes through the single-row-per-partition window.
+    only one total per range goes through the window without a key.
     """
     ranged = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "ranges")
-    from pyspark.sql import Window
-
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("_part").agg(F.sum(value).alias("_sum")).select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
     within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracewright.llm import audio, chat, langid, packing, token_files
+from tracewright.llm import audio, chat, langid, packing, simhash, token_files
 from tracewright.llm.common import scratch, table
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     predicted = langid.predict(docs, langid.train(docs), keep=["doc_id"])
@@ -41,6 +47,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_simhash": op4_simhash,
         "op5_language_id": op5_language_id,
         "op7_chat_format": op7_chat_format,
         "op8_token_files": op8_token_files,
