@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import audio, chat, decontam, langid, packing, secrets, simhash, token_files
+from tracewright.llm import audio, chat, decontam, langid, lines, packing, secrets, simhash, token_files
 from tracewright.llm.common import scratch, table
 
 
@@ -31,6 +31,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary, control = public_tokenizers.path("byte_bpe_50k.json"), "<|im_end|><|im_start|>assistant ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -59,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secret_scan": op3_secret_scan,
         "op4_simhash": op4_simhash,
         "op5_language_id": op5_language_id,
+        "op6_line_dedup": op6_line_dedup,
         "op7_chat_format": op7_chat_format,
         "op8_token_files": op8_token_files,
         "op9_audio_features": op9_audio_features,
