@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import audio, chat, decontam, langid, lines, packing, secrets, simhash, token_files
+from tracewright.llm import audio, chat, decontam, langid, lines, packing, secrets, simhash, suffix, token_files
 from tracewright.llm.common import scratch, table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(suffix.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -60,6 +64,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_decontamination": op2_decontamination,
         "op3_secret_scan": op3_secret_scan,
         "op4_simhash": op4_simhash,
