@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.plans import behaviour
+from tracewright.plans import behaviour, intents, markets
 
-MODULES = (behaviour,)
+MODULES = (behaviour, intents, markets)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
