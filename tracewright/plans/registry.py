@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.plans import behaviour, intents, markets, statistics
+from tracewright.plans import behaviour, intents, markets, reports, statistics
 
-MODULES = (behaviour, intents, markets, statistics)
+MODULES = (behaviour, intents, markets, statistics, reports)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
