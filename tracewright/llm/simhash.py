@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewright.llm.common import materialize
 from tracewright.operators.graph import connected_components
@@ -24,6 +25,8 @@ SHINGLE, SEED = 4, 42
 RADIUS = 4
 #: Distinct fingerprints on one half-variant up to which its pairs are compared; more of them meet on full variants.
 SMALL = 48
+#: Rows of (key, number) up to which the keys that many fingerprints share are broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
 def fingerprint(text: str) -> int:
@@ -46,14 +49,15 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (signed long). Null text counts as empty: fingerprint zero."""
+def with_fingerprints(df: DataFrame, text_col: str, fp_col: str = "fp") -> DataFrame:
+    """All columns of df, in which `text_col` is a string, and the fingerprint of each row."""
+    place = df.columns.index(text_col)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t.as_py() or "") for t in batch.column(1)], pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([fingerprint(t.as_py() or "") for t in batch.column(place)], pa.int64())], names=[*batch.schema.names, fp_col])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(compute, "doc_id long, fp long")
+    return df.mapInArrow(compute, T.StructType([*df.schema.fields, T.StructField(fp_col, T.LongType())]))
 
 
 def half_variants(fps: DataFrame) -> DataFrame:
@@ -85,16 +89,33 @@ def links(fps: DataFrame) -> DataFrame:
     return two.unionByName(some).unionByName(stars).distinct()
 
 
+def groups(marked: DataFrame) -> DataFrame:
+    """fp, component for every distinct fingerprint: the least fingerprint reachable."""
+    nodes = materialize(marked.select("fp").distinct(), "simhash-nodes")
+    joined = connected_components(links(nodes)).withColumnRenamed("node", "fp")
+    return nodes.join(joined, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id: the least doc_id reachable over links of RADIUS bits or fewer, the document itself included.
 
     One row per input row. Equal fingerprints are one node, so copies cost nothing further; empty and null texts share the fingerprint zero. Null ids
     never become a component_id unless a whole component has no other; other columns are ignored; an empty table gives no rows.
     """
-    marked = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    joined = connected_components(links(nodes.select("fp")))
-    labelled = nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    marked = materialize(with_fingerprints(narrow, "text").select("doc_id", "fp"), "fingerprints")
+    labelled = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).join(groups(marked), "fp")
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     named = labelled.join(least, "component").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs per group of near-duplicates, columns unchanged: the one of least id (nulls last); of rows that share the id, any one."""
+    marked = with_fingerprints(docs.withColumn("_row", F.monotonically_increasing_id()), text_col, "_fp")
+    marked = materialize(marked, "simhash-documents")
+    narrow = marked.select(F.col("_fp").alias("fp"), F.col(f"`{id_col}`").alias("_id"), "_row")
+    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row"))
+    kept = materialize(narrow.join(groups(narrow), "fp").groupBy("component").agg(F.min_by("_row", order).alias("_row")).select("_row"), "simhash-kept")
+    kept = F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+    return marked.join(kept, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
