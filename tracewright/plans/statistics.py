@@ -158,7 +158,7 @@ def b15_backtest(spark, d):
 def _new(spark, d, layer="primary", half=None):
     labels = day_labels(spark, d)
     ep = day_episodes(spark, d)
-    ep = ep if half is None else ep.where(F.pmod(F.crc32("episode_id"), F.lit(2)) == half)
+    ep = ep if half is None else ep.where(F.floor(F.col("start_ts") / 3600) % 2 == half)
     return I.new_observations(ep, labels, labels.where("false"), layer)
 
 
@@ -321,6 +321,8 @@ ORACLES = {
     "i12_maturity": f"""WITH {_MATURE} SELECT CASE WHEN n < 20 THEN 'EARLY' WHEN n >= 100 AND (lo > 0 OR hi < 0) AND q <= 0.05 AND tm * sm > 0 AND coalesce(acc, 0) >= 0.6 THEN 'ROBUST' WHEN n >= 50 AND (lo > 0 OR hi < 0) AND tm * sm > 0 AND coalesce(acc, 0) >= 0.55 THEN 'ESTABLISHING' ELSE 'PROMISING' END AS maturity,
       count(*) AS groups, CAST(sum(n) AS BIGINT) AS n FROM mm GROUP BY 1""",
     "i13_train_mean": f"WITH {_MATURE} SELECT {_KS}, round(tm, 6) AS train_mean FROM mm",
+    "i14_change_feed": f"""WITH {_NEW}, c AS (SELECT pattern_key, count(*) AS n, count(*) FILTER ((start_ts // 3600) % 2 = 0) AS b FROM nw GROUP BY 1), m AS (SELECT pattern_key, max(mark) AS m FROM c, (SELECT unnest({list(I.MILESTONES)}) AS mark) WHERE mark > b AND mark <= n GROUP BY 1)
+      SELECT kind, detail, count(*) AS n FROM (SELECT 'sample' AS kind, CAST(n AS VARCHAR) AS detail FROM c WHERE n - b >= 5 UNION ALL SELECT 'milestone', CAST(m AS VARCHAR) FROM m UNION ALL SELECT 'maturity', 'PROMISING' FROM c WHERE b > 0 AND b < 20 AND n >= 20) GROUP BY 1, 2""",
     "i16_candidates": f"WITH {EV} SELECT 'tx' || event_id AS tx_hash, chain, usd_value FROM ev WHERE k % 5 <> 0 AND k % 3 <> 0 AND usd_value >= 50 ORDER BY usd_value DESC, tx_hash, chain LIMIT 300",
     "i17_invalidated": f"WITH {EV}, t AS (SELECT *, 'tx' || (CAST(event_id AS BIGINT) % 100) AS tx_hash FROM ev) SELECT event_id FROM t WHERE (tx_hash, chain) IN (SELECT (tx_hash, chain) FROM t WHERE k = 3)",
     "i15_fingerprint": f"WITH {_NEW} SELECT sha256((SELECT count(*) FROM nw) || '|' || (SELECT CAST(sum(len(patterns)) AS BIGINT) FROM obs WHERE intent IS NOT NULL)) AS fingerprint",
