@@ -26,10 +26,10 @@ from tracewright.llm.common import materialize
 LENGTH, GRAM = 200, 32
 #: Bytes handled at a time for long texts.
 BLOCK = 1 << 20
-#: Places that share a key from which on its pieces are grouped window by window.
-HOT = 2000
+#: Distinct pieces of a key above which they are grouped window by window.
+HOT = 3000
 #: Bytes of pieces that are sorted together.
-SORTED = 400_000
+SORTED = 200_000
 #: Bits (as a power of two) of the filter that keeps pieces of other keys out of shuffles: 4 MB, whatever the corpus. It only saves work; when full, nothing is lost.
 FILTER = 25
 #: Spans up to which they are broadcast to the texts; beyond, the join shuffles.
@@ -219,7 +219,7 @@ def _trees(distinct: DataFrame) -> DataFrame:
 
 
 def _windows(distinct: DataFrame) -> DataFrame:
-    """The same for keys of very many places: single windows that occur twice, grouped by content."""
+    """The same for keys of very many places: single windows that occur twice, grouped by content. Cutting makes many rows of one piece, so the pieces are spread first."""
     schema = pa.schema([("key", pa.int64()), ("content", pa.binary()), ("offset", pa.int64()), ("window", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +229,7 @@ def _windows(distinct: DataFrame) -> DataFrame:
             for key, content, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 yield _batch([(key, content, k, xxh3_128_digest(body[k : k + LENGTH])) for k in range(len(body) - LENGTH + 1)], schema)
 
-    each = distinct.select("key", "content", "body").mapInArrow(cut, "key long, content binary, offset long, window binary")
+    each = distinct.select("key", "content", "body").repartition("content").mapInArrow(cut, "key long, content binary, offset long, window binary")
     twice = each.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
     return each.join(twice, "window").select("key", "content", "offset", F.lit(LENGTH).cast("long").alias("length"), F.xxhash64("window").alias("repeat"))
 
@@ -252,7 +252,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     mixed = shared.where("only is null")
     found = _emit(texts, ["key", "content", "body"], key_filter(mixed)).groupBy("key", "content").agg(F.count("*").alias("n"), F.min("body").alias("body"))
     distinct = materialize(found, "repeat-pieces")
-    hot = mixed.where(F.col("n") > HOT).select("key")
+    hot = distinct.groupBy("key").agg(F.count("*").alias("pieces")).where(F.col("pieces") > HOT).select("key")
     few = F.broadcast(hot) if hot.count() <= BROADCAST_SPANS else hot
     alone = shared.where("only is not null").select("key", F.col("only").alias("content"))
     copied = distinct.where("n > 1").select("key", "content").unionByName(alone).select("key", "content", F.lit(0).cast("long").alias("offset"), F.lit(None).cast("long").alias("length"), F.xxhash64("content").alias("repeat"))
