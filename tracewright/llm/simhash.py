@@ -75,15 +75,27 @@ def full_variants(fps: DataFrame) -> DataFrame:
     return pairs.select(F.col("fp").bitwiseXOR(mask).alias("key"), "fp")
 
 
+def bucket_links(fps: str) -> str:
+    """SQL for the links that join up one bucket (a sorted array column): every member near the first one is linked to it, every other one to a single near member of
+    those, and the others among themselves. These have the components of all pairs."""
+    close = lambda a, b: f"bit_count({a} ^ {b}) <= {RADIUS}"
+    near, rest = (f"filter({fps}, x -> {how} {close('x', f'{fps}[0]')})" for how in ("", "not"))
+    star = f"transform(slice({near}, 2, size({fps})), x -> struct({fps}[0] as src, x as dst))"
+    one = f"flatten(transform({rest}, r -> slice(transform(filter({near}, x -> {close('x', 'r')}), x -> struct(x as src, r as dst)), 1, 1)))"
+    among = f"flatten(transform({rest}, (r, i) -> transform(filter(slice({rest}, i + 2, size({fps})), x -> {close('x', 'r')}), x -> struct(r as src, x as dst))))"
+    return f"concat({star}, {one}, {among})"
+
+
 def links(fps: DataFrame) -> DataFrame:
     """src, dst: links between distinct fingerprints (column fp, each once) whose components are those of all pairs within RADIUS bits."""
     close = F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= RADIUS
     emitted = half_variants(fps)
     met = materialize(emitted.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("src"), F.max("fp").alias("dst")).where("n > 1"), "simhash-met")
     two = met.where("n = 2").select("src", "dst").where(close)
-    members = materialize(emitted.join(met.where("n > 2").select("key", "n"), "key"), "simhash-members")
+    more = met.where("n > 2").select("key", "n")
+    members = materialize(emitted.join(F.broadcast(more) if more.count() <= BROADCAST_ROWS else more, "key"), "simhash-members")
     few = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-    some = few.select("fps", F.posexplode("fps").alias("at", "src")).select("src", F.explode(F.expr("slice(fps, at + 2, size(fps))")).alias("dst")).where(close)
+    some = few.select(F.explode(F.expr(bucket_links("fps"))).alias("e")).select("e.src", "e.dst")
     dense = members.where(F.col("n") > SMALL).select("fp").distinct()
     stars = full_variants(dense).withColumn("src", F.min("fp").over(Window.partitionBy("key"))).where("src != fp").select("src", F.col("fp").alias("dst"))
     return two.unionByName(some).unionByName(stars).distinct()
