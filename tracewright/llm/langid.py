@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 16
 #: Lengths of the n-grams.
 ORDERS = (1, 2, 3)
-#: Labelled documents that the counts are taken from at most: those with the smallest hash of text. The bound on the fit's cost.
+#: Labelled documents that the counts are taken from, about: more are thinned by a hash of their text. The bound on the fit's cost.
 TRAIN_ROWS = 20_000
 #: Added to every count.
 SMOOTHING = 0.5
@@ -77,13 +77,14 @@ def held_out(id_col: str = "doc_id"):
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> Model:
-    """Counts n-grams of labelled documents outside the held-out fold, at most `rows` of them (by smallest hash of the text); counting is done by the executors.
+    """Counts n-grams of labelled documents outside the held-out fold: all, or about `rows` of them, chosen by a hash of the text; counting is done by the executors, where the text is read.
 
     What reaches the driver is one count per language and used bucket: at most BUCKETS x languages numbers. Rows with null text or language are left
     out. With no labelled row the model knows no language.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(id_col)).select("lang", "text")
-    sample = labelled.withColumn("_h", F.xxhash64("text")).orderBy("_h", "lang").limit(rows).select("lang", "text")
+    share = rows / max(rows, labelled.count())
+    sample = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -98,7 +99,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> Mo
             used = np.flatnonzero(into)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(into[used], pa.int64())], names=["lang", "bucket", "n"])
 
-    counts = sample.repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(count, "lang string, bucket int, n long")
+    counts = sample.mapInArrow(count, "lang string, bucket int, n long")
     found = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["lang"].unique())
     table = np.zeros((BUCKETS + 1, len(languages)))
