@@ -219,6 +219,21 @@ def e13_wallet_context(spark, d):
     return episodes.context_asof(probes, series, ["wallet"], ("history",)).select("event_id", F.col("ctx_history").alias("history"))
 
 
+def e12_context_all(spark, d):
+    """The contexts of every event; e12_context_asof asks for a seventh of them, as its twin's SQL does."""
+    probes = X.events(spark, d).select("event_id", "entity_id", "chain", F.col("ts").alias("start_ts"))
+    found = episodes.context_asof(probes, X.series(spark, d), ["entity_id"], CONTEXTS)
+    return found.select("event_id", *[F.col(f"ctx_{k}").alias(k) for k in CONTEXTS])
+
+
+def e13_wallet_context_all(spark, d):
+    """The wallet's context an hour before every event; e13_wallet_context asks for a fifth of them, as its twin's SQL does."""
+    ev = X.events(spark, d)
+    series = ev.groupBy("wallet", F.lit("history").alias("kind"), "chain", F.col("ts").alias("time"), F.lit(0).alias("captured_at")).agg(F.max("usd_value").alias("value"))
+    probes = ev.select("event_id", "wallet", "chain", (F.col("ts") - 3600).alias("start_ts"))
+    return episodes.context_asof(probes, series, ["wallet"], ("history",)).select("event_id", F.col("ctx_history").alias("history"))
+
+
 def e14_enrichment(spark, d):
     ev = X.events(spark, d).withColumn("tx_hash", F.concat(F.lit("tx"), F.col("event_id").cast("long") % 900))
     enrich = ev.where("k % 6 in (0, 1)").groupBy("tx_hash", "chain", F.when(F.col("k") % 6 == 0, "status").otherwise("trace").alias("source")).agg(F.max("event_id").alias("payload"))
