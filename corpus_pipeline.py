@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import decontam, langid, lines, packing, simhash
+from tracewright.llm import decontam, langid, packing, similar, simhash
 from tracewright.llm.common import materialize, table
 
 #: Least posterior probability of the predicted language; below it, as without any letter, a document is rejected.
@@ -21,7 +21,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes lines that came before, here or in another document; documents that lose every line go."""
-    kept = lines.dedup_lines(docs)
+    kept = similar.dedup_lines(docs)
     whole = kept.where((F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0))
     return whole.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 

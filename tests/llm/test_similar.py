@@ -1,0 +1,82 @@
+"""Line groups of op6 against brute force on edit similarity alone, without a fingerprint."""
+
+import random
+
+from test_lines import edits, normal
+
+from tracewright.llm import lines, queries, similar
+from tracewright.llm.common import table
+
+
+def near(a, b):
+    return min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and edits(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9)
+
+
+def edited(seed=3):
+    """Lines of many lengths, most with a copy in which a word or a few letters differ."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+    out = []
+    for words in [1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 30, 40, 60] * 3:
+        line = [word() for _ in range(words)]
+        out.append(" ".join(line))
+        other = list(line)
+        if words > 4:
+            other[rng.randrange(words)] = word()
+        else:
+            k = rng.randrange(words)
+            other[k] = other[k][:-1] + "q"
+        out.append(" ".join(other))
+    return out
+
+
+def linked(spark, names):
+    """Pairs of lines and whether one of them was removed as the other's repetition; each pair stands in documents of its own."""
+    docs = spark.createDataFrame(list(enumerate(names)), "doc_id long, text string")
+    return {r["doc_id"]: r["n_removed"] for r in similar.dedup_lines(docs).collect()}
+
+
+def test_lines_with_small_edits_are_linked(spark):
+    names = edited()
+    pairs = [k for k in range(0, len(names), 2) if names[k] != names[k + 1] and near(names[k], names[k + 1])]
+    removed = linked(spark, names)
+    found = sum(removed[k + 1] for k in pairs)
+    print(f"{found} of {len(pairs)} pairs")
+    assert len(pairs) > 25 and found >= 0.95 * len(pairs)
+    apart = [k for k in range(len(names)) if not any(near(names[k], x) for j, x in enumerate(names) if j != k)]
+    assert not any(removed[k] for k in apart)
+
+
+def components(names, pairs):
+    up = {n: n for n in names}
+
+    def top(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for a, b in pairs:
+        up[top(a)] = top(b)
+    return {n: top(n) for n in names}
+
+
+def test_query_against_all_pairs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").collect()
+    names = sorted({normal(x) for _, t in docs if t for x in t.split("\n")} - {""})
+    names = [n for n in names if len(n) < 300]
+    grams = {n: {n[k : k + 3] for k in range(len(n) - 2)} for n in names}
+    # Edit similarity 0.8 leaves at least this many places of a trigram untouched; sets of them are smaller by the repetitions.
+    may = lambda a, b: min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(grams[a] & grams[b]) >= 0.3 * max(len(grams[a]), len(grams[b]))
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if may(a, b) and near(a, b)]
+    assert len(pairs) > 10
+    prints, groups = similar.similar_groups(table(spark, sf_dir, "documents"), "doc_id", "text")
+    first = {r["id"]: r["component"] for r in groups.collect()}
+    ids = {(r["h1"], r["h2"]): r["id"] for r in prints.collect()}
+    frame = spark.createDataFrame([(n,) for n in names], "norm string").selectExpr("norm", "xxhash64(norm) h1", "xxhash64(1, norm) h2")
+    place = {r["norm"]: ids[r["h1"], r["h2"]] for r in frame.collect()}
+    lost = [p for p in pairs if first.get(place[p[0]]) is None or first.get(place[p[0]]) != first.get(place[p[1]])]
+    print(f"{len(pairs) - len(lost)} of {len(pairs)} pairs")
+    assert not lost
+    want = {r["doc_id"]: r["n_removed"] for r in similar.dedup_lines(table(spark, sf_dir, "documents")).collect()}
+    assert {r["doc_id"]: r["n_removed"] for r in queries.op6_line_dedup(spark, sf_dir).collect()} == want
+    assert sum(want.values()) > sum(r["n_removed"] for r in lines.dedup_lines(table(spark, sf_dir, "documents")).collect())

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import audio, chat, decontam, langid, lines, packing, secrets, simhash, suffix, token_files
+from tracewright.llm import audio, chat, decontam, langid, packing, secrets, similar, simhash, suffix, token_files
 from tracewright.llm.common import scratch, table
 
 
@@ -37,7 +37,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    kept = similar.dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

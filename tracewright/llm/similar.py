@@ -1,0 +1,88 @@
+"""Candidates for line dedup that survive small edits: MinHash over character grams, in DataFrame functions only.
+
+The words' SimHash of `lines` loses most pairs of edit similarity 0.8. Here every line of 5 or more characters (a shorter one allows no edit) has the minima of MINIMA hashes over its
+grams, and BANDS of three minima are its keys; lines that share one are compared by edit similarity alone. Short lines have shorter grams; the families of lengths
+overlap, so that any two lines whose lengths allow the similarity are in one family together.
+"""
+
+from __future__ import annotations
+
+import random
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tracewright.llm import lines
+from tracewright.llm.common import materialize
+from tracewright.operators.graph import connected_components
+
+#: Least and greatest length in characters, and characters of a gram.
+FAMILIES = ((5, 20, 2), (17, 40, 4), (33, None, 7))
+MINIMA = 24
+#: No two of these share more than one minimum.
+BANDS = [(k, (k + 1) % MINIMA, (k + 3) % MINIMA) for k in range(MINIMA)]
+#: Lines of a bucket whose pairs are all compared at once; in larger ones, only lines that are still in different components.
+SMALL = 48
+
+
+def line_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per distinct line: h1, h2, id, first (its first place), n (occurrences), len, keys. Lines are shuffled once, to (h1, h2)."""
+    place = F.struct("doc", "text_hash", "line_no")
+    distinct = lines.occurrences(docs, id_col, text_col).groupBy("h1", "h2").agg(F.min("norm").alias("norm"), F.min(place).alias("first"), F.count("*").alias("n"))
+    length = F.length("norm")
+    gram = [F.when((length >= low) & (length <= high if high else F.lit(True)), F.lit(q)) for low, high, q in FAMILIES]
+    sizes = F.filter(F.array(*gram), lambda q: q.isNotNull())
+    each = distinct.select("h1", "h2", "first.*", "n", "norm", length.alias("len"), F.explode(F.when(F.size(sizes) > 0, sizes).otherwise(F.array(F.lit(0)))).alias("q"))
+    at = each.select("*", F.explode(F.when(F.col("q") > 0, F.sequence(F.lit(1), F.col("len") - F.col("q") + 1)).otherwise(F.array(F.lit(1)))).alias("i"))
+    hashed = at.select("h1", "h2", "doc", "text_hash", "line_no", "n", "len", "q", F.xxhash64(F.col("norm").substr(F.col("i"), F.col("q"))).alias("x"))
+    salts = [random.Random(k).getrandbits(63) for k in range(MINIMA)]
+    named = ["h1", "h2", "doc", "text_hash", "line_no", "n", "len"]
+    minima = hashed.groupBy(*named, "q").agg(*[F.min(F.xxhash64(F.col("x").bitwiseXOR(F.lit(s)))).alias(f"m{k}") for k, s in enumerate(salts)])
+    keys = F.array(*[F.xxhash64("q", F.lit(b), *[f"m{k}" for k in band]) for b, band in enumerate(BANDS)])
+    whole = minima.select(*named, F.when(F.col("q") > 0, keys).otherwise(F.array().cast("array<bigint>")).alias("keys")).groupBy(*named).agg(F.flatten(F.collect_list("keys")).alias("keys"))
+    return materialize(whole.select("h1", "h2", F.monotonically_increasing_id().alias("id"), place.alias("first"), "n", "len", "keys"), "line-keys")
+
+
+def _fits(a, b):
+    return F.least(a, b) >= F.greatest(a, b) * lines.SIMILARITY
+
+
+def _across(members: DataFrame, reached: DataFrame) -> DataFrame:
+    """a, b, cb: lines that share a bucket and are in different components, from the side that is not in the bucket's largest component. cb is b's component."""
+    placed = materialize(members.join(reached, "id", "left").select("key", "id", "len", F.coalesce("component", "id").alias("component")), "line-placed")
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", "n").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
+    outside = placed.join(sizes, "key").where(F.col("component") != F.col("main")).select("key", F.col("id").alias("a"), F.col("len").alias("la"), F.col("component").alias("ca"), "main")
+    inside = placed.select("key", F.col("id").alias("b"), F.col("len").alias("lb"), F.col("component").alias("cb"))
+    one_side = (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))
+    return outside.join(inside, "key").where((F.col("ca") != F.col("cb")) & _fits(F.col("la"), F.col("lb")) & one_side).select("a", "b", "cb")
+
+
+def similar_groups(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The lines of line_keys(), and id, component for those that are linked to another: the least id of the group."""
+    prints = line_keys(docs, id_col, text_col)
+    emitted = prints.select("id", "len", F.explode("keys").alias("key"))
+    crowded = materialize(emitted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "line-crowded")
+    members = materialize(emitted.join(lines._small(crowded, crowded.count()), "key"), "line-members")
+    fits = f"y.id < x.id and least(x.len, y.len) >= greatest(x.len, y.len) * {lines.SIMILARITY}D"
+    pair = f"flatten(transform(m, x -> transform(filter(m, y -> {fits}), y -> struct(x.id as a, y.id as b))))"
+    few = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("id", "len")).alias("m")).select(F.explode(F.expr(pair)).alias("e")).select("e.a", "e.b")
+    many = members.where(F.col("n") > SMALL).select("key", "id", "len")
+    pivots = many.groupBy("key").agg(F.min("id").alias("b"), F.min_by("len", "id").alias("lb"))
+    stars = many.join(pivots, "key").where((F.col("id") != F.col("b")) & _fits(F.col("len"), F.col("lb"))).select(F.col("id").alias("a"), "b")
+    pairs = materialize(few.unionByName(stars).distinct(), "line-pairs")
+    used = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(many.select("id")).distinct()
+    wanted = materialize(used.join(prints.select("id", "h1", "h2"), "id"), "line-wanted")
+    found = lines.occurrences(docs, id_col, text_col).select("h1", "h2", "norm").join(lines._small(wanted, wanted.count()), ["h1", "h2"])
+    texts = materialize(found.groupBy("id").agg(F.min("norm").alias("norm")), "line-texts")
+    links = materialize(lines._verified(pairs, texts), "line-links")
+    # One partner per line and foreign component joins most of what belongs together; whatever is still apart is compared in full.
+    for single in (True, False) if not many.isEmpty() else ():
+        apart = _across(many, connected_components(links, "a", "b").withColumnRenamed("node", "id"))
+        apart = apart.groupBy("a", "cb").agg(F.min("b").alias("b")).select("a", "b").distinct() if single else apart.select("a", "b").distinct()
+        links = materialize(links.unionByName(lines._verified(apart, texts)), "line-links")
+    return prints, connected_components(links, "a", "b").withColumnRenamed("node", "id")
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """lines.dedup_lines() with the groups of this module: equal lines, and those linked by an edit similarity of SIMILARITY or more, of any length."""
+    return lines.dedup_lines(docs, id_col, text_col, similar_groups)
