@@ -199,6 +199,36 @@ def extract(media: DataFrame, tensors: bool = True) -> DataFrame:
     return media.select("doc_id", "n_bytes", "media").mapInArrow(read, out)
 
 
+def stored_features(media: DataFrame) -> DataFrame:
+    """extract() with the tensor and the segments' spans of every document, written to the shared folder and read back."""
+    return materialize(extract(media), "tensors")
+
+
+def tensor_feature(data: bytes, n_frames: int, times: list[dict]) -> str:
+    """The digest of one document, from its stored tensor and segments alone: numbers, the means of all filters, and hashes of the patches, their spans and the segments' spans."""
+    read = read_tensors(data)
+    patches = read.column("log_mel").combine_chunks().storage.flatten().to_numpy(zero_copy_only=False) if read.num_rows else np.zeros(0, np.float32)
+    spans = [read.column(c).to_numpy() for c in ("start_s", "end_s")]
+    mean = patches.reshape(-1, MELS)[:n_frames].mean(axis=0, dtype=np.float64)
+    segment = np.array([(t["start_s"], t["end_s"]) for t in times], np.float64)
+    crcs = [zlib.crc32(np.ascontiguousarray(x).tobytes()) for x in (patches, np.stack(spans, axis=1), segment)]
+    return f"frames={n_frames};patches={read.num_rows};segments={len(times)};mean={','.join(f'{x + 0.0:.2f}' for x in mean)};tensor={crcs[0]:08x};spans={crcs[1]:08x};times={crcs[2]:08x}"
+
+
+def from_tensors(stored: DataFrame) -> DataFrame:
+    """The columns of extract() but segments and tensor, with `feature` derived from the tensor that was read back."""
+    kept = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_frames", "n_segments"]
+    out = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, n_segments long, feature string"
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = zip(batch.column("tensor"), batch.column("n_frames").to_pylist(), batch.column("segments").to_pylist(), strict=True)
+            found = [tensor_feature(cell.as_buffer().to_pybytes(), n, times) for cell, n, times in cells]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(found, pa.string())], names=[*kept, "feature"])
+
+    return stored.select(*kept, "segments", "tensor").mapInArrow(digest, out).select(*kept[:7], "feature", *kept[7:])
+
+
 def read_tensors(data: bytes) -> pa.Table:
     """The patches of one media row, as stored in `tensor`."""
     return pa.ipc.open_stream(data).read_all()

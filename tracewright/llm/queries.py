@@ -54,8 +54,8 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = audio.extract(audio.stored(table(spark, sf_dir, "documents")), tensors=False)
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "n_segments")
+    found = audio.stored_features(audio.stored(table(spark, sf_dir, "documents")))
+    return audio.from_tensors(found).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "n_segments")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
