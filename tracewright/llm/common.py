@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewright.sources.shared import materialize, scratch, shared_dir
+from tracewright.sources.shared import discard, materialize, scratch, shared_dir
 
-__all__ = ["materialize", "running_total", "scratch", "shared_dir", "table"]
+__all__ = ["discard", "materialize", "running_total", "scratch", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
