@@ -1,6 +1,8 @@
 """Round trips of tokens, chats and audio, and held-out accuracy of languages."""
 
 import hashlib
+import cmath
+import math
 import re
 import zlib
 
@@ -24,7 +26,6 @@ ENCODERS = {}
 def whole(path, text):
     if path not in ENCODERS:
         ENCODERS[path] = Tokenizer.from_file(path)
-        ENCODERS[path].encode_special_tokens = True
     return ENCODERS[path].encode(text or "", add_special_tokens=False).ids
 
 
@@ -38,14 +39,28 @@ def test_chunks_encode_as_whole_texts(text):
         assert np.frombuffer(ENCODERS[key].ids(text), "<u4").tolist() == whole(path, text)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", " ", "  ", "\n", "hello", "é", "|"]), max_size=8))
+def test_added_tokens_in_texts(parts):
+    for path, keeps in ((BYTE, True), (WORD, False)):
+        enc = ENCODERS.setdefault(("e", path), Encoder(path, keeps, entries=50))
+        assert np.frombuffer(enc.ids("".join(parts)), "<u4").tolist() == whole(path, "".join(parts))
+
+
+def test_ids_of_the_bare_library_for_control_strings():
+    assert np.frombuffer(Encoder(BYTE, True).ids("hello <|endoftext|> world"), "<u4").tolist() == [31373, 220, 50256, 995]
+    assert np.frombuffer(Encoder(WORD, False).ids("hello <|endoftext|> world"), "<u4").tolist() == [3306, 49407, 1002]
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
 def test_packing_round_trip(spark, sf_dir, odd_docs, no_docs):
     for df in (table(spark, sf_dir, "documents"), odd_docs):
-        got = [r.asDict() for r in packing.pieces(df, BYTE).collect()]
+        got = [r.asDict() for r in packing.pack(df, BYTE).collect()]
         assert len({r["sequence_id"] for r in got}) == len(got)
+        assert all(r["ids_crc32"] == zlib.crc32(bytes(r["ids"])) and 4 * r["length"] == len(r["ids"]) for r in got)
         assert all(r["length"] <= 1024 and r["length"] & (r["length"] - 1) == 0 and r["offset"] == 0 for r in got)
         docs = sorted(repr((r["doc_id"], crc([*whole(BYTE, r["text"]), 0]))) for r in df.collect())
         parts, back = {}, []
@@ -56,7 +71,31 @@ def test_packing_round_trip(spark, sf_dir, odd_docs, no_docs):
             if r["start"] + r["length"] == r["doc_tokens"]:
                 back.append(repr((r["doc_id"], zlib.crc32(b"".join(parts.pop("open"))))))
         assert sorted(back) == docs
-    assert packing.pieces(no_docs, BYTE).count() == 0
+    assert packing.pack(no_docs, BYTE).count() == 0
+
+
+def test_buckets_hold_one_length_each(spark, sf_dir, tmp_path):
+    path = f"file://{tmp_path}/buckets"
+    packing.write_buckets(packing.pieces(table(spark, sf_dir, "documents"), BYTE), path)
+    found = spark.read.parquet(path).select("length", F.octet_length("ids").alias("n")).distinct().collect()
+    assert {r["n"] for r in found} == {4 * r["length"] for r in found} and len(found) > 5
+
+
+def test_shards_are_read_across_batches(tmp_path):
+    import pyarrow as pa
+
+    writer = token_files.ShardWriter(f"file://{tmp_path}/shards", 4, pa.uint16())
+    docs = [np.arange(k, k + n) % 60_000 for k, n in enumerate((1, 5000, 3, 4 * token_files.ROWS, 0, 700, 9999))]
+    starts = [writer.add(d) for d in docs]
+    writer.close()
+    reader = token_files.ShardReader(writer.path)
+    assert all(np.array_equal(reader.ids(at, len(d)), d) for at, d in zip(starts, docs, strict=True))
+
+
+def test_sixteen_bits_must_hold_the_vocabulary(spark, no_docs, monkeypatch):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(Exception, match="wide=True"):
+        token_files.write_token_files(docs, WORD, end_id=70_000)
 
 
 def test_token_files_round_trip(spark, sf_dir, odd_docs, no_docs, tmp_path):
@@ -136,6 +175,38 @@ def test_resampling_keeps_a_low_tone_and_drops_a_high_one():
     assert len(audio.resample(np.zeros(441, np.float32), 80, 441)) == 80
 
 
+def test_log_mel_against_sums():
+    rng = np.random.default_rng(3)
+    signal = rng.normal(size=audio.FRAME + 3 * audio.HOP).astype(np.float32)
+    got, energy = audio.log_mel(signal)
+    mel = lambda f: 2595 * math.log10(1 + f / 700)
+    edges = [700 * (10 ** (k * mel(audio.TARGET / 2) / (audio.MELS + 1) / 2595) - 1) for k in range(audio.MELS + 2)]
+    assert len(got) == 4
+    for frame in range(4):
+        x = [float(v) * (0.5 - 0.5 * math.cos(2 * math.pi * k / (audio.FRAME - 1))) for k, v in enumerate(signal[frame * audio.HOP : frame * audio.HOP + audio.FRAME])]
+        power = [abs(sum(v * cmath.exp(-2j * math.pi * k * n / audio.FRAME) for n, v in enumerate(x))) ** 2 for k in range(audio.FRAME // 2 + 1)]
+        for m in range(audio.MELS):
+            low, middle, high = edges[m : m + 3]
+            weight = lambda f, low=low, middle=middle, high=high: max(0.0, min((f - low) / (middle - low), (high - f) / (high - middle)))
+            want = math.log(sum(p * weight(k * audio.TARGET / audio.FRAME) for k, p in enumerate(power)) + 1e-6)
+            assert abs(got[frame, m] - want) < 0.01
+        assert abs(energy[frame] - 10 * math.log10(sum(power) / audio.FRAME + 1e-9)) < 0.01
+
+
+def test_resampling_against_sums():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=300)
+    for up, down in ((1, 2), (80, 441), (3, 2)):
+        n = audio.TAPS * up
+        t = [k - (n - 1) / 2 for k in range(n)]
+        cut = min(1 / up, 1 / down)
+        h = [up * cut * (math.sin(math.pi * cut * v) / (math.pi * cut * v) if v else 1) * (0.54 - 0.46 * math.cos(2 * math.pi * k / (n - 1))) for k, v in enumerate(t)]
+        stuffed = [0.0] * (len(x) * up)
+        stuffed[::up] = x.tolist()
+        want = [sum(h[k] * stuffed[at - k] for k in range(n) if at - k >= 0) for at in range(0, len(stuffed), down)]
+        assert np.allclose(audio.resample(x.astype(np.float32), up, down), want, atol=1e-3)
+
+
 def test_hysteresis_holds_a_segment_open():
     energy = np.array([0, 0, 5, 2, 2, 0, 0, 0, 2, 0], float)
     assert audio.segments(energy) == [(2, 5)] and audio.segments(np.zeros(4)) == []

@@ -25,7 +25,7 @@ TAPS = 24
 FRAME, HOP, MELS = 256, 128, 32
 #: Frames in one patch of the tensor column.
 PATCH = 64
-#: Samples handled at a time, a multiple of what any step needs; bounds a task's memory for long payloads.
+#: Samples whose spectra are computed at a time; they are the largest of what a payload needs, a fixed multiple of its length being the rest.
 BLOCK = 1 << 18
 #: Decibels above the median energy at which a segment opens, and below which it closes.
 OPEN_DB, CLOSE_DB = 3.0, 1.0
@@ -121,14 +121,14 @@ def segments(energy: np.ndarray, open_db: float = OPEN_DB, close_db: float = CLO
 
 
 def features(payload: bytes, rate: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Patches (n x PATCH x MELS, the last filled with zeros), each patch's span in seconds (n x 2), and the energy segments in frames."""
+    """Patches (n x PATCH x MELS in half precision, the last filled with zeros), each patch's span in seconds (n x 2), and the energy segments in frames."""
     from math import gcd
 
     common = gcd(rate, TARGET)
     signal = (np.frombuffer(payload, np.uint8).astype(np.float32) - np.float32(128)) / np.float32(128)
     mel, energy = log_mel(resample(signal, TARGET // common, rate // common))
     n = -(-len(mel) // PATCH)
-    patches = np.zeros((n * PATCH, MELS), np.float32)
+    patches = np.zeros((n * PATCH, MELS), np.float16)
     patches[: len(mel)] = mel
     starts = np.arange(n) * PATCH * HOP / TARGET
     ends = np.minimum(starts + (PATCH * HOP + FRAME - HOP) / TARGET, len(payload) / rate)
@@ -137,8 +137,8 @@ def features(payload: bytes, rate: int) -> tuple[np.ndarray, np.ndarray, list[tu
 
 def tensor_batch(patches: np.ndarray, spans: np.ndarray) -> pa.RecordBatch:
     """Patches as an Arrow fixed-shape tensor column, beside start_s and end_s."""
-    kind = pa.fixed_shape_tensor(pa.float32(), [PATCH, MELS], dim_names=["frame", "mel"])
-    storage = pa.FixedSizeListArray.from_arrays(pa.array(patches.reshape(-1), pa.float32()), PATCH * MELS)
+    kind = pa.fixed_shape_tensor(pa.float16(), [PATCH, MELS], dim_names=["frame", "mel"])
+    storage = pa.FixedSizeListArray.from_arrays(pa.array(patches.reshape(-1), pa.float16()), PATCH * MELS)
     return pa.RecordBatch.from_arrays([pa.ExtensionArray.from_storage(kind, storage), pa.array(spans[:, 0]), pa.array(spans[:, 1])], names=["log_mel", "start_s", "end_s"])
 
 
@@ -171,7 +171,7 @@ def extract(media: DataFrame, tensors: bool = True) -> DataFrame:
     """Features of stored media: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, n_frames, n_segments,
     segments (spans in seconds), feature (a printable digest of the above), and tensor (Arrow stream bytes of the patches; null unless `tensors`).
 
-    Equal media give equal values, since each is computed on its own. A null media column is not expected from stored().
+    Equal media give equal values, since each is computed on its own. A null media value, which stored() never gives, has nulls in all columns but doc_id and n_bytes.
     """
     out = (
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
@@ -185,6 +185,9 @@ def extract(media: DataFrame, tensors: bool = True) -> DataFrame:
         for batch in batches:
             rows = []
             for doc, n_bytes, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if not cell.is_valid:
+                    rows.append((doc, n_bytes, *[None] * (len(kinds) - 2)))
+                    continue
                 media = cell.as_buffer().to_pybytes()
                 payload, rate = wave_payload(media)
                 patches, spans, found = features(payload, rate)
@@ -207,7 +210,7 @@ def stored_features(media: DataFrame) -> DataFrame:
 def tensor_feature(data: bytes, n_frames: int, times: list[dict]) -> str:
     """The digest of one document, from its stored tensor and segments alone: numbers, the means of all filters, and hashes of the patches, their spans and the segments' spans."""
     read = read_tensors(data)
-    patches = read.column("log_mel").combine_chunks().storage.flatten().to_numpy(zero_copy_only=False) if read.num_rows else np.zeros(0, np.float32)
+    patches = read.column("log_mel").combine_chunks().storage.flatten().to_numpy(zero_copy_only=False) if read.num_rows else np.zeros(0, np.float16)
     spans = [read.column(c).to_numpy() for c in ("start_s", "end_s")]
     mean = patches.reshape(-1, MELS)[:n_frames].mean(axis=0, dtype=np.float64)
     segment = np.array([(t["start_s"], t["end_s"]) for t in times], np.float64)
@@ -223,7 +226,7 @@ def from_tensors(stored: DataFrame) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells = zip(batch.column("tensor"), batch.column("n_frames").to_pylist(), batch.column("segments").to_pylist(), strict=True)
-            found = [tensor_feature(cell.as_buffer().to_pybytes(), n, times) for cell, n, times in cells]
+            found = [tensor_feature(cell.as_buffer().to_pybytes(), n, times) if cell.is_valid else None for cell, n, times in cells]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(found, pa.string())], names=[*kept, "feature"])
 
     return stored.select(*kept, "segments", "tensor").mapInArrow(digest, out).select(*kept[:7], "feature", *kept[7:])

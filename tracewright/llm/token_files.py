@@ -16,7 +16,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import materialize, running_total
+from tracewright.llm.common import materialize, running_total, scratch
 from tracewright.llm.tokens import encoder
 
 INDEX = "doc_id long, row long, path string, local long, n_tokens long"
@@ -47,7 +47,7 @@ class ShardWriter:
         self.held_ids += len(ids)
         self.total += len(ids)
         if self.held_ids >= ROWS * self.length:
-            self._flush(self.held_ids // self.length)
+            self._flush(self.held_ids // (ROWS * self.length) * ROWS)
         return at
 
     def _flush(self, rows: int) -> None:
@@ -73,7 +73,7 @@ class ShardWriter:
 
 
 class ShardReader:
-    """Random access to a shard by sequence or by position; record batches all hold ROWS sequences but the last two."""
+    """Random access to a shard by sequence or by position; record batches all hold ROWS sequences but the last two, so a position tells its batch."""
 
     def __init__(self, path: str):
         filesystem, name = fs.FileSystem.from_uri(path)
@@ -81,7 +81,6 @@ class ShardReader:
         self.file = pa.ipc.open_file(source)
         self.length = self.file.schema.field("input_ids").type.list_size
         self.batches: dict[int, pa.RecordBatch] = {}
-        self.starts: list[int] | None = None
 
     def batch(self, k: int) -> pa.RecordBatch:
         if k not in self.batches:
@@ -90,32 +89,35 @@ class ShardReader:
 
     def ids(self, start: int, count: int) -> np.ndarray:
         """`count` ids from position `start` on; only the record batches that hold them are touched."""
-        if self.starts is None:
-            sizes = [self.file.get_batch(k).num_rows * self.length for k in range(self.file.num_record_batches)]
-            self.starts = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-        out, end, k = [], start + count, int(np.searchsorted(self.starts, start, side="right")) - 1
+        out, end, full = [], start + count, ROWS * self.length
+        k = min(start // full, self.file.num_record_batches - 1)
+        low = k * full
         while start < end:
-            column = self.batch(k).column("input_ids")
-            flat, low = column.flatten().to_numpy(zero_copy_only=True), self.starts[k]
-            stop = min(end, self.starts[k + 1])
-            out.append(flat[start - low : stop - low])
-            start, k = stop, k + 1
+            flat = self.batch(k).column("input_ids").flatten().to_numpy(zero_copy_only=True)
+            if start >= low + len(flat):
+                low, k = low + len(flat), k + 1
+                continue
+            out.append(flat[start - low : end - low])
+            start = min(end, low + len(flat))
         return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-def write_token_files(docs: DataFrame, vocabulary: str, folder: str, length: int = 1024, end_id: int = 2, keeps_space: bool = False, wide: bool = False) -> DataFrame:
+def write_token_files(docs: DataFrame, vocabulary: str, folder: str | None = None, length: int = 1024, end_id: int = 2, keeps_space: bool = False, wide: bool = False) -> DataFrame:
     """Writes the ids of all documents in ascending id order, each closed by `end_id`, and returns the index: doc_id, row (place within its shard), path, local (position there), n_tokens.
 
     Ids are stored in 16 bits unless `wide`. Null text counts as empty; null ids sort first; repeated ids keep one entry per row; other columns are
     ignored; an empty table gives an empty index. Sequences of a shard are filled from its own documents, so a shard ends in at most one padded one.
     The index is materialized, so nothing is written a second time when it is read again.
     """
+    folder = folder or scratch(docs.sparkSession, "token-files")
     width = pa.uint32() if wide else pa.uint16()
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("path", pa.string()), ("local", pa.int64()), ("n_tokens", pa.int64())])
     end = end_id.to_bytes(4, "little")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard, row, index = encoder(vocabulary, keeps_space), None, 0, []
+        if not wide and max(enc.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) > 1 << 16:
+            raise ValueError("the vocabulary's ids need wide=True")
         for batch in batches:
             for doc, ids in zip(batch.column(0).to_pylist(), enc.batch(t.as_py() or "" for t in batch.column(1)), strict=True):
                 shard = shard or ShardWriter(folder, length, width)

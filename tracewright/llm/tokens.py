@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 
@@ -24,17 +25,23 @@ BLOCK = 2_000_000
 WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 RUN = re.compile(f"([{WHITE}]{{2,}})")
 ANY = re.compile(f"[{WHITE}]")
+#: A text without any of these has no run of white space, and no white space but spaces and line breaks.
+UNUSUAL = ["  ", "\n\n", "\n ", " \n", *(chr(c) for c in range(0x3001) if ANY.match(chr(c)) and chr(c) not in " \n")]
 
 
 class Encoder:
-    """ids(text) gives the ids as little-endian unsigned 32-bit integers, as Tokenizer.encode(text, add_special_tokens=False) would."""
+    """ids(text) gives the ids as little-endian unsigned 32-bit integers, as Tokenizer.encode(text, add_special_tokens=False) would.
+
+    Keys of the cache are words after a space. A key that begins with a line break stands for that and the word after it, one that begins with a null
+    character for the literal characters after it. Texts that contain an added token of the vocabulary are encoded in one piece.
+    """
 
     def __init__(self, path: str, keeps_space: bool, entries: int = CACHE_ENTRIES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.keeps_space, self.entries, self.cache = keeps_space, entries, {}
         self.separator = "\n" if keeps_space else "|"
         self.newline = self.whole("\n")
@@ -44,66 +51,72 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
+        return next(self.batch([text]))
+
+    def words(self, text: str) -> list[str] | None:
+        """The keys that a text is made of; None if it has to be encoded in one piece."""
+        if any(token in text for token in self.added) or "\0" in text:
+            return None
         if not self.keeps_space:
-            return self._chunks(text.replace("\n", " ").split(" "))
-        if not RUN.search(text):
-            return self._lines(text)
-        out, held = [], ""
-        parts = RUN.split(text)
+            return text.replace("\n", " ").split(" ")
+        if not text:
+            return []
+        if not any(x in text for x in UNUSUAL) and text[0] not in " \n":
+            keys = text.replace("\n", " \n").split(" ")
+            keys[0] = "\0" + keys[0]
+            return keys
+        out, held, parts = [], "", RUN.split(text)
         for k in range(0, len(parts), 2):
-            seg, run = held + parts[k], parts[k + 1] if k + 1 < len(parts) else ""
-            out.append(self._lines(seg))
-            held = ""
+            out += self._lines(held + parts[k])
+            run, held = parts[k + 1] if k + 1 < len(parts) else "", ""
             if run and k + 2 < len(parts) and parts[k + 2]:
-                out.append(self._chunks(["\0" + run[:-1]]))
+                out.append("\0" + run[:-1])
                 if run[-1] == " ":
                     held = " "
                 else:
-                    out.append(self._chunks(["\0" + run[-1]]))
+                    out.append("\0" + run[-1])
             elif run:
-                out.append(self._chunks(["\0" + run]))
-        return b"".join(out)
-
-    def _lines(self, text: str) -> bytes:
-        """Text without runs of white space. A chunk stands for itself after a space, or after the line break that it begins with."""
-        if text.startswith(" "):
-            return self._chunks(text[1:].replace("\n", " \n").split(" "))
-        if text[:1] != "\n" and ANY.match(text):
-            return self._chunks(["\0" + text[0]]) + self._lines(text[1:])
-        return self._chunks(("\n" + text).replace("\n", " \n").split(" ")[1:])[len(self.newline) :] if text else b""
-
-    def _chunks(self, words: list[str]) -> bytes:
-        try:
-            return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            self.learn(words)
-            return b"".join(map(self.cache.__getitem__, words))
-
-    def _literal(self, word: str) -> str:
-        """The characters that a key of the cache stands for: a key that begins with a null character is literal after it."""
-        if not self.keeps_space or word.startswith("\n"):
-            return word
-        return word[1:] if word.startswith("\0") else " " + word
-
-    def learn(self, words: Iterable[str]) -> None:
-        if len(self.cache) > self.entries:
-            self.cache = {}
-        plain = []
-        for word in {w for w in words if w not in self.cache}:
-            if word and not ANY.search(word) and word[0] != "\0" and (self.keeps_space or "|" not in word):
-                plain.append(word)
+                out.append("\0" + run)
+        return out
+
+    def _lines(self, text: str) -> list[str]:
+        """Keys of a text without runs of white space."""
+        if not text:
+            return []
+        if text[0] in " \n":
+            return text.replace("\n", " \n").split(" ")[1:]
+        if ANY.match(text):
+            return ["\0" + text[0], *self._lines(text[1:])]
+        keys = text.replace("\n", " \n").split(" ")
+        keys[0] = "\0" + keys[0]
+        return keys
+
+    def _literal(self, key: str) -> str:
+        """The characters that a key stands for."""
+        if not self.keeps_space or key.startswith("\n"):
+            return key
+        return key[1:] if key.startswith("\0") else " " + key
+
+    def learn(self, keys: Iterable[str]) -> None:
+        """Adds keys to the cache. Those whose word has no white space within are encoded together, each after a separator."""
+        plain, pieces = [], []
+        for key in keys:
+            body = key[1:] if self.keeps_space and key[:1] in ("\0", "\n") else key
+            if body and not ANY.search(body) and (self.keeps_space or "|" not in body):
+                plain.append(key)
+                pieces.append(body if body is not key else " " + body if self.keeps_space else f" {body} ")
             else:
-                self.cache[word] = self.whole(self._literal(word))
+                self.cache[key] = self.whole(self._literal(key))
         for start in range(0, len(plain), LEARN):
             part = plain[start : start + LEARN]
-            ids = np.array(self.tokenizer.encode_batch_fast([("\n " + "\n ".join(part)) if self.keeps_space else "| " + " | ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
-            if len(cuts) == len(part) + 1:
-                for word, a, b in zip(part, cuts, cuts[1:], strict=False):
-                    self.cache[word] = ids[a + 1 : b].tobytes()
+            text = self.separator + self.separator.join(pieces[start : start + LEARN])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts, raw = (4 * np.flatnonzero(ids == self.mark)).tolist(), ids.tobytes()
+            if len(cuts) == len(part):
+                found = zip(part, [raw[a + 4 : b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)], strict=True)
+                self.cache.update((key, self.newline + x if key[0] == "\n" else x) for key, x in found)
             else:
-                for word in part:
-                    self.cache[word] = self.whole(self._literal(word))
+                self.cache.update((key, self.whole(self._literal(key))) for key in part)
 
     def batch(self, texts: Iterable[str]) -> Iterator[bytes]:
         """ids of each text; the new chunks of a block of texts are encoded together."""
@@ -117,14 +130,12 @@ class Encoder:
         yield from self._block(block)
 
     def _block(self, texts: list[str]) -> Iterator[bytes]:
-        seen: set[str] = set()
-        for text in texts:
-            seen.update(text.replace("\n", " \n" if self.keeps_space else " ").split(" "))
-        if self.keeps_space:
-            seen = {w for w in seen if w not in self.cache and not w.startswith("\0")}
-        self.learn(seen)
-        for text in texts:
-            yield self.ids(text)
+        if len(self.cache) > self.entries:
+            self.cache = {}
+        split = [self.words(text) for text in texts]
+        self.learn(set(filterfalse(self.cache.__contains__, chain.from_iterable(keys for keys in split if keys))))
+        for text, keys in zip(texts, split, strict=True):
+            yield self.whole(text) if keys is None else b"".join(map(self.cache.__getitem__, keys))
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
