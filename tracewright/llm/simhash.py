@@ -8,7 +8,8 @@ emit their whole ball over all 64 bits instead. Those that meet on a full varian
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import materialize
+from tracewright.llm.common import discard, materialize
 from tracewright.operators.graph import connected_components
 
 SHINGLE, SEED = 4, 42
@@ -27,6 +28,10 @@ RADIUS = 4
 SMALL = 48
 #: Rows of (key, number) up to which the keys that many fingerprints share are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: deduplicate(): words of a shingle and least share of common shingles for documents to be near-duplicates.
+WORDS, SIMILARITY = 5, 0.8
+#: Bits of 64 in which the shingles' fingerprints of such documents may differ: about 10 are expected at the least similarity, with a deviation of 3, and 32 of unrelated ones.
+FAR = 20
 
 
 def fingerprint(text: str) -> int:
@@ -49,19 +54,48 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def with_fingerprints(df: DataFrame, text_col: str, fp_col: str = "fp") -> DataFrame:
-    """All columns of df, in which `text_col` is a string, and the fingerprint of each row."""
-    place = df.columns.index(text_col)
+def word_fingerprint(text: str) -> int:
+    """Signed 64-bit SimHash of a text's distinct words, each weighing one plus the logarithm of its count: the few words that everybody uses do not decide,
+    and an edit that breaks every shingle around it moves it little."""
+    from xxhash import xxh64_intdigest
+
+    counts = Counter(text.encode("utf-8", "surrogatepass").lower().split())
+    if not counts:
+        return 0
+    hashes = np.fromiter(map(xxh64_intdigest, counts, repeat(SEED)), "<u8", len(counts))
+    weights = 1 + np.log(np.fromiter(counts.values(), np.float32, len(counts)))
+    total = np.zeros(64, np.float64)
+    for at in range(0, len(hashes), 1 << 16):
+        bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        total += weights[at : at + (1 << 16)] @ bits.astype(np.float32)
+    return int(np.packbits(2 * total > weights.sum(dtype=np.float64), bitorder="little").view("<i8")[0])
+
+
+def shingle_hashes(text: str) -> np.ndarray:
+    """Hashes of the distinct shingles of WORDS words; a shorter text is one shingle."""
+    from xxhash import xxh64_intdigest
+
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    parts = {b" ".join(words[k : k + WORDS]) for k in range(max(1, len(words) - WORDS + 1))}
+    return np.fromiter(map(xxh64_intdigest, parts, repeat(SEED)), "<u8", len(parts)).view("<i8")
+
+
+def with_fingerprints(df: DataFrame, text_col: str, **fingerprints: Callable[[str], int]) -> DataFrame:
+    """All columns of df, in which `text_col` is a string, and each row's fingerprints under the given names."""
+    place, names = df.columns.index(text_col), list(fingerprints)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([fingerprint(t.as_py() or "") for t in batch.column(place)], pa.int64())], names=[*batch.schema.names, fp_col])
+            found = [[f(t.as_py() or "") for f in fingerprints.values()] for t in batch.column(place)]
+            columns = [pa.array([x[k] for x in found], pa.int64()) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
 
-    return df.mapInArrow(compute, T.StructType([*df.schema.fields, T.StructField(fp_col, T.LongType())]))
+    return df.mapInArrow(compute, T.StructType([*df.schema.fields, *[T.StructField(name, T.LongType()) for name in names]]))
 
 
 def half_variants(fps: DataFrame) -> DataFrame:
     """key, fp: each half of the bits and its variants within 1 bit, the half's number in the key's top bits."""
+    fps = fps.repartition("fp")
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(32)])
     low, high = F.col("fp").bitwiseAND((1 << 32) - 1), F.shiftrightunsigned("fp", 32)
     halves = F.array(low, high.bitwiseOR(1 << 32))
@@ -98,16 +132,50 @@ def links(fps: DataFrame) -> DataFrame:
     some = few.select(F.explode(F.expr(bucket_links("fps"))).alias("e")).select("e.src", "e.dst")
     dense = members.where(F.col("n") > SMALL).select("fp").distinct()
     stars = full_variants(dense).withColumn("src", F.min("fp").over(Window.partitionBy("key"))).where("src != fp").select("src", F.col("fp").alias("dst"))
-    return two.unionByName(some).unionByName(stars).distinct()
+    out = materialize(two.unionByName(some).unionByName(stars).distinct(), "simhash-links")
+    discard(met, members)
+    return out
 
 
-def groups(marked: DataFrame) -> DataFrame:
-    """fp, component for every distinct fingerprint: the least fingerprint reachable."""
+def groups(marked: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """fp, component for every distinct fingerprint: the least fingerprint reachable over links within RADIUS bits and those of `more` (src, dst)."""
     nodes = materialize(marked.select("fp").distinct(), "simhash-nodes")
-    joined = connected_components(links(nodes)).withColumnRenamed("node", "fp")
+    found = links(nodes)
+    joined = connected_components(found if more is None else found.unionByName(more)).withColumnRenamed("node", "fp")
     return nodes.join(joined, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
 
 
+def similar_texts(marked: DataFrame, text_col: str) -> DataFrame:
+    """src, dst: fingerprints (fp) of documents whose words' fingerprints (wfp) are within RADIUS bits and whose shingles are similar.
+
+    marked has text_col, row (unique), fp and wfp. Of the texts with one wfp, each is compared with the least; the pairs of distinct wfp are those of links().
+    """
+    close = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR
+    hashed = marked.select("row", "fp", "wfp", F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_hash"))
+    texts = materialize(hashed.groupBy("text_hash").agg(F.min("fp").alias("fp"), F.min("wfp").alias("wfp"), F.min("row").alias("row")), "simhash-texts")
+    least = materialize(texts.groupBy("wfp").agg(F.min_by("fp", "row").alias("fp"), F.min("row").alias("row")), "simhash-least")
+    same = texts.join(least.select("wfp", F.col("row").alias("b"), F.col("fp").alias("fb")), "wfp").select(F.col("row").alias("a"), F.col("fp").alias("fa"), "b", "fb").where("a != b")
+    ends = [least.select(F.col("wfp").alias(end), F.col("row").alias(n), F.col("fp").alias(f"f{n}")) for end, n in (("src", "a"), ("dst", "b"))]
+    near = links(least.select(F.col("wfp").alias("fp"))).join(ends[0], "src").join(ends[1], "dst").select("a", "fa", "b", "fb")
+    pairs = materialize(same.unionByName(near).where(close & (F.col("fa") != F.col("fb"))), "simhash-pairs")
+    used = materialize(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "simhash-used")
+    small = F.broadcast(used) if used.count() <= BROADCAST_ROWS else used
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([shingle_hashes(text.as_py() or "")], pa.list_(pa.int64()))], names=["row", "shingles"])
+
+    sets = marked.join(small, "row", "left_semi").select("row", text_col).mapInArrow(compute, "row long, shingles array<long>")
+    sets = materialize(sets, "simhash-shingles")
+    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    out = both.where(common >= SIMILARITY * (F.size("sa") + F.size("sb") - common)).select(F.col("fa").alias("src"), F.col("fb").alias("dst"))
+    out = materialize(out.distinct(), "simhash-similar")
+    discard(texts, least, pairs, used, sets)
+    return out
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id: the least doc_id reachable over links of RADIUS bits or fewer, the document itself included.
 
@@ -115,7 +183,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     never become a component_id unless a whole component has no other; other columns are ignored; an empty table gives no rows.
     """
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    marked = materialize(with_fingerprints(narrow, "text").select("doc_id", "fp"), "fingerprints")
+    marked = materialize(with_fingerprints(narrow, "text", fp=fingerprint).select("doc_id", "fp"), "fingerprints")
     labelled = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).join(groups(marked), "fp")
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     named = labelled.join(least, "component").select("fp", "component_id")
@@ -123,11 +191,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs per group of near-duplicates, columns unchanged: the one of least id (nulls last); of rows that share the id, any one."""
-    marked = with_fingerprints(docs.withColumn("_row", F.monotonically_increasing_id()), text_col, "_fp")
-    marked = materialize(marked, "simhash-documents")
-    narrow = marked.select(F.col("_fp").alias("fp"), F.col(f"`{id_col}`").alias("_id"), "_row")
-    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row"))
-    kept = materialize(narrow.join(groups(narrow), "fp").groupBy("component").agg(F.min_by("_row", order).alias("_row")).select("_row"), "simhash-kept")
+    """One row of docs per group of near-duplicates, columns unchanged: the one of least id (nulls last); of rows that share the id, any one.
+
+    Near-duplicates are linked within RADIUS bits of their shingles' fingerprints, or within RADIUS bits of their words' fingerprints if SIMILARITY of their
+    shingles of WORDS words are common. Null and empty texts are near-duplicates of each other; other columns may have any names; an empty table gives no rows.
+    """
+    plain = [f"c{k}" for k in range(len(docs.columns))]
+    of = dict(zip(docs.columns, plain, strict=True))
+    numbered = docs.select(*[F.col(f"`{c}`").alias(of[c]) for c in docs.columns]).withColumn(of[text_col], F.col(of[text_col]).cast("string")).withColumn("row", F.monotonically_increasing_id())
+    marked = materialize(with_fingerprints(numbered, of[text_col], fp=fingerprint, wfp=word_fingerprint), "simhash-documents")
+    more = similar_texts(marked, of[text_col])
+    order = F.struct(F.col(of[id_col]).isNull(), F.col(of[id_col]), F.col("row"))
+    narrow = marked.select(of[id_col], "row", "fp").join(groups(marked, more), "fp")
+    kept = materialize(narrow.groupBy("component").agg(F.min_by("row", order).alias("row")).select("row"), "simhash-kept")
+    discard(more)
     kept = F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
-    return marked.join(kept, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return marked.join(kept, "row", "left_semi").select(*[F.col(of[c]).alias(c) for c in docs.columns])
