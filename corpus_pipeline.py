@@ -27,7 +27,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id in each group of near-duplicates."""
+    """Keeps the document of least id in each group of near-duplicates: shingles' fingerprints within 4 bits, or 0.8 of the shingles of five words in common."""
     return simhash.deduplicate(docs)
 
 
@@ -37,8 +37,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of binary length, with their ids."""
-    return packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), longest=1024, end_id=0)
+    """Token sequences of binary length with their ids, from buckets of equal length."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), longest=1024, end_id=0)
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("pack", pack)]
