@@ -95,7 +95,7 @@ def with_fingerprints(df: DataFrame, text_col: str, **fingerprints: Callable[[st
 
 def half_variants(fps: DataFrame) -> DataFrame:
     """key, fp: each half of the bits and its variants within 1 bit, the half's number in the key's top bits."""
-    fps = fps.repartition("fp")
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(32)])
     low, high = F.col("fp").bitwiseAND((1 << 32) - 1), F.shiftrightunsigned("fp", 32)
     halves = F.array(low, high.bitwiseOR(1 << 32))
