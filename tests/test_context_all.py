@@ -1,4 +1,4 @@
-"""Contexts of every event against brute force; the queries with twins ask for a part of the events only."""
+"""Contexts of every event against brute force."""
 
 import bisect
 

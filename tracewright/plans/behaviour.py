@@ -203,31 +203,31 @@ def e11_episode_id(spark, d):
 
 
 def _hourly_episodes(spark, d):
-    return X.events(spark, d).where("event_id % 7 = 0").select("event_id", "entity_id", "chain", F.col("ts").alias("start_ts"))
+    return X.events(spark, d).select("event_id", "entity_id", "chain", F.col("ts").alias("start_ts"))
 
 
 def e12_context_asof(spark, d):
     found = episodes.context_asof(_hourly_episodes(spark, d), X.series(spark, d), ["entity_id"], CONTEXTS)
-    return found.select("event_id", *[F.round(f"ctx_{k}", 4).alias(k) for k in CONTEXTS])
+    return found.select("event_id", *[F.round(f"ctx_{k}", 6).alias(k) for k in CONTEXTS])
 
 
 def e13_wallet_context(spark, d):
     ev = X.events(spark, d)
     series = ev.select("wallet", F.lit("history").alias("kind"), "chain", F.col("ts").alias("time"), F.col("usd_value").alias("value"), F.lit(0).alias("captured_at"), "event_id")
     series = series.groupBy("wallet", "kind", "chain", "time", "captured_at").agg(F.max("value").alias("value"))
-    probes = ev.where("event_id % 5 = 0").select("event_id", "wallet", "chain", (F.col("ts") - 3600).alias("start_ts"))
+    probes = ev.select("event_id", "wallet", "chain", (F.col("ts") - 3600).alias("start_ts"))
     return episodes.context_asof(probes, series, ["wallet"], ("history",)).select("event_id", F.col("ctx_history").alias("history"))
 
 
 def e12_context_all(spark, d):
-    """The contexts of every event; e12_context_asof asks for a seventh of them, as its twin's SQL does."""
+    """The contexts of every event, as they are, without the rounding of e12_context_asof."""
     probes = X.events(spark, d).select("event_id", "entity_id", "chain", F.col("ts").alias("start_ts"))
     found = episodes.context_asof(probes, X.series(spark, d), ["entity_id"], CONTEXTS)
     return found.select("event_id", *[F.col(f"ctx_{k}").alias(k) for k in CONTEXTS])
 
 
 def e13_wallet_context_all(spark, d):
-    """The wallet's context an hour before every event; e13_wallet_context asks for a fifth of them, as its twin's SQL does."""
+    """The wallet's context an hour before every event, with points of equal time merged in the series itself."""
     ev = X.events(spark, d)
     series = ev.groupBy("wallet", F.lit("history").alias("kind"), "chain", F.col("ts").alias("time"), F.lit(0).alias("captured_at")).agg(F.max("usd_value").alias("value"))
     probes = ev.select("event_id", "wallet", "chain", (F.col("ts") - 3600).alias("start_ts"))
@@ -316,10 +316,10 @@ ORACLES = {
       FROM eps JOIN chn USING (entity_id, component, chunk) LEFT JOIN ast USING (entity_id, component, chunk)""",
     "e10_majority_chain": f"WITH {EV} SELECT entity_id, week, arg_min(c, (-n, f)) AS chain FROM (SELECT entity_id, CAST(floor(ts / {7 * DAY}) AS BIGINT) AS week, chain || (k % 3) AS c, count(*) AS n, min((ts, event_id)) AS f FROM ev GROUP BY 1, 2, 3) GROUP BY 1, 2",
     "e11_episode_id": f"WITH {episodes_sql(GAP)} SELECT episode_id, entity_id, array_to_string(event_ids, ',') AS event_ids FROM eps",
-    "e12_context_asof": f"""WITH {EV}, {SNAP}, p AS (SELECT event_id, entity_id, chain, ts FROM ev WHERE CAST(event_id AS BIGINT) % 7 = 0), n AS (SELECT entity_id, kind, chain, time, arg_max(value, captured_at) AS value FROM snap GROUP BY ALL),
+    "e12_context_asof": f"""WITH {EV}, {SNAP}, p AS (SELECT event_id, entity_id, chain, ts FROM ev), n AS (SELECT entity_id, kind, chain, time, arg_max(value, captured_at) AS value FROM snap GROUP BY ALL),
       """ + ", ".join(f"c_{k} AS (SELECT p.event_id, n.value FROM p ASOF JOIN (SELECT * FROM n WHERE kind = '{k}') n ON p.entity_id = n.entity_id AND p.chain = n.chain AND p.ts >= n.time)" for k in CONTEXTS)
-    + " SELECT p.event_id, " + ", ".join(f"round(c_{k}.value, 4) AS {k}" for k in CONTEXTS) + " FROM p " + " ".join(f"LEFT JOIN c_{k} ON c_{k}.event_id = p.event_id" for k in CONTEXTS),
-    "e13_wallet_context": f"""WITH {EV}, s AS (SELECT wallet, chain, ts AS time, max(usd_value) AS value FROM ev GROUP BY ALL), p AS (SELECT event_id, wallet, chain, ts - 3600 AS ts FROM ev WHERE CAST(event_id AS BIGINT) % 5 = 0)
+    + " SELECT p.event_id, " + ", ".join(f"round(c_{k}.value, 6) AS {k}" for k in CONTEXTS) + " FROM p " + " ".join(f"LEFT JOIN c_{k} ON c_{k}.event_id = p.event_id" for k in CONTEXTS),
+    "e13_wallet_context": f"""WITH {EV}, s AS (SELECT wallet, chain, ts AS time, max(usd_value) AS value FROM ev GROUP BY ALL), p AS (SELECT event_id, wallet, chain, ts - 3600 AS ts FROM ev)
       SELECT p.event_id, s.value AS history FROM p ASOF LEFT JOIN s ON p.wallet = s.wallet AND p.chain = s.chain AND p.ts >= s.time""",
     "e14_enrichment": f"""WITH {EV}, t AS (SELECT *, 'tx' || (CAST(event_id AS BIGINT) % 900) AS tx_hash FROM ev), n AS (SELECT tx_hash, chain, CASE WHEN k % 6 = 0 THEN 'status' ELSE 'trace' END AS source, max(event_id) AS payload FROM t WHERE k % 6 IN (0, 1) GROUP BY ALL)
       SELECT t.event_id, CAST(count(n.source) AS INT) AS n, max(CASE WHEN n.source = 'status' THEN n.payload END) AS status FROM t LEFT JOIN n ON n.tx_hash = t.tx_hash AND n.chain = t.chain GROUP BY t.event_id""",
