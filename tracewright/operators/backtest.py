@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.operators.stats import bh_qvalues, holdout, shrink, sign_test, summary
+from tracewright.sources.shared import materialize
 
 LEVELS = ("entity_action", "entity_action_intent", "entity_pattern", "entity_pattern_intent", "wallet_pattern_intent_asset")
 
@@ -18,10 +19,15 @@ def observations(ep: DataFrame, labels: DataFrame, context: DataFrame) -> DataFr
     return joined.withColumn("intent_label", F.coalesce("intent_label", F.lit("unknown"))).withColumn("regime", F.coalesce("regime", F.lit("unknown")))
 
 
+def all_patterns() -> Column:
+    """The patterns of an observation, and each of them once more under the regime where that is known."""
+    under = F.when(F.col("regime") != "unknown", F.transform("patterns", lambda p: F.concat(F.lit("REGIME:"), F.col("regime"), F.lit("|"), p))).otherwise(F.array().cast("array<string>"))
+    return F.array_union("patterns", under)
+
+
 def explode_patterns(obs: DataFrame) -> DataFrame:
     """A row per pattern, and one more per pattern under the regime where that is known."""
-    under = F.when(F.col("regime") != "unknown", F.transform("patterns", lambda p: F.concat(F.lit("REGIME:"), F.col("regime"), F.lit("|"), p))).otherwise(F.array().cast("array<string>"))
-    return obs.withColumn("pattern", F.explode(F.array_union("patterns", under)))
+    return obs.withColumn("pattern", F.explode(all_patterns()))
 
 
 def explode_wallets(df: DataFrame) -> DataFrame:
@@ -34,22 +40,24 @@ def broad_action(motif):
 
 
 def levels(obs: DataFrame) -> DataFrame:
-    """Observations once for each level's key: level, scope_type, scope_id, entity_id, pattern, intent_label ('' where the level ignores it)."""
+    """Observations once for each level's key, in one pass: level, scope_type, scope_id, entity_id, pattern, intent_label ('' where the level ignores it)."""
     base = ["episode_id", "start_ts", "entity_id", "asset_key", "horizon_seconds", "simple_return"]
-    action = obs.withColumn("pattern", broad_action(F.col("motif")))
-    each = explode_patterns(obs)
-    own = each.where(~F.col("pattern").startswith("ACTION:"))
-    wallets = explode_wallets(each)
-    shape = lambda df, level, scope, who, intent: df.select(*base, F.lit(level).alias("level"), F.lit(scope).alias("scope_type"), who.alias("scope_id"), "pattern", (F.col("intent_label") if intent else F.lit("")).alias("intent_label"))
-    entity = F.col("entity_id")
-    parts = [
-        shape(action, LEVELS[0], "entity", entity, False), shape(action, LEVELS[1], "entity", entity, True), shape(own, LEVELS[2], "entity", entity, False),
-        shape(own, LEVELS[3], "entity", entity, True), shape(wallets, LEVELS[4], "wallet", F.col("wallet"), True),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    entity, intent, no_intent = F.col("entity_id").cast("string"), F.col("intent_label"), F.lit("")
+
+    def key(level: int, scope: str, who: Column, pattern: Column, label: Column) -> Column:
+        parts = {"level": F.lit(LEVELS[level]), "scope_type": F.lit(scope), "scope_id": who, "pattern": pattern, "intent_label": label}
+        return F.struct(*[c.cast("string").alias(name) for name, c in parts.items()])
+
+    action, patterns = broad_action(F.col("motif")), F.coalesce(all_patterns(), F.array().cast("array<string>"))
+    own = F.filter(patterns, lambda p: ~p.startswith("ACTION:"))
+    wallets = F.coalesce(F.array_distinct("wallets"), F.array().cast("array<string>"))
+    keys = F.concat(
+        F.array(key(0, "entity", entity, action, no_intent), key(1, "entity", entity, action, intent)),
+        F.transform(own, lambda p: key(2, "entity", entity, p, no_intent)),
+        F.transform(own, lambda p: key(3, "entity", entity, p, intent)),
+        F.flatten(F.transform(patterns, lambda p: F.transform(wallets, lambda w: key(4, "wallet", w, p, intent)))),
+    )
+    return obs.select(*base, F.explode(keys).alias("_key")).select(*base, "_key.*")
 
 
 GROUP = ["level", "scope_type", "scope_id", "entity_id", "pattern", "intent_label", "asset_key", "horizon_seconds"]
@@ -69,7 +77,7 @@ def single_asset(obs: DataFrame, keys: list[str]) -> DataFrame:
 
 def backtest(ep: DataFrame, labels: DataFrame, context: DataFrame, min_n: int = 5, strength: float = 20.0) -> DataFrame:
     """Statistics of every group at every level with at least min_n observations, keyed by motif = level:pattern."""
-    obs = observations(ep, labels, context)
+    obs = materialize(observations(ep, labels, context), "observations")
     rows = levels(obs)
     stats = summary(rows, GROUP, "simple_return").where(F.col("n") >= min_n)
     split = holdout(rows, GROUP, "simple_return", ["start_ts", "episode_id"])

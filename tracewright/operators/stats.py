@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.sources.shared import materialize
+
 #: Groups up to this size are resampled; larger ones take the order statistics that resampling tends to.
 EXACT_BELOW = 20_000
 
@@ -33,7 +35,7 @@ def sign_test(negative: Column, positive: Column) -> Column:
 
 def bh_qvalues(df: DataFrame, family: list[str], p: str, out: str = "qvalue") -> DataFrame:
     """Benjamini-Hochberg within each family: a running minimum from the largest p of p * m / rank. Windows run over the distinct p-values only, and tied p share a q; a null p counts as 1."""
-    filled = df.withColumn("_p", F.coalesce(p, F.lit(1.0)))
+    filled = materialize(df.withColumn("_p", F.coalesce(p, F.lit(1.0))), "rated")
     counts = filled.groupBy(*family, "_p").agg(F.count("*").alias("_n"))
     up = Window.partitionBy(*family).orderBy("_p")
     ranked = counts.withColumn("_rank", F.sum("_n").over(up.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_m", F.sum("_n").over(Window.partitionBy(*family)))
