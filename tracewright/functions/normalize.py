@@ -60,9 +60,19 @@ def action_class(approval: Column, cex: Column, project: Column, sends: Column,
     return F.when(filled(approval), "APPROVAL").when(filled(cex), side("CEX_INTERACTION")).when(filled(project), side("DEFI_INTERACTION")).otherwise(plain)
 
 
+#: Control characters with a short escape in JSON.
+SHORT_ESCAPES = {"\n": "\\n", "\r": "\\r", "\t": "\\t", "\f": "\\f", "\b": "\\b"}
+
+
 def json_text(value: Column) -> Column:
-    """A JSON string, or null as such."""
-    escaped = F.regexp_replace(F.regexp_replace(value, r"\\", r"\\\\"), '"', r'\\"')
+    """A JSON string in printable ASCII, or null as such: other characters are escaped, those beyond 16 bits as two surrogates."""
+    quoted = F.regexp_replace(F.regexp_replace(value, r"\\", r"\\\\"), '"', r'\\"')
+
+    def ascii_only(c: Column) -> Column:
+        units = F.lower(F.hex(F.encode(c, "UTF-16BE")))
+        return F.when(c.between(" ", "~"), c).otherwise(F.coalesce(lookup(c, SHORT_ESCAPES), F.regexp_replace(units, "(.{4})", r"\\u$1")))
+
+    escaped = F.when(quoted.rlike("[^ -~]"), F.array_join(F.transform(F.split(quoted, ""), ascii_only), "")).otherwise(quoted)
     return F.coalesce(F.concat(F.lit('"'), escaped, F.lit('"')), F.lit("null"))
 
 

@@ -159,6 +159,7 @@ def s1_archive(spark, d):
     raw = X.events(spark, d).select(F.col("action_type").alias("provider"), (F.floor(F.col("ts") / DAY)).alias("day"), F.concat(F.lit('{"w":"'), "wallet", F.lit('","k":'), F.col("k") % 7, F.lit("}")).alias("payload"))
     raw = raw.groupBy("payload").agg(F.min(F.struct("provider", "day")).alias("v")).select("v.provider", "v.day", "payload")
     path = scratch(spark, "archive")
+    G.write_archive(raw.where("day % 2 = 0"), path)
     G.write_archive(raw, path)
     back = G.read_archive(spark, path, "payload string, sha256 string, provider string, day long")
     return back.groupBy("provider").agg(F.count("*").alias("n"), F.count_distinct("day").alias("days"), F.min("sha256").alias("least"))
@@ -177,7 +178,9 @@ def s3_history_flatten(spark, d):
 
 def s4_cursors(spark, d):
     rows = X.events(spark, d).select("wallet", "chain", F.col("event_id").alias("id"), F.col("k").alias("idx"), "ts")
-    return G.page_cursors(rows.unionByName(rows.where("idx % 3 = 0")), 1704100000)
+    before = rows.where("idx % 3 = 0").groupBy("wallet", "chain").agg(F.min("ts").alias("cursor"))
+    timed = rows.withColumn("ts", F.when(F.col("idx") % 8 == 0, 0).otherwise(F.col("ts")))
+    return G.page_cursors(timed.unionByName(timed.where("idx % 3 = 0")), 1704100000, before)
 
 
 def s5_coverage(spark, d):
@@ -304,9 +307,11 @@ ORACLES = {
     "q20_requests": f"WITH {EV}, {_LOG} SELECT endpoint, count(*) AS n, count(*) FILTER (status >= 400) AS n_failed, max(seconds) AS slowest FROM log GROUP BY 1",
     "s1_archive": f"""WITH {EV}, p AS (SELECT '{{"w":"' || wallet || '","k":' || (k % 7) || '}}' AS payload, min((action_type, CAST(floor(ts / {DAY}) AS BIGINT))) AS v FROM ev GROUP BY 1), u AS (SELECT payload, struct_extract(v, 1) AS provider, struct_extract(v, 2) AS day FROM p)
       SELECT provider, count(*) AS n, count(DISTINCT day) AS days, min(sha256(payload)) AS least FROM u GROUP BY 1""",
-    "s2_latest_valid": f"WITH {EV}, {_LOG} SELECT endpoint, request, response_id FROM (SELECT *, row_number() OVER (PARTITION BY endpoint, request ORDER BY fetched_at DESC, response_id DESC) AS r FROM log WHERE status < 400 AND (1706000000 - fetched_at < 3600 OR cursor > 0)) WHERE r = 1",
+    "s2_latest_valid": f"WITH {EV}, {_LOG} SELECT endpoint, request, response_id FROM (SELECT *, row_number() OVER (PARTITION BY endpoint, request ORDER BY fetched_at DESC, response_id DESC) AS r FROM log) WHERE r = 1 AND status < 400 AND (1706000000 - fetched_at < 3600 OR cursor > 0)",
     "s3_history_flatten": f"WITH {EV} SELECT wallet, event_id AS id, k AS idx, ts, upper(cex_id) AS cex_name FROM ev WHERE k % 8 <> 0",
-    "s4_cursors": f"WITH {EV} SELECT wallet, chain, count(*) AS n_rows, min(ts) AS cursor, min(ts) <= 1704100000 AS complete FROM ev GROUP BY 1, 2",
+    "s4_cursors": f"""WITH {EV}, p AS (SELECT wallet, chain, count(*) AS n_rows, coalesce(min(ts) FILTER (WHERE k % 8 <> 0), 0) AS oldest, coalesce(min(ts) FILTER (WHERE k % 3 = 0), 0) AS last FROM ev GROUP BY 1, 2)
+      SELECT wallet, chain, n_rows, CASE WHEN oldest > 0 THEN oldest ELSE last END AS cursor,
+        oldest = 0 OR (last > 0 AND oldest >= last) OR oldest <= 1704100000 AS complete FROM p""",
     "s5_coverage": f"""WITH {EV} SELECT entity_id, wallet, chain, min(ts) AS covered_from, max(ts) AS covered_to, count(*) AS pages, CASE WHEN max(k) > 95 THEN 'complete' ELSE 'partial' END AS state FROM ev GROUP BY 1, 2, 3""",
     "s6_uncovered": f"WITH {EV}, {_LEDGER} SELECT entity_id, wallet, chain, CAST(1704300000 AS BIGINT) AS from_ts, CAST(1706400000 AS BIGINT) AS to_ts FROM led WHERE NOT (state = 'complete' AND covered_from <= 1704300000 AND covered_to >= 1706400000)",
     "s7_insert_new": f"WITH {EV}, a AS (SELECT wallet || (k % 10) AS event_id, ts, k FROM ev) SELECT event_id, ts, k FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ts, k) AS r FROM a WHERE k >= 20) WHERE r = 1 AND event_id NOT IN (SELECT event_id FROM a WHERE k < 20)",

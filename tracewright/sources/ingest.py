@@ -11,8 +11,12 @@ from tracewright.functions.normalize import asset_key, normal_address
 
 
 def write_archive(raw: DataFrame, path: str) -> None:
-    """Compressed JSON by provider and day, one row per distinct payload (sha256)."""
+    """Compressed JSON by provider and day, one row per distinct payload (sha256). Payloads that the archive holds already are not written again."""
+    session = raw.sparkSession
     keyed = raw.withColumn("sha256", F.sha2("payload", 256)).dropDuplicates(["sha256"])
+    folder = session._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(session._jsc.hadoopConfiguration()).exists(folder):
+        keyed = keyed.join(read_archive(session, path, "sha256 string"), "sha256", "left_anti")
     keyed.write.mode("append").partitionBy("provider", "day").option("compression", "gzip").json(path)
 
 
@@ -21,10 +25,13 @@ def read_archive(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def latest_valid(responses: DataFrame, now: int, max_age: int = 3600) -> DataFrame:
-    """The newest response per (endpoint, request) that is still valid: status under 400, and fresh or a historical page (cursor over 0)."""
-    good = responses.where((F.col("status") < 400) & ((now - F.col("fetched_at") < max_age) | (F.col("cursor") > 0)))
+    """The newest response per (endpoint, request), if it may be used: status under 400, and fresh or a historical page (cursor over 0).
+
+    Where the newest may not be used there is no row, even if an older response could be.
+    """
     newest = Window.partitionBy("endpoint", "request").orderBy(F.desc("fetched_at"), F.desc("response_id"))
-    return good.withColumn("_r", F.row_number().over(newest)).where("_r = 1").drop("_r")
+    last = responses.withColumn("_r", F.row_number().over(newest)).where("_r = 1").drop("_r")
+    return last.where((F.col("status") < 400) & ((now - F.col("fetched_at") < max_age) | (F.col("cursor") > 0)))
 
 
 ROW = "id string, idx int, time_at double, cex_id string, project_id string"
@@ -38,10 +45,22 @@ def flatten_pages(pages: DataFrame) -> DataFrame:
     return each.select(*[c for c in pages.columns if c != "payload"], "row.id", "row.idx", ts.alias("ts"), "row.cex_id", F.try_element_at("p.cex_dict", F.coalesce("row.cex_id", F.lit("")))["name"].alias("cex_name")).where("ts > 0")
 
 
-def page_cursors(rows: DataFrame, from_ts: int) -> DataFrame:
-    """Per (wallet, chain): rows without repeats of (id, idx), the next cursor (oldest time) and whether the history is complete."""
+def page_cursors(rows: DataFrame, from_ts: int, before: DataFrame | None = None) -> DataFrame:
+    """Per (wallet, chain): rows without repeats of (id, idx), the next cursor and whether the history is complete.
+
+    The cursor is the oldest time of the rows that have one, else the cursor before (wallet, chain, cursor; 0 at the start). A history is complete when no row has a time,
+    when the cursor does not move back, or when it reaches from_ts.
+    """
     single = rows.dropDuplicates(["wallet", "chain", "id", "idx"])
-    return single.groupBy("wallet", "chain").agg(F.count("*").alias("n_rows"), F.min("ts").alias("cursor")).withColumn("complete", F.col("cursor") <= from_ts)
+    found = single.groupBy("wallet", "chain").agg(F.count("*").alias("n_rows"), F.coalesce(F.min(F.when(F.col("ts") != 0, F.col("ts"))), F.lit(0)).alias("oldest"))
+    if before is None:
+        known = found.withColumn("last", F.lit(0).cast("long"))
+    else:
+        known = found.join(before.select("wallet", "chain", F.col("cursor").alias("last")), ["wallet", "chain"], "left").fillna(0, ["last"])
+    oldest, last = F.col("oldest"), F.col("last")
+    cursor = F.when(oldest != 0, oldest).otherwise(last)
+    complete = (oldest == 0) | ((last != 0) & (oldest >= last)) | (cursor <= from_ts)
+    return known.select("wallet", "chain", "n_rows", cursor.alias("cursor"), complete.alias("complete"))
 
 
 def merge_coverage(ledger: DataFrame, pages: DataFrame) -> DataFrame:
