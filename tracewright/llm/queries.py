@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import audio, chat, decontam, langid, lines, packing, secrets, simhash, suffix, token_files
+from tracewright.llm import audio, chat, decontam, exact, infill, langid, lines, packing, secrets, simhash, spelling, suffix, token_files
 from tracewright.llm.common import table
 
 
@@ -62,6 +62,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(infill.transform(table(spark, sf_dir, "documents")))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.verdicts(table(spark, sf_dir, "documents")).drop("row")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,9 +92,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": op8_token_files,
         "op9_audio_features": op9_audio_features,
         "op10_packing": op10_packing,
+        "op11_spelling": op11_spelling,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_exact_dedup": op13_exact_dedup,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontam.ORACLE, "op3_secret_scan": secrets.ORACLE}
+    return {"op2_decontamination": decontam.ORACLE, "op3_secret_scan": secrets.ORACLE, "op12_fill_in_middle": infill.ORACLE, "op13_exact_dedup": exact.ORACLE}
