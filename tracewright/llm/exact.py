@@ -1,7 +1,8 @@
 """Exact deduplication by skew-safe combining, in DataFrame functions only.
 
 Each task first combines its own copies (the map side of the first grouping), the salted groups of a digest are merged, and the winners of the salts are combined
-over all. The whole normalised text is part of every grouping key, so a digest only deals rows out and never decides that texts are equal.
+over all. The whole normalised text is part of every grouping key, so a digest only deals rows out and never decides that texts are equal. Texts whose hash no other row has are
+told from the rest first, by a bitmap of fixed size, and are not sent anywhere.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ BLANKS = r"[\x20\x09-\x0D]+"
 SALTS = 32
 #: A group with more than one in so many of all rows is broadcast when rows look their group up: there are fewer such groups than this.
 HOT_SHARE = 1000
+#: Bits of the bitmap that marks the hashes of more than one row; it is broadcast, and fills 16 MB at most.
+BITS = 1 << 27
 _BIAS, _SPAN = 1 << 63, 1 << 64
 
 
@@ -43,6 +46,22 @@ def _unrank(rank: Column) -> tuple[Column, Column]:
     return ((rank - rest) / _lit(2 * _SPAN)).cast("long"), doc_id
 
 
+def _slot(content: Column) -> Column:
+    """A bit's number, from 1."""
+    return F.pmod(F.xxhash64(content), F.lit(BITS)) + 1
+
+
+def mark_shared(rows: DataFrame) -> DataFrame:
+    """Adds `shared` to rows with a content: false only where no other row has an equal one. A full bitmap marks every row, which costs time and changes no result."""
+    counted = rows.select(F.xxhash64("content").alias("hash"), _slot(F.col("content")).alias("slot")).groupBy("hash", "slot").agg(F.count("*").alias("n")).where("n > 1")
+    bits = counted.groupBy(F.bitmap_bucket_number("slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bits"))
+    placed = rows.withColumn("_slot", _slot(F.col("content"))).withColumn("_bucket", F.bitmap_bucket_number("_slot")).join(F.broadcast(bits), "_bucket", "left")
+    bit = F.bitmap_bit_position("_slot")
+    byte = F.conv(F.hex(F.substring("_bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    on = F.expr("shiftright(_byte, cast(_bit % 8 as int))").bitwiseAND(1) == 1
+    return placed.withColumn("_byte", byte).withColumn("_bit", bit).withColumn("shared", F.coalesce(on, F.lit(False))).select(*rows.columns, "shared")
+
+
 def combine(rows: DataFrame, salts: int = SALTS) -> DataFrame:
     """digest, content, keep_chars, keep_id, group_size of rows (digest, content, chars, doc_id)."""
     ranked = rows.select((F.spark_partition_id() % salts).alias("salt"), "digest", "content", _rank(F.col("chars"), F.col("doc_id")).alias("best"))
@@ -59,26 +78,31 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     as empty. Rows that repeat both id and text all count in group_size, and one of them stays. Other columns play no part, whatever their names; an empty table gives no rows.
 
     `digest` may be any function of the content: where it is the same for different contents, rows meet their group by the content as well. A group that holds more than one in HOT_SHARE of
-    all rows is looked up by broadcast, and its rows are dealt out by their ids afterwards.
+    the rows with copies is looked up by broadcast, and its rows are dealt out by their ids afterwards.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     carried = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("string")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.length(text).cast("long").alias("chars"), F.regexp_replace(text, BLANKS, "").alias("content"), carried.alias("row"))
-    rows = rows.select("doc_id", "chars", "content", "row", digest(F.col("content")).alias("digest"), sha256(F.col("content")).alias("text_sha256"))
-    found = combine(rows, salts)
+    rows = mark_shared(rows).select("doc_id", "chars", "content", "row", "shared", digest(F.col("content")).alias("digest"), sha256(F.col("content")).alias("text_sha256"))
+    found = combine(rows.where("shared"), salts)
     groups = materialize(found.drop("content"), "exact-groups")
+    best = F.struct("keep_chars", "keep_id", "group_size")
+    alone = F.struct(F.col("chars").alias("keep_chars"), F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    own_key = F.concat(F.lit("-"), F.xxhash64("content").cast("string"))
     if groups.groupBy("digest").count().where("count > 1").isEmpty():
-        hot = groups.join(groups.agg(F.sum("group_size").alias("_all")).hint("broadcast")).where(F.col("group_size") * HOT_SHARE > F.col("_all"))
-        hot = hot.select("digest", F.struct("keep_chars", "keep_id", "group_size").alias("_hot"))
-        placed = rows.drop("content").join(F.broadcast(hot), "digest", "left")
-        best = F.col("doc_id").eqNullSafe(F.col("_hot.keep_id")) & (F.col("chars") == F.col("_hot.keep_chars"))
-        apart = F.concat(F.lit("-"), F.xxhash64("doc_id", "chars").cast("string"))
-        placed = placed.withColumn("_key", F.when(F.col("_hot").isNull() | best, F.col("digest")).otherwise(apart))
-        known = groups.select(F.col("digest").alias("_key"), F.struct("keep_chars", "keep_id", "group_size").alias("_own"))
-        joined = placed.join(known, "_key", "left").withColumn("_best", F.coalesce("_hot", "_own"))
+        copied = groups.agg(F.sum("group_size")).first()[0] or 0
+        hot = groups.where(F.col("group_size") * HOT_SHARE > copied).select("digest", best.alias("_hot"))
+        placed = rows.withColumn("_own", own_key).drop("content").join(F.broadcast(hot), "digest", "left")
+        stays = F.col("doc_id").eqNullSafe(F.col("_hot.keep_id")) & (F.col("chars") == F.col("_hot.keep_chars"))
+        apart = F.concat(F.lit("+"), F.xxhash64("doc_id", "chars").cast("string"))
+        key = F.when(~F.col("shared"), F.col("_own")).when(F.col("_hot").isNull() | stays, F.col("digest")).otherwise(apart)
+        joined = placed.withColumn("_key", key).join(groups.select(F.col("digest").alias("_key"), best.alias("_best")), "_key", "left")
+        joined = joined.withColumn("_best", F.coalesce("_hot", "_best"))
     else:
-        named = materialize(found, "exact-groups").select(F.col("digest").alias("_digest"), F.col("content").alias("_content"), F.struct("keep_chars", "keep_id", "group_size").alias("_best"))
-        joined = rows.join(named, (F.col("digest") == F.col("_digest")) & (F.col("content") == F.col("_content"))).withColumn("_key", F.col("content"))
+        named = materialize(found, "exact-groups").select(F.col("digest").alias("_digest"), F.col("content").alias("_content"), best.alias("_best"))
+        same = F.col("shared") & (F.col("digest") == F.col("_digest")) & (F.col("content") == F.col("_content"))
+        joined = rows.join(named, same, "left").withColumn("_key", F.when(F.col("shared"), F.col("content")).otherwise(own_key))
+    joined = joined.withColumn("_best", F.when(F.col("shared"), F.col("_best")).otherwise(alone))
     stays = F.col("doc_id").eqNullSafe(F.col("_best.keep_id")) & (F.col("chars") == F.col("_best.keep_chars"))
     first = F.row_number().over(Window.partitionBy("_key", "_stays").orderBy("doc_id")) == 1
     told = joined.withColumn("_stays", stays).withColumn("kept", F.col("_stays") & first)
