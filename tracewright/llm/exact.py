@@ -52,9 +52,9 @@ def _slot(content: Column) -> Column:
 
 
 def mark_shared(rows: DataFrame) -> DataFrame:
-    """Adds `shared` to rows with a content: false only where no other row has an equal one. A full bitmap marks every row, which costs time and changes no result."""
+    """Adds `shared` to rows with a content: false only where no other row has an equal one. A full bitmap marks every row, which costs time and changes no result. The bitmap is written once."""
     counted = rows.select(F.xxhash64("content").alias("hash"), _slot(F.col("content")).alias("slot")).groupBy("hash", "slot").agg(F.count("*").alias("n")).where("n > 1")
-    bits = counted.groupBy(F.bitmap_bucket_number("slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bits"))
+    bits = materialize(counted.groupBy(F.bitmap_bucket_number("slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bits")), "exact-bitmap")
     placed = rows.withColumn("_slot", _slot(F.col("content"))).withColumn("_bucket", F.bitmap_bucket_number("_slot")).join(F.broadcast(bits), "_bucket", "left")
     bit = F.bitmap_bit_position("_slot")
     byte = F.conv(F.hex(F.substring("_bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
