@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.operators.stats import bh_qvalues, holdout, shrink, sign_test, summary
+from tracewright.operators.stats import bh_qvalues, bootstrap_ci, holdout, shrink, sign_test, summary
 from tracewright.sources.shared import materialize
 
 LEVELS = ("entity_action", "entity_action_intent", "entity_pattern", "entity_pattern_intent", "wallet_pattern_intent_asset")
@@ -54,7 +54,7 @@ def levels(obs: DataFrame) -> DataFrame:
     keys = F.concat(
         F.array(key(0, "entity", entity, action, no_intent), key(1, "entity", entity, action, intent)),
         F.transform(own, lambda p: key(2, "entity", entity, p, no_intent)),
-        F.transform(own, lambda p: key(3, "entity", entity, p, intent)),
+        F.transform(patterns, lambda p: key(3, "entity", entity, p, intent)),
         F.flatten(F.transform(patterns, lambda p: F.transform(wallets, lambda w: key(4, "wallet", w, p, intent)))),
     )
     return obs.select(*base, F.explode(keys).alias("_key")).select(*base, "_key.*")
@@ -75,19 +75,28 @@ def single_asset(obs: DataFrame, keys: list[str]) -> DataFrame:
     return obs.groupBy(*keys).agg(F.count_distinct("asset_key").alias("assets")).where("assets > 1")
 
 
-def backtest(ep: DataFrame, labels: DataFrame, context: DataFrame, min_n: int = 5, strength: float = 20.0) -> DataFrame:
-    """Statistics of every group at every level with at least min_n observations, keyed by motif = level:pattern."""
+def backtest(ep: DataFrame, labels: DataFrame, context: DataFrame, min_n: int = 5, strength: float = 20.0, samples: int = 2000) -> DataFrame:
+    """Statistics of every group at every level with at least min_n observations, keyed by motif = level:pattern.
+
+    The prior is the mean return of the entity's observations of that asset and horizon (and intent, at the levels that have one), else the mean of all. With samples = 0 there are no
+    intervals: ci_low and ci_high are null.
+    """
     obs = materialize(observations(ep, labels, context), "observations")
-    rows = levels(obs)
-    stats = summary(rows, GROUP, "simple_return").where(F.col("n") >= min_n)
-    split = holdout(rows, GROUP, "simple_return", ["start_ts", "episode_id"])
+    stats = materialize(summary(levels(obs), GROUP, "simple_return").where(F.col("n") >= min_n), "group-statistics")
+    rows = levels(obs).join(stats.select(*GROUP), GROUP, "left_semi")
+    joined = stats.join(holdout(rows, GROUP, "simple_return", ["start_ts", "episode_id"]), GROUP)
+    if samples:
+        joined = joined.join(bootstrap_ci(rows, GROUP, "simple_return", samples), GROUP, "left")
+    else:
+        joined = joined.withColumns({c: F.lit(None).cast("double") for c in ("ci_low", "ci_high")})
+    joined = joined.withColumn("sign_pvalue", sign_test(F.col("negative_count"), F.col("positive_count")))
     plain, by_intent = priors(obs)
-    joined = stats.join(split, GROUP).withColumn("sign_pvalue", sign_test(F.col("negative_count"), F.col("positive_count")))
+    every = obs.agg(F.avg("simple_return")).first()[0]
     joined = joined.join(plain.withColumnRenamed("prior", "_plain"), ["entity_id", "horizon_seconds", "asset_key"], "left").join(by_intent.withColumnRenamed("prior", "_own"), ["entity_id", "intent_label", "horizon_seconds", "asset_key"], "left")
-    prior = F.when(F.col("intent_label") == "", F.col("_plain")).otherwise(F.coalesce("_own", "_plain"))
-    joined = joined.withColumn("shrunk_mean", shrink(F.col("n"), F.col("mean_return"), prior, strength)).drop("_plain", "_own")
-    rated = joined.withColumn("negative_rate", F.col("negative_count") / F.col("n")).withColumn("positive_rate", F.col("positive_count") / F.col("n")).withColumn("motif", F.concat_ws(":", "level", "pattern")).withColumn("_all", F.lit(1))
-    return bh_qvalues(rated, ["_all"], "sign_pvalue").drop("_all")
+    prior = F.coalesce(F.when(F.col("intent_label") == "", F.col("_plain")).otherwise(F.col("_own")), F.lit(every))
+    joined = joined.withColumn("prior_mean", prior).withColumn("shrunk_mean", shrink(F.col("n"), F.col("mean_return"), F.col("prior_mean"), strength)).drop("_plain", "_own")
+    rates = {"negative_rate": F.col("negative_count") / F.col("n"), "positive_rate": F.col("positive_count") / F.col("n"), "motif": F.concat_ws(":", "level", "pattern")}
+    return bh_qvalues(joined.withColumns(rates), [], "sign_pvalue")
 
 
 def write_report(df: DataFrame, path: str, kind: str = "csv") -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.normalize import STABLE_IDS, action_token, asset_key, json_text
 from tracewright.functions.patterns import motif, patterns
-from tracewright.operators.asof import asof_join, nearest
+from tracewright.operators.asof import asof_kinds, nearest
 from tracewright.operators.graph import connected_components
 from tracewright.operators.windows import anchored_windows, chunk
 
@@ -85,11 +85,7 @@ def build_episodes(ev: DataFrame, gap: int = 21600, max_events: int = 50, legs:
 def context_asof(ep: DataFrame, series: DataFrame, by: list[str], kinds: tuple[str, ...]) -> DataFrame:
     """Adds ctx_<kind> for each kind: the series' latest value at or before start_ts on the episode's chain, from its newest captured version; of equal times the first."""
     newest = series.groupBy(*by, "kind", "chain", "time").agg(F.max_by("value", "captured_at").alias("value"))
-    out = ep
-    for kind in kinds:
-        own = newest.where(F.col("kind") == kind).select(*by, "chain", F.col("time").alias("start_ts"), F.col("value").alias(f"ctx_{kind}"))
-        out = asof_join(out, own, [*by, "chain"], "start_ts", out="_m").withColumn(f"ctx_{kind}", F.col(f"_m.ctx_{kind}")).drop("_m")
-    return out
+    return asof_kinds(ep, newest.withColumnRenamed("time", "start_ts"), [*by, "chain"], "start_ts", kinds)
 
 
 def attach_enrichment(ev: DataFrame, enrich: DataFrame) -> DataFrame:

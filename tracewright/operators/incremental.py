@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.operators.stats import bh_qvalues, holdout, shrink, sign_test
+from tracewright.operators import ordered
+from tracewright.operators.stats import bh_qvalues, bootstrap_ci, holdout, shrink, sign_test, summary
 
 KEY = ["pattern_key", "entity_id", "pattern", "intent_label", "asset_key", "horizon_seconds"]
 SUMS = ["n", "sum_return", "sum_sq_return", "negative_count", "positive_count"]
@@ -66,12 +67,14 @@ def dirty_keys(obs: DataFrame, changed: DataFrame) -> DataFrame:
     return obs.join(changed.select("episode_id"), "episode_id", "left_semi").select("pattern_key").distinct()
 
 
-def checkpoints(obs: DataFrame, marks: tuple[int, ...] = MILESTONES) -> DataFrame:
-    """pattern_key, n, mean_return, median_return, negative_rate of the first n observations by time, for every milestone reached."""
-    placed = obs.withColumn("_i", F.row_number().over(Window.partitionBy("pattern_key").orderBy("episode_ts", "observation_key")))
-    reached = placed.withColumn("n", F.explode(F.array(*map(F.lit, marks)))).where(F.col("_i") <= F.col("n"))
-    found = reached.groupBy("pattern_key", "n").agg(F.count("*").alias("_have"), F.avg("return_value").alias("mean_return"), F.median("return_value").alias("median_return"), F.avg((F.col("return_value") < 0).cast("double")).alias("negative_rate"))
-    return found.where(F.col("_have") == F.col("n")).drop("_have")
+def checkpoints(obs: DataFrame, marks: tuple[int, ...] = MILESTONES, samples: int = 500) -> DataFrame:
+    """pattern_key, n, mean_return, median_return, negative_rate, ci_low, ci_high, maturity of the first n observations by time, for every milestone reached. Without samples there are no interval columns."""
+    placed = ordered.positions(obs.select("pattern_key", "episode_ts", "observation_key", "return_value"), ["pattern_key"], ["episode_ts", "observation_key"])
+    passed = F.filter(F.array(*map(F.lit, marks)), lambda m: (F.col("_i") <= m) & (m <= F.col("_n")))
+    reached = placed.where(F.col("_i") <= max(marks)).select("pattern_key", F.explode(passed).alias("n"), "return_value")
+    found = summary(reached.withColumnRenamed("n", "mark"), ["pattern_key", "mark"], "return_value").select("pattern_key", F.col("mark").alias("n"), "mean_return", "median_return", (F.col("negative_count") / F.col("n")).alias("negative_rate"))
+    found = found.withColumn("maturity", F.when(F.col("n") < 20, "EARLY").otherwise("PROMISING"))
+    return found.join(bootstrap_ci(reached, ["pattern_key", "n"], "return_value", samples), ["pattern_key", "n"]) if samples else found
 
 
 def due_groups(agg: DataFrame) -> DataFrame:
@@ -80,16 +83,38 @@ def due_groups(agg: DataFrame) -> DataFrame:
     return agg.where((F.col("n") >= 10) & (last.isNull() | (F.col("n") >= F.least(last + 10, F.ceil(last * 1.2)))))
 
 
-def refresh_stats(agg: DataFrame, obs: DataFrame, strength: float = 20.0) -> DataFrame:
-    """Sign test, hold-out, shrinkage and maturity inputs of the due groups; q-values over the whole family of each layer, in which untested groups count as p = 1."""
+#: What a refresh finds for a group; groups that were not due keep what they had, or have nulls.
+REFRESHED = {
+    "median_return": "double", "ci_low": "double", "ci_high": "double", "sign_pvalue": "double", "shrunk_mean": "double", "train_n": "long", "test_n": "long", "train_mean": "double", "test_mean_return": "double",
+    "holdout_accuracy": "double", "last_expensive_n": "long",
+}
+
+
+def refresh_stats(agg: DataFrame, obs: DataFrame, strength: float = 20.0, samples: int = 1000) -> DataFrame:
+    """The state `agg` after its due groups were measured: KEY, SUMS, the columns of REFRESHED, qvalue and maturity.
+
+    q-values run over the whole family, in which groups never tested count as p = 1, and maturity is told anew for every group. last_expensive_n is what due_groups() asks for next time. Without samples intervals stay as they were.
+    """
     due = due_groups(agg).select(*KEY, *SUMS)
-    own = obs.join(due.select("pattern_key"), "pattern_key", "left_semi")
+    own = obs.join(due.select("pattern_key"), "pattern_key", "left_semi").select("pattern_key", "episode_ts", "observation_key", "return_value")
     split = holdout(own, ["pattern_key"], "return_value", ["episode_ts", "observation_key"])
-    prior = obs.select("entity_id", "intent_label", "asset_key", "horizon_seconds", "episode_id", "return_value").distinct().groupBy("entity_id", "intent_label", "asset_key", "horizon_seconds").agg(F.avg("return_value").alias("_prior"))
-    tested = due.withColumn("sign_pvalue", sign_test(F.col("negative_count"), F.col("positive_count"))).join(split, "pattern_key")
-    tested = tested.join(prior, ["entity_id", "intent_label", "asset_key", "horizon_seconds"], "left").withColumn("shrunk_mean", shrink(F.col("n"), F.col("sum_return") / F.col("n"), F.col("_prior"), strength))
-    family = agg.select(*KEY, "n", F.col("sum_return")).join(tested.select("pattern_key", "sign_pvalue", "train_n", "test_n", "train_mean", "test_mean_return", "holdout_accuracy", "shrunk_mean"), "pattern_key", "left").withColumn("_all", F.lit(1))
-    return bh_qvalues(family, ["_all"], "sign_pvalue").drop("_all")
+    middle = summary(own, ["pattern_key"], "return_value").select("pattern_key", "median_return")
+    scope = ["entity_id", "intent_label", "asset_key", "horizon_seconds"]
+    prior = obs.select(*scope, "episode_id", "return_value").distinct().groupBy(*scope).agg(F.avg("return_value").alias("_prior"))
+    tested = due.withColumn("sign_pvalue", sign_test(F.col("negative_count"), F.col("positive_count"))).join(split, "pattern_key").join(middle, "pattern_key")
+    if samples:
+        tested = tested.join(bootstrap_ci(own, ["pattern_key"], "return_value", samples), "pattern_key", "left")
+    tested = tested.join(prior, scope, "left").withColumn("shrunk_mean", shrink(F.col("n"), F.col("sum_return") / F.col("n"), F.coalesce("_prior", F.lit(0.0)), strength)).withColumn("last_expensive_n", F.col("n"))
+    new = [c for c in REFRESHED if c in tested.columns]
+    both = agg.join(tested.select("pattern_key", *[F.col(c).alias(f"_new_{c}") for c in new]), "pattern_key", "left")
+    held = {c: F.col(c).cast(t) if c in agg.columns else F.lit(None).cast(t) for c, t in REFRESHED.items()}
+    # What was measured now replaces all of a group's former values, nulls included.
+    fresh = F.col("_new_last_expensive_n").isNotNull()
+    family = both.select(*KEY, *SUMS, *[(F.when(fresh, F.col(f"_new_{c}")).otherwise(old) if c in new else old).alias(c) for c, old in held.items()])
+    rated = bh_qvalues(family, [], "sign_pvalue")
+    first = train_mean(F.col("sum_return") / F.col("n"), F.col("n"), F.col("test_mean_return"), F.coalesce("test_n", F.lit(0)), F.col("train_n"))
+    level = maturity(F.col("n"), F.col("ci_low"), F.col("ci_high"), F.col("qvalue"), F.col("holdout_accuracy"), first, F.col("test_mean_return"))
+    return rated.withColumn("maturity", level)
 
 
 def maturity(n: Column, ci_low: Column, ci_high: Column, qvalue: Column, accuracy: Column, train_mean: Column, test_mean: Column) -> Column:

@@ -1,23 +1,27 @@
-"""Group statistics: summaries, sign tests, false discovery rates, hold-outs, shrinkage, bootstrap intervals."""
+"""Group statistics: summaries, sign tests, false discovery rates, hold-outs, shrinkage, bootstrap intervals. No group is gathered in one task (see `ordered`)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.operators import ordered
 from tracewright.sources.shared import materialize
 
-#: Groups up to this size are resampled; larger ones take the order statistics that resampling tends to.
-EXACT_BELOW = 20_000
 
+def summary(df: DataFrame, keys: list[str], value: str, part: int = ordered.PART) -> DataFrame:
+    """n, mean_return, median_return, std_return (0 for one row), negative_count, positive_count; zeros are in neither count. Values are not null.
 
-def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """n, mean_return, median_return, std_return (0 for one row), negative_count, positive_count; zeros are in neither count."""
+    Rows are numbered in order of their value, and the median is the mean of the one or two in the middle; all else is counted in the same pass.
+    """
     v = F.col(value)
-    return df.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg(v).alias("mean_return"), F.median(v).alias("median_return"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std_return"),
+    return ordered.positions(df.select(*keys, value), keys, [value], part).groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg(v).alias("mean_return"), F.avg(F.when(ordered.is_middle(), v)).alias("median_return"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std_return"),
         F.count_if(v < 0).alias("negative_count"), F.count_if(v > 0).alias("positive_count"),
     )
 
@@ -34,21 +38,26 @@ def sign_test(negative: Column, positive: Column) -> Column:
 
 
 def bh_qvalues(df: DataFrame, family: list[str], p: str, out: str = "qvalue") -> DataFrame:
-    """Benjamini-Hochberg within each family: a running minimum from the largest p of p * m / rank. Windows run over the distinct p-values only, and tied p share a q; a null p counts as 1."""
-    filled = materialize(df.withColumn("_p", F.coalesce(p, F.lit(1.0))), "rated")
-    counts = filled.groupBy(*family, "_p").agg(F.count("*").alias("_n"))
-    up = Window.partitionBy(*family).orderBy("_p")
-    ranked = counts.withColumn("_rank", F.sum("_n").over(up.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_m", F.sum("_n").over(Window.partitionBy(*family)))
-    down = Window.partitionBy(*family).orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
-    q = ranked.withColumn(out, F.min(F.least(F.lit(1.0), F.col("_p") * F.col("_m") / F.col("_rank"))).over(down)).select(*family, "_p", out)
-    return filled.join(q, [*family, "_p"]).drop("_p")
+    """Benjamini-Hochberg within each family (no columns: all rows are one): a running minimum from the largest p of p * m / rank; tied p share a q, a null p counts as 1.
 
-
-def holdout(df: DataFrame, keys: list[str], value: str, order: list[str], share: float = 0.7) -> DataFrame:
+    Ranks and minima run over the distinct p-values, in ranges of them: each range by itself, then over one total per range.
+    """
+    filled = materialize(df.withColumn("_p", F.coalesce(p, F.lit(1.0))), "rated")
+    counts = materialize(filled.groupBy(*family, "_p").agg(F.count("*").alias("_count")), "p-values")
+    ranked = ordered.running(counts, family, "_p", "_count", "_rank")
+    if family:
+        ranked = ranked.join(counts.groupBy(*family).agg(F.sum("_count").alias("_m")), family)
+    else:
+        ranked = ranked.withColumn("_m", F.lit(counts.agg(F.sum("_count")).first()[0]))
+    each = ranked.withColumn("_raw", F.least(F.lit(1.0), F.col("_p") * F.col("_m") / F.col("_rank")))
+    q = ordered.least_from_here(each, family, "_p", "_raw", out)
+    return filled.join(q.select(*family, "_p", out), [*family, "_p"]).drop("_p")
+
+
+def holdout(df: DataFrame, keys: list[str], value: str, order: list[str], share: float = 0.7, part: int = ordered.PART) -> DataFrame:
     """train_n, test_n, train_mean, test_mean_return, holdout_accuracy: the first share of a group's rows in order (at least one) sets the direction, and the rest is scored on it."""
-    window = Window.partitionBy(*keys)
-    placed = df.withColumn("_i", F.row_number().over(window.orderBy(*order))).withColumn("_cut", F.greatest(F.lit(1), F.floor(F.count("*").over(window) * share + 1e-9)))
-    train = F.col("_i") <= F.col("_cut")
+    placed = ordered.positions(df.select(*dict.fromkeys([*keys, value, *order])), keys, order, part)
+    train = F.col("_i") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share + 1e-9))
     halves = placed.groupBy(*keys).agg(F.count_if(train).alias("train_n"), F.count_if(~train).alias("test_n"), F.avg(F.when(train, F.col(value))).alias("train_mean"), F.avg(F.when(~train, F.col(value))).alias("test_mean_return"), F.count_if(~train & (F.col(value) < 0)).alias("_neg"), F.count_if(~train & (F.col(value) > 0)).alias("_pos"))
     right = F.when(F.col("train_mean") < 0, F.col("_neg")).otherwise(F.col("_pos"))
     return halves.withColumn("holdout_accuracy", F.when(F.col("test_n") > 0, right / F.col("test_n"))).drop("_neg", "_pos")
@@ -59,27 +68,56 @@ def shrink(n: Column, mean: Column, prior: Column, strength: float = 20.0) -> Co
     return (n * mean + strength * prior) / (n + strength)
 
 
-def bootstrap_ci(df: DataFrame, keys: list[str], value: str, order: list[str], samples: int = 2000, seed: int = 42, exact_below: int = EXACT_BELOW) -> DataFrame:
-    """ci_low, ci_high (2.5 and 97.5 % of resampled medians) and ci_method per group. Groups up to exact_below are resampled by NumPy's default generator on values in order;
-    larger ones give the two order statistics that the resampled median lies between, found by rank without gathering the group. Keys may be null; groups without values give no row."""
-    rows = df.where(F.col(value).isNotNull()).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    small = rows.where(F.col("_n") <= exact_below).select(*keys, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.col(value).cast("double").alias("_v"))
-    names = [f"_o{i}" for i in range(len(order))]
-
-    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values(names)["_v"].to_numpy()
-        rng, medians, n = np.random.default_rng(seed), [], len(values)
-        for start in range(0, samples, 128):
-            medians.append(np.median(rng.choice(values, size=(min(128, samples - start), n), replace=True), axis=1))
-        low, high = np.quantile(np.concatenate(medians), [0.025, 0.975])
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "ci_low": [low], "ci_high": [high], "ci_method": ["resampled"]})
-
-    fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    exact = small.groupBy(*keys).applyInPandas(resample, f"{fields}, ci_low double, ci_high double, ci_method string")
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(value))
-    # Half a median's rank spreads as a binomial of n draws: a normal quantile gives the two ranks.
-    half = 1.959964 * F.sqrt("_n") / 2
-    low, high = F.greatest(F.lit(1), F.floor((F.col("_n") + 1) / 2 - half)), F.least(F.col("_n"), F.ceil((F.col("_n") + 1) / 2 + half))
-    large = rows.where(F.col("_n") > exact_below).withColumn("_r", rank)
-    ranked = large.groupBy(*keys).agg(F.max(F.when(F.col("_r") == low, F.col(value))).alias("ci_low"), F.max(F.when(F.col("_r") == high, F.col(value))).alias("ci_high")).withColumn("ci_method", F.lit("order statistics"))
-    return exact.unionByName(ranked)
+@lru_cache(maxsize=256)
+def drawn_ranks(n: int, samples: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The middle ranks (from 1) of `samples` resamples of n sorted values: lower, upper (equal for odd n) and how many resamples have both.
+
+    The middle of n uniform draws is beta-distributed, and below it the next one is the greatest of the rest: two random numbers stand for n draws, whatever n is.
+    """
+    rng, half = np.random.default_rng([seed, n]), n // 2
+    upper = rng.beta(half + 1, n - half, samples)
+    lower = upper if n % 2 else upper * rng.random(samples) ** (1 / half)
+    places = np.minimum(np.floor(np.stack([lower, upper]) * n).astype(np.int64) + 1, n)
+    pairs, times = np.unique(places, axis=1, return_counts=True)
+    return pairs[0], pairs[1], times
+
+
+def bootstrap_ci(df: DataFrame, keys: list[str], value: str, samples: int = 2000, seed: int = 42, part: int = ordered.PART) -> DataFrame:
+    """keys, ci_low, ci_high: the 2.5 and 97.5 % quantiles of the medians of `samples` resamples of each group.
+
+    A resampled median is one or two of the group's values, so each resample is drawn as ranks, and the values are looked up by rank. One method for every size: a group sends at most 2 * samples lookups, and
+    is never gathered. The draws depend on a group's size and the seed alone. Keys may be null; null values are left out, and groups without values give no row.
+    """
+    group = F.struct(*keys).alias("_g")
+    values = df.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("_v"))
+    ranked = materialize(ordered.positions(values, ["_g"], ["_v"], part), "ranked-values")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                rows, numbers, ranks, times, held = [], [], [], [], 0
+                while at < batch.num_rows and held < 50_000:
+                    low, high, weight = drawn_ranks(batch.column(1)[at].as_py(), samples, seed)
+                    number, two = np.arange(len(low)), np.flatnonzero(low != high)
+                    ranks.append(np.concatenate([low, high[two]]))
+                    numbers.append(np.concatenate([number, two]))
+                    times.append(np.concatenate([weight, weight[two]]))
+                    rows.append(np.full(len(ranks[-1]), at))
+                    held, at = held + len(ranks[-1]), at + 1
+                again, numbers, ranks, times = map(np.concatenate, (rows, numbers, ranks, times))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(again)), *map(pa.array, (numbers, ranks, times))], names=["_g", "_draw", "_i", "_times"])
+
+    kind = ranked.schema["_g"].dataType.simpleString()
+    wanted = ranked.where("_i = 1").select("_g", "_n").mapInArrow(draw, f"_g {kind}, _draw long, _i long, _times long")
+    medians = wanted.join(ranked.select("_g", "_i", "_v"), ["_g", "_i"]).groupBy("_g", "_draw").agg(F.first("_times").alias("_times"), F.avg("_v").alias("_median"))
+    # Resamples up to and with this median; the quantiles lie between the two resamples around their place.
+    upto = F.sum("_times").over(Window.partitionBy("_g").orderBy("_median", "_draw").rowsBetween(Window.unboundedPreceding, 0))
+    placed = medians.withColumn("_upto", upto)
+
+    def quantile(q: float) -> Column:
+        place = q * (samples - 1)
+        below, above = (F.min(F.when(F.col("_upto") > k, F.col("_median"))) for k in (int(place), min(int(place) + 1, samples - 1)))
+        return below + (above - below) * (place - int(place))
+
+    return placed.groupBy("_g").agg(quantile(0.025).alias("ci_low"), quantile(0.975).alias("ci_high")).select("_g.*", "ci_low", "ci_high")

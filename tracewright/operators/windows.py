@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.operators import ordered
 from tracewright.sources.shared import materialize
 
 
@@ -49,12 +50,13 @@ def anchored_windows(ev: DataFrame, keys: list[str], gap: int, ts: str = "ts") -
     return flagged.withColumn("window_start", F.last(F.when(F.col("_anchor"), F.col(ts)), ignorenulls=True).over(order)).select(*ev.columns, "window_start")
 
 
-def islands(df: DataFrame, keys: list[str], ts: str, step: int, widen: int) -> DataFrame:
-    """Gaps and islands: keys, from_ts, to_ts of runs of times at most `step` apart, each end moved out by `widen`."""
-    order = Window.partitionBy(*keys).orderBy(ts)
-    flagged = df.select(*keys, ts).withColumn("_fresh", F.coalesce(F.col(ts) - F.lag(ts).over(order) > step, F.lit(True)).cast("long"))
-    numbered = flagged.withColumn("_run", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "_run").agg((F.min(ts) - widen).alias("from_ts"), (F.max(ts) + widen).alias("to_ts")).drop("_run")
+def islands(df: DataFrame, keys: list[str], ts: str, step: int, widen: int, part: int = ordered.PART) -> DataFrame:
+    """Gaps and islands: keys, from_ts, to_ts of runs of times at most `step` apart, each end moved out by `widen`. Keys of more than `part` rows are cut into stretches of time."""
+    times = df.select(*keys, F.col(ts).alias("_t")).withColumn("_last", F.col("_t"))
+    flagged = ordered.carried(times, keys, [F.col("_t")], ["_last"], inclusive=False, part=part)
+    started = flagged.withColumn("_start", F.when(F.coalesce(F.col("_t") - F.col("_last") > step, F.lit(True)), F.col("_t"))).drop("_last")
+    runs = ordered.carried(started, keys, [F.col("_t"), F.col("_start").asc_nulls_last()], ["_start"], part=part)
+    return runs.groupBy(*keys, "_start").agg((F.min("_t") - widen).alias("from_ts"), (F.max("_t") + widen).alias("to_ts")).drop("_start")
 
 
 def dirty_windows(unbuilt: DataFrame, gap: int, keys: tuple[str, ...] = ("entity_id",), ts: str = "ts") -> DataFrame:
@@ -62,14 +64,18 @@ def dirty_windows(unbuilt: DataFrame, gap: int, keys: tuple[str, ...] = ("entity
     return islands(unbuilt, list(keys), ts, 2 * gap, gap)
 
 
-def affected_subsessions(ev: DataFrame, dirty: DataFrame, keys: list[str], gap: int, ts: str = "ts", entity: str = "entity_id") -> DataFrame:
-    """Events of every whole run that a dirty span touches: the exact unit of a rebuild. Spans meet runs on whole days, so the join is on equality."""
-    day = 86400
+def affected_subsessions(ev: DataFrame, dirty: DataFrame, keys: list[str], gap: int, ts: str = "ts", entity: str = "entity_id", part: int = ordered.PART) -> DataFrame:
+    """Events of every whole run that a dirty span touches: the exact unit of a rebuild.
+
+    One sweep per entity: spans pass by their beginning and runs by their end, and a run is hit if the furthest end of the spans passed reaches its beginning. A span is one row, however long.
+    """
     runs = subsessions(ev, keys, gap, ts)
-    bounds = runs.groupBy(*keys, "sub_start").agg(F.max(ts).alias("_end"))
-    days = lambda a, b: F.explode(F.sequence(F.floor(a / day), F.floor(b / day)))
-    spans = dirty.select(entity, "from_ts", "to_ts", days(F.col("from_ts"), F.col("to_ts")).alias("_day"))
-    hit = bounds.withColumn("_day", days(F.col("sub_start"), F.col("_end"))).join(spans, [entity, "_day"]).where("sub_start <= to_ts and _end >= from_ts").select(*keys, "sub_start").distinct()
+    bounds = runs.groupBy(*keys, "sub_start").agg(F.max(ts).alias("_t"))
+    rest = [k for k in keys if k != entity]
+    spans = dirty.select(entity, F.col("from_ts").alias("_t"), F.lit(0).alias("_kind"), F.col("to_ts").alias("_reach"))
+    swept = spans.unionByName(bounds.select(entity, "_t", F.lit(1).alias("_kind"), *rest, "sub_start"), allowMissingColumns=True)
+    passed = ordered.carried(swept, [entity], [F.col("_t"), F.col("_kind")], ["_reach"], how="max", part=part)
+    hit = passed.where((F.col("_kind") == 1) & (F.col("_reach") >= F.col("sub_start"))).select(*keys, "sub_start")
     return runs.join(hit, [*keys, "sub_start"], "left_semi").select(*ev.columns)
 
 

@@ -53,7 +53,7 @@ DAYS = f"""{EV}, {PX}, dd AS (SELECT entity_id, wallet, CAST(floor(ts / {DAY}) A
     SELECT *, 'entity_action' AS level, 'entity' AS scope_type, entity_id AS scope_id, split_part(motif, '>', 1) AS pattern, '' AS intent_label FROM obs o(episode_id, entity_id, wallet, start_ts, motif, patterns, asset_key, horizon_seconds, simple_return, il, intent, regime, gross_usd)
     UNION ALL BY NAME SELECT *, 'entity_action_intent' AS level, 'entity' AS scope_type, entity_id AS scope_id, split_part(motif, '>', 1) AS pattern FROM obs
     UNION ALL BY NAME SELECT * EXCLUDE (intent_label), 'entity_pattern' AS level, 'entity' AS scope_type, entity_id AS scope_id, '' AS intent_label FROM pat WHERE NOT starts_with(pattern, 'ACTION:')
-    UNION ALL BY NAME SELECT *, 'entity_pattern_intent' AS level, 'entity' AS scope_type, entity_id AS scope_id FROM pat WHERE NOT starts_with(pattern, 'ACTION:')
+    UNION ALL BY NAME SELECT *, 'entity_pattern_intent' AS level, 'entity' AS scope_type, entity_id AS scope_id FROM pat
     UNION ALL BY NAME SELECT *, 'wallet_pattern_intent_asset' AS level, 'wallet' AS scope_type, wallet AS scope_id FROM pat))"""
 G = ", ".join(B.GROUP)
 #: Groups of at least five observations at the entity's action level, enough for every statistic.
@@ -81,8 +81,8 @@ def _stats(spark, d):
 def q0_flagship(spark, d):
     """For each entity and behaviour pattern: what was the next-day return?"""
     each = B.explode_patterns(observations(spark, d)).where(F.col("horizon_seconds") == DAY)
-    stats = S.summary(each, ["entity_id", "pattern"], "simple_return").where("n >= 3").withColumn("p", S.sign_test(F.col("negative_count"), F.col("positive_count"))).withColumn("_all", F.lit(1))
-    rated = S.bh_qvalues(stats, ["_all"], "p")
+    stats = S.summary(each, ["entity_id", "pattern"], "simple_return").where("n >= 3").withColumn("p", S.sign_test(F.col("negative_count"), F.col("positive_count")))
+    rated = S.bh_qvalues(stats, [], "p")
     return rated.select("entity_id", "pattern", "n", F.round("mean_return", 6).alias("mean_return"), F.round("median_return", 6).alias("median_return"), "negative_count", "positive_count", _millionths(F.col("p")).alias("p"), F.round("qvalue", 6).alias("qvalue"))
 
 
@@ -117,7 +117,7 @@ def b7_stats(spark, d):
 
 
 def b8_bootstrap(spark, d):
-    return S.bootstrap_ci(observations(spark, d), ["entity_id", "asset_key", "horizon_seconds"], "simple_return", ["start_ts", "episode_id"], samples=1000)
+    return S.bootstrap_ci(observations(spark, d), ["entity_id", "asset_key", "horizon_seconds"], "simple_return", samples=1000)
 
 
 def b9_sign_test(spark, d):
@@ -125,21 +125,18 @@ def b9_sign_test(spark, d):
 
 
 def b10_bh(spark, d):
-    rated = _stats(spark, d).withColumn("p", S.sign_test(F.col("negative_count"), F.col("positive_count"))).withColumn("_all", F.lit(1))
-    rated = rated.withColumn("p", F.round("p", 9))
-    return S.bh_qvalues(rated, ["_all"], "p").select(*B.GROUP, F.round("qvalue", 6).alias("qvalue"))
+    rated = _stats(spark, d).withColumn("p", F.round(S.sign_test(F.col("negative_count"), F.col("positive_count")), 9))
+    return S.bh_qvalues(rated, [], "p").select(*B.GROUP, F.round("qvalue", 6).alias("qvalue"))
 
 
 def b11_holdout(spark, d):
-    found = S.holdout(_levels(spark, d).where(F.col("level").startswith("entity_action")), B.GROUP, "simple_return", ["start_ts", "episode_id"])
+    found = S.holdout(_levels(spark, d), B.GROUP, "simple_return", ["start_ts", "episode_id"])
     return found.select(*B.GROUP, "train_n", "test_n", *[F.round(c, 6).alias(c) for c in ("train_mean", "test_mean_return", "holdout_accuracy")])
 
 
 def b12_shrinkage(spark, d):
-    obs = observations(spark, d)
-    prior, _ = B.priors(obs)
-    stats = _stats(spark, d).where("level = 'entity_action'").join(prior, ["entity_id", "horizon_seconds", "asset_key"])
-    return stats.select(*B.GROUP, F.round(S.shrink(F.col("n"), F.col("mean_return"), F.col("prior")), 6).alias("shrunk_mean"))
+    found = B.backtest(day_episodes(spark, d), day_labels(spark, d), day_context(spark, d), samples=0)
+    return found.select(*B.GROUP, *[F.round(c, 6).alias(c) for c in ("prior_mean", "shrunk_mean")])
 
 
 def b13_support(spark, d):
@@ -151,8 +148,19 @@ def b14_mixed_assets(spark, d):
 
 
 def b15_backtest(spark, d):
-    found = B.backtest(day_episodes(spark, d), day_labels(spark, d), day_context(spark, d)).where("level = 'entity_action_intent'")
-    return found.select("scope_type", "scope_id", "motif", "intent_label", "asset_key", "horizon_seconds", "n", F.round("shrunk_mean", 6).alias("shrunk_mean"), F.round("negative_rate", 6).alias("negative_rate"), F.round("positive_rate", 6).alias("positive_rate"))
+    found = B.backtest(day_episodes(spark, d), day_labels(spark, d), day_context(spark, d), samples=0)
+    rounded = ("mean_return", "median_return", "std_return", "prior_mean", "shrunk_mean", "negative_rate", "positive_rate", "train_mean", "test_mean_return", "holdout_accuracy")
+    return found.select(*[c for c in B.GROUP if c != "pattern"], "motif", "n", "train_n", "test_n", *[F.round(c, 6).alias(c) for c in rounded], _millionths(F.col("sign_pvalue")).alias("sign_pvalue"))
+
+
+def b15_intervals(spark, d):
+    """The whole report, with the intervals, which are drawn and have no twin."""
+    return B.backtest(day_episodes(spark, d), day_labels(spark, d), day_context(spark, d))
+
+
+def b16_scopes(spark, d):
+    """Which wallets and entities a group's scope names."""
+    return _levels(spark, d).select("scope_type", "scope_id", "entity_id", "level").distinct()
 
 
 def _new(spark, d, layer="primary", half=None):
@@ -190,8 +198,13 @@ def i5_rebuild(spark, d):
 
 
 def i6_checkpoints(spark, d):
-    found = I.checkpoints(_new(spark, d))
-    return found.select("pattern_key", "n", *[F.round(c, 6).alias(c) for c in ("mean_return", "median_return", "negative_rate")])
+    found = I.checkpoints(_new(spark, d), samples=0)
+    return found.select("pattern_key", "n", "maturity", *[F.round(c, 6).alias(c) for c in ("mean_return", "median_return", "negative_rate")])
+
+
+def i6_intervals(spark, d):
+    """Checkpoints with their intervals, which are drawn and have no twin."""
+    return I.checkpoints(_new(spark, d))
 
 
 def i7_stale(spark, d):
@@ -212,13 +225,18 @@ def i9_due_groups(spark, d):
 
 
 def i10_refresh(spark, d):
-    found = I.refresh_stats(_aggregates(spark, d), _new(spark, d))
-    return found.where("train_n is not null").select("pattern_key", "n", "train_n", "test_n", F.round("shrunk_mean", 6).alias("shrunk_mean"), F.round("holdout_accuracy", 6).alias("holdout_accuracy"))
+    found = I.refresh_stats(_aggregates(spark, d), _new(spark, d), samples=0).where("train_n is not null")
+    return found.select("pattern_key", "n", "train_n", "test_n", "last_expensive_n", *[F.round(c, 6).alias(c) for c in ("median_return", "shrunk_mean", "train_mean", "test_mean_return", "holdout_accuracy")])
+
+
+def i10_intervals(spark, d):
+    """The refreshed state with its intervals, which are drawn and have no twin, and the maturity that follows from them."""
+    return I.refresh_stats(_aggregates(spark, d), _new(spark, d))
 
 
 def i11_family(spark, d):
-    found = I.refresh_stats(_aggregates(spark, d), _new(spark, d))
-    return found.groupBy(F.col("sign_pvalue").isNull().alias("untested")).agg(F.count("*").alias("groups"), F.round(F.min("qvalue"), 6).alias("least_q"), F.round(F.max("qvalue"), 6).alias("most_q"))
+    found = I.refresh_stats(_aggregates(spark, d), _new(spark, d), samples=0)
+    return found.select("pattern_key", F.col("sign_pvalue").isNull().alias("untested"), F.round("qvalue", 6).alias("qvalue"))
 
 
 def _mature(spark, d):
@@ -278,7 +296,9 @@ def _holdout_sql(source: str, keys: str, value: str, order: str) -> str:
 _KS = "scope_id, pattern, asset_key, horizon_seconds"
 _MATURE = f"""{DAYS}, ea AS (SELECT * FROM lvl WHERE level = 'entity_action'), ms AS (SELECT {_KS}, count(*) AS n, avg(simple_return) AS mean, coalesce(stddev_samp(simple_return), 0) AS sd, count(*) FILTER (simple_return < 0) AS neg, count(*) FILTER (simple_return > 0) AS pos FROM ea GROUP BY ALL),
   mh AS ({_holdout_sql("ea", _KS, "simple_return", "start_ts, episode_id")}), mm AS (SELECT *, mean - 1.96 * sd / sqrt(n) AS lo, mean + 1.96 * sd / sqrt(n) AS hi, {_TAIL} AS q FROM ms JOIN mh USING ({_KS}))"""
-_PRIOR = "pr AS (SELECT entity_id, asset_key, horizon_seconds, avg(simple_return) AS prior FROM obs GROUP BY ALL)"
+#: Groups with their prior: of entity, asset and horizon, and of intent too where the level has one.
+_REPORT = f"""{GROUPS}, pl AS (SELECT entity_id, asset_key, horizon_seconds, avg(simple_return) AS plain FROM obs GROUP BY ALL), pi AS (SELECT entity_id, intent_label, asset_key, horizon_seconds, avg(simple_return) AS own FROM obs GROUP BY ALL),
+  rep AS (SELECT *, coalesce(CASE WHEN intent_label = '' THEN plain ELSE own END, (SELECT avg(simple_return) FROM obs)) AS prior FROM grp LEFT JOIN pl USING (entity_id, asset_key, horizon_seconds) LEFT JOIN pi USING (entity_id, intent_label, asset_key, horizon_seconds))"""
 
 ORACLES = {
     "q0_flagship": f"""WITH {DAYS}, grp AS (SELECT entity_id, pattern, count(*) AS n, avg(simple_return) AS mean_return, median(simple_return) AS median_return, count(*) FILTER (simple_return < 0) AS neg, count(*) FILTER (simple_return > 0) AS pos FROM pat WHERE horizon_seconds = {DAY} GROUP BY ALL HAVING count(*) >= 3),
@@ -294,12 +314,14 @@ ORACLES = {
     "b9_sign_test": f"WITH {SIGNS} SELECT {G}, {_MILLIONTHS} AS p FROM sgn",
     "b10_bh": f"""WITH {GROUPS}, sgn AS (SELECT *, round({_TAIL}, 9) AS p FROM grp), rnk AS (SELECT *, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS r, count(*) OVER () AS m FROM sgn)
       SELECT {G}, round(min(least(1.0, p * m / r)) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING), 6) AS qvalue FROM rnk""",
-    "b11_holdout": f"WITH {DAYS}, ea AS (SELECT * FROM lvl WHERE starts_with(level, 'entity_action')), h AS ({_holdout_sql('ea', G, 'simple_return', 'start_ts, episode_id')}) SELECT {G}, train_n, test_n, round(tm, 6) AS train_mean, round(sm, 6) AS test_mean_return, round(acc, 6) AS holdout_accuracy FROM h",
-    "b12_shrinkage": f"WITH {GROUPS}, {_PRIOR} SELECT {G}, round((n * mean_return + 20 * prior) / (n + 20), 6) AS shrunk_mean FROM grp JOIN pr USING (entity_id, asset_key, horizon_seconds) WHERE level = 'entity_action'",
+    "b11_holdout": f"WITH {DAYS}, h AS ({_holdout_sql('lvl', G, 'simple_return', 'start_ts, episode_id')}) SELECT {G}, train_n, test_n, round(tm, 6) AS train_mean, round(sm, 6) AS test_mean_return, round(acc, 6) AS holdout_accuracy FROM h",
+    "b12_shrinkage": f"WITH {_REPORT} SELECT {G}, round(prior, 6) AS prior_mean, round((n * mean_return + 20 * prior) / (n + 20), 6) AS shrunk_mean FROM rep",
     "b13_support": f"WITH {GROUPS} SELECT level, count(*) AS groups, CAST(sum(n) AS BIGINT) AS rows FROM grp GROUP BY 1",
     "b14_mixed_assets": f"WITH {DAYS}, a AS (SELECT level, scope_id, pattern, intent_label, horizon_seconds, count(DISTINCT asset_key) AS c FROM lvl GROUP BY ALL) SELECT level, count(*) AS n, max(c) AS most FROM a WHERE c > 1 GROUP BY 1",
-    "b15_backtest": f"""WITH {GROUPS}, pi AS (SELECT entity_id, intent_label, asset_key, horizon_seconds, avg(simple_return) AS prior FROM obs GROUP BY ALL) SELECT scope_type, scope_id, level || ':' || pattern AS motif, intent_label, asset_key, horizon_seconds, n,
-      round((n * mean_return + 20 * prior) / (n + 20), 6) AS shrunk_mean, round(neg / n, 6) AS negative_rate, round(pos / n, 6) AS positive_rate FROM grp JOIN pi USING (entity_id, intent_label, asset_key, horizon_seconds) WHERE level = 'entity_action_intent'""",
+    "b15_backtest": f"""WITH {_REPORT}, h AS ({_holdout_sql("lvl", G, "simple_return", "start_ts, episode_id")}) SELECT {", ".join(c for c in B.GROUP if c != "pattern")}, level || ':' || pattern AS motif, n, train_n, test_n,
+      round(mean_return, 6) AS mean_return, round(median_return, 6) AS median_return, round(std_return, 6) AS std_return, round(prior, 6) AS prior_mean, round((n * mean_return + 20 * prior) / (n + 20), 6) AS shrunk_mean, round(neg / n, 6) AS negative_rate,
+      round(pos / n, 6) AS positive_rate, round(tm, 6) AS train_mean, round(sm, 6) AS test_mean_return, round(acc, 6) AS holdout_accuracy, {_MILLIONTHS} AS sign_pvalue FROM (SELECT *, {_TAIL} AS p FROM rep) JOIN h USING ({G})""",
+    "b16_scopes": f"WITH {DAYS} SELECT DISTINCT scope_type, scope_id, entity_id, level FROM lvl",
     "i1_canonical": f"""WITH {DAYS}, g AS (SELECT episode_id, motif, CASE WHEN len(patterns) % 2 = 0 THEN list_filter(patterns, lambda p: starts_with(p, 'ENDPOINT') OR starts_with(p, 'FULL')) ELSE [] END AS f FROM epd),
       h AS (SELECT episode_id, motif, unnest(CASE WHEN len(f) > 0 THEN f ELSE ['FULL:' || motif] END) AS v FROM g), k AS (SELECT episode_id, motif, split_part(v, ':', 1) AS p, substr(v, strpos(v, ':') + 1) AS b FROM h),
       c AS (SELECT episode_id, CASE WHEN p = 'FULL' AND len(string_split(b, '>')) <= 3 THEN ['ACTION', 'BIGRAM', 'TRIGRAM'][len(string_split(b, '>'))] WHEN p = 'ENDPOINT' AND len(string_split(motif, '>')) = 2 AND b = motif THEN 'BIGRAM' ELSE p END || ':' || b AS x FROM k)
@@ -309,15 +331,16 @@ ORACLES = {
     "i4_delta_merge": f"WITH {_AGG} SELECT pattern_key, n, round(s, 4) AS sum_return, round(s / n, 6) AS mean_return, neg AS negative_count, pos AS positive_count, CASE WHEN n >= 20 THEN 'PROMISING' ELSE 'EARLY' END AS maturity FROM ag",
     "i5_rebuild": f"WITH {_NEW} SELECT entity_id, horizon_seconds, count(DISTINCT pattern_key) AS groups, count(*) AS n FROM nw WHERE entity_id <> 'ent_1' OR horizon_seconds > 3600 GROUP BY 1, 2",
     "i6_checkpoints": f"""WITH {_NEW}, p AS (SELECT *, row_number() OVER (PARTITION BY pattern_key ORDER BY start_ts, observation_key) AS i, count(*) OVER (PARTITION BY pattern_key) AS c FROM nw), m AS (SELECT unnest({list(I.MILESTONES)}) AS mark)
-      SELECT pattern_key, mark AS n, round(avg(r), 6) AS mean_return, round(median(r), 6) AS median_return, round(avg(CASE WHEN r < 0 THEN 1.0 ELSE 0 END), 6) AS negative_rate FROM p JOIN m ON i <= mark AND c >= mark GROUP BY 1, 2""",
+      SELECT pattern_key, mark AS n, CASE WHEN mark < 20 THEN 'EARLY' ELSE 'PROMISING' END AS maturity, round(avg(r), 6) AS mean_return, round(median(r), 6) AS median_return, round(avg(CASE WHEN r < 0 THEN 1.0 ELSE 0 END), 6) AS negative_rate FROM p JOIN m ON i <= mark AND c >= mark GROUP BY 1, 2""",
     "i7_stale": f"WITH {_NEW} SELECT entity_id, count(*) AS n FROM nw WHERE entity_id <> 'ent_2' GROUP BY 1",
     "i8_dirty_keys": f"WITH {_NEW} SELECT DISTINCT pattern_key FROM nw WHERE start_ts < 1704200000",
     "i9_due_groups": f"WITH {_DUE} SELECT horizon_seconds, count(*) AS groups, CAST(sum(n) AS BIGINT) AS n FROM du GROUP BY 1",
     "i10_refresh": f"""WITH {_DUE}, ow AS (SELECT nw.* FROM nw JOIN du USING (pattern_key)), h AS ({_holdout_sql('ow', 'pattern_key', 'r', 'start_ts, observation_key')}), dp AS (SELECT entity_id, asset_key, horizon_seconds, avg(r) AS prior FROM (SELECT DISTINCT entity_id, asset_key, horizon_seconds, episode_id, r FROM nw) GROUP BY ALL)
-      SELECT pattern_key, n, train_n, test_n, round((s + 20 * prior) / (n + 20), 6) AS shrunk_mean, round(acc, 6) AS holdout_accuracy FROM du JOIN h USING (pattern_key) JOIN dp USING (entity_id, asset_key, horizon_seconds)""",
+      SELECT pattern_key, n, train_n, test_n, n AS last_expensive_n, round(med, 6) AS median_return, round((s + 20 * prior) / (n + 20), 6) AS shrunk_mean, round(tm, 6) AS train_mean, round(sm, 6) AS test_mean_return, round(acc, 6) AS holdout_accuracy
+      FROM du JOIN h USING (pattern_key) JOIN dp USING (entity_id, asset_key, horizon_seconds) JOIN (SELECT pattern_key, median(r) AS med FROM ow GROUP BY 1) USING (pattern_key)""",
     "i11_family": f"""WITH {_DUE}, f AS (SELECT ag.pattern_key, du.pattern_key IS NULL AS untested, CASE WHEN du.pattern_key IS NULL THEN 1.0 ELSE (SELECT {_TAIL} FROM (SELECT ag.neg AS neg, ag.pos AS pos)) END AS p FROM ag LEFT JOIN du USING (pattern_key)),
       rnk AS (SELECT *, rank() OVER (ORDER BY round(p, 12)) + count(*) OVER (PARTITION BY round(p, 12)) - 1 AS r, count(*) OVER () AS m FROM f), q AS (SELECT *, min(least(1.0, p * m / r)) OVER (ORDER BY round(p, 12) DESC RANGE UNBOUNDED PRECEDING) AS q FROM rnk)
-      SELECT untested, count(*) AS groups, round(min(q), 6) AS least_q, round(max(q), 6) AS most_q FROM q GROUP BY 1""",
+      SELECT pattern_key, untested, round(q, 6) AS qvalue FROM q""",
     "i12_maturity": f"""WITH {_MATURE} SELECT CASE WHEN n < 20 THEN 'EARLY' WHEN n >= 100 AND (lo > 0 OR hi < 0) AND q <= 0.05 AND tm * sm > 0 AND coalesce(acc, 0) >= 0.6 THEN 'ROBUST' WHEN n >= 50 AND (lo > 0 OR hi < 0) AND tm * sm > 0 AND coalesce(acc, 0) >= 0.55 THEN 'ESTABLISHING' ELSE 'PROMISING' END AS maturity,
       count(*) AS groups, CAST(sum(n) AS BIGINT) AS n FROM mm GROUP BY 1""",
     "i13_train_mean": f"WITH {_MATURE} SELECT {_KS}, round(tm, 6) AS train_mean FROM mm",

@@ -28,8 +28,19 @@ def _pick(position, values):
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, entity_id, wallet, chain, ts, k, action_type, cex_id, project_id, cate_id, usd_value, primary_asset_key, counterparty."""
-    raw = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    users = raw.agg(F.max("user_id") + 1).first()[0]
+    raw = table(spark, sf_dir, "events")
+    return as_events(raw, raw.agg(F.max("user_id") + 1).first()[0])
+
+
+def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events() of the table read as a stream of files."""
+    raw = table(spark, sf_dir, "events")
+    return as_events(spark.readStream.schema(raw.schema).parquet(f"{sf_dir}/events.parquet"), raw.agg(F.max("user_id") + 1).first()[0])
+
+
+def as_events(raw: DataFrame, users: int | None) -> DataFrame:
+    """The columns of events() of raw rows; `users` is the number of accounts."""
+    raw = raw.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     action = F.lit(None).cast("string")
     for kind, name in ACTIONS.items():
         action = F.when(F.col("event_type") == kind, name).otherwise(action)

@@ -8,16 +8,33 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.normalize import asset_key, normal_address
+from tracewright.sources.shared import discard, materialize, path_exists
+
+
+#: Hexadecimal digits of a digest that name its part of the archive's index.
+PREFIX = 2
 
 
 def write_archive(raw: DataFrame, path: str) -> None:
-    """Compressed JSON by provider and day, one row per distinct payload (sha256). Payloads that the archive holds already are not written again."""
-    session = raw.sparkSession
-    keyed = raw.withColumn("sha256", F.sha2("payload", 256)).dropDuplicates(["sha256"])
-    folder = session._jvm.org.apache.hadoop.fs.Path(path)
-    if folder.getFileSystem(session._jsc.hadoopConfiguration()).exists(folder):
-        keyed = keyed.join(read_archive(session, path, "sha256 string"), "sha256", "left_anti")
-    keyed.write.mode("append").partitionBy("provider", "day").option("compression", "gzip").json(path)
+    """Compressed JSON by provider and day, one row per distinct payload (sha256). Payloads that the archive holds already are not written again.
+
+    Digests are kept beside the archive, in parts by their first digits, and a landing reads the parts that its own digests fall in; payloads are not read. A landing's files are named by what is new in it,
+    so one that was cut off before its digests were noted overwrites its own files when it is run again. One landing at a time.
+    """
+    session, index = raw.sparkSession, f"{path.rstrip('/')}_digests"
+    first = ["provider", "day", *[c for c in raw.columns if c not in ("provider", "day")]]
+    keyed = raw.groupBy(F.sha2("payload", 256).alias("sha256")).agg(F.min(F.struct(*first)).alias("_first")).select("sha256", "_first.*", F.substring("sha256", 1, PREFIX).alias("prefix"))
+    if path_exists(session, index):
+        own = [row[0] for row in keyed.select("prefix").distinct().collect()]
+        known = session.read.schema("sha256 string, prefix string").parquet(index).where(F.col("prefix").isin(own))
+        keyed = keyed.join(known.select("sha256"), "sha256", "left_anti")
+    fresh = materialize(keyed, "landing")
+    mark = fresh.agg(F.hex(F.bit_xor(F.xxhash64("sha256"))).alias("mark")).first()[0]
+    if mark is not None:
+        landed = fresh.drop("prefix").withColumn("landing", F.lit(mark))
+        landed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("provider", "day", "landing").option("compression", "gzip").json(path)
+        fresh.select("sha256", "prefix").repartition("prefix").write.mode("append").partitionBy("prefix").parquet(index)
+    discard(fresh)
 
 
 def read_archive(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -37,6 +37,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that materialize() wrote, once what was computed from them has itself been written."""
     for df in tables:
