@@ -1,6 +1,7 @@
 """Hand cases of landing: ids of any text, the newest response, the ends of a page walk, payloads that land twice."""
 
 import json
+import shutil
 
 from pyspark.sql import functions as F
 
@@ -38,3 +39,29 @@ def test_a_payload_lands_once(spark, tmp_path):
     ingest.write_archive(raw, path)
     back = ingest.read_archive(spark, path, "payload string, provider string, day long").collect()
     assert sorted((r["payload"], r["day"]) for r in back) == [("one", 1), ("two", 2)]
+
+
+def test_a_landing_reads_its_own_part_of_the_digests(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    schema = "provider string, day long, payload string"
+    ingest.write_archive(spark.createDataFrame([("p", k % 3, f"payload {k}") for k in range(300)], schema), path)
+    parts = {p.name for p in (tmp_path / "archive_digests").iterdir() if p.is_dir()}
+    assert len(parts) > 100
+    # Digests of other prefixes are not opened: spoiling their files goes unnoticed.
+    one = spark.createDataFrame([("p", 0, "payload 7"), ("p", 0, "new")], schema)
+    own = {f"prefix={r[0]}" for r in one.select(F.substring(F.sha2("payload", 256), 1, 2)).collect()}
+    for name in parts - own:
+        for f in (tmp_path / "archive_digests" / name).glob("*.parquet"):
+            f.write_bytes(b"spoiled")
+            f.with_name(f".{f.name}.crc").unlink(missing_ok=True)
+    ingest.write_archive(one, path)
+    assert ingest.read_archive(spark, path, schema).count() == 301
+
+
+def test_a_landing_cut_off_before_its_digests_lands_once(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    raw = spark.createDataFrame([("p", 1, "one"), ("q", 2, "two")], "provider string, day long, payload string")
+    ingest.write_archive(raw, path)
+    shutil.rmtree(tmp_path / "archive_digests")
+    ingest.write_archive(raw, path)
+    assert sorted(r.payload for r in ingest.read_archive(spark, path, "payload string, provider string, day long").collect()) == ["one", "two"]

@@ -151,16 +151,6 @@ def test_false_discovery_rate(spark):
     assert [round(q, 12) for _, q in values(got, "k", "qvalue")] == [round(q, 12) for q in want]
 
 
-def test_bootstrap_is_repeatable_and_close_to_ranks(spark):
-    import numpy as np
-
-    x = np.random.default_rng(0).normal(0.1, 1, 401)
-    df = spark.createDataFrame([("g", k, float(v)) for k, v in enumerate(x)], "g string, k int, v double")
-    exact, again, ranked = (stats.bootstrap_ci(df.repartition(n), ["g"], "v", ["k"], exact_below=limit).first() for n, limit in ((1, 1000), (3, 1000), (2, 10)))
-    assert exact == again and ranked["ci_method"] == "order statistics"
-    assert abs(exact["ci_low"] - ranked["ci_low"]) < 0.1 and abs(exact["ci_high"] - ranked["ci_high"]) < 0.1
-
-
 @pytest.mark.parametrize("args, want", [((3, -0.1, 0.2, 0.01, 0.9, 1.0, 1.0), "EARLY"), ((120, -0.04, -0.01, 0.01, 0.7, -0.02, -0.03), "ROBUST"), ((60, 0.01, 0.02, 0.2, 0.56, 0.1, 0.1), "ESTABLISHING"), ((60, -0.01, 0.02, 0.2, 0.9, 0.1, 0.1), "PROMISING")])
 def test_maturity(spark, args, want):
     df = spark.createDataFrame([args], "n int, a double, b double, q double, h double, t double, s double")

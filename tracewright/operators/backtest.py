@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.operators.stats import bh_qvalues, bootstrap_ci, holdout, shrink, sign_test, summary
-from tracewright.sources.shared import materialize
+from tracewright.sources.shared import materialize, spread
 
 LEVELS = ("entity_action", "entity_action_intent", "entity_pattern", "entity_pattern_intent", "wallet_pattern_intent_asset")
 
@@ -39,25 +41,53 @@ def broad_action(motif):
     return F.split_part(motif, F.lit(">"), F.lit(1))
 
 
-def levels(obs: DataFrame) -> DataFrame:
-    """Observations once for each level's key, in one pass: level, scope_type, scope_id, entity_id, pattern, intent_label ('' where the level ignores it)."""
+def levels(obs: DataFrame, code: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Observations once for each level's key: level, scope_type, scope_id, entity_id, pattern, intent_label ('' where the level ignores it). ACTION patterns stand for themselves at the level of entity_action.
+
+    With `code`, names are coded before rows multiply: all keys are numbers then (CODED; the level is its place in LEVELS), which decoded() turns back into names.
+    """
+    put = code or (lambda c: c.cast("string"))
     base = ["episode_id", "start_ts", "entity_id", "asset_key", "horizon_seconds", "simple_return"]
-    entity, intent, no_intent = F.col("entity_id").cast("string"), F.col("intent_label"), F.lit("")
+    every = F.coalesce(all_patterns(), F.array().cast("array<string>"))
+    names = {c: put(F.col(c)) for c in ("entity_id", "asset_key", "intent_label")}
+    one = obs.select(
+        *[names[c].alias(c) if c in names else c for c in base], names["intent_label"].alias("intent_label"), put(broad_action(F.col("motif"))).alias("action"), F.transform(F.array_distinct("wallets"), lambda w: put(w)).alias("wallets"),
+        F.transform(F.filter(every, lambda p: ~p.startswith("ACTION:")), lambda p: put(p)).alias("own"), F.transform(F.filter(every, lambda p: p.startswith("ACTION:")), lambda p: put(p)).alias("short"),
+    )
+    carried = [*base, "intent_label"]
+
+    def rows(source: DataFrame, who: str, pattern: str, *kinds: int) -> DataFrame:
+        each = source.select(*base, F.col(who).alias("scope_id"), F.col(pattern).alias("pattern"), "intent_label", F.explode(F.array(*map(F.lit, kinds))).alias("_level"))
+        return each.withColumn("intent_label", F.when(F.col("_level").isin(0, 2), put(F.lit(""))).otherwise(F.col("intent_label")))
+
+    own, short = (one.select(*carried, F.explode(c).alias("pattern")) for c in ("own", "short"))
+    both = one.select(*carried, "wallets", F.explode(F.concat("own", "short")).alias("pattern")).select(*carried, "pattern", F.explode("wallets").alias("wallet"))
+    found = rows(one, "entity_id", "action", 0, 1).unionByName(rows(own, "entity_id", "pattern", 2, 3)).unionByName(rows(short, "entity_id", "pattern", 3)).unionByName(rows(both, "wallet", "pattern", 4))
+    return found if code else _named_levels(found)
+
+
+def _named_levels(df: DataFrame) -> DataFrame:
+    level = F.element_at(F.array(*map(F.lit, LEVELS)), F.col("_level") + 1)
+    return df.select("*", level.alias("level"), F.when(F.col("_level") == 4, "wallet").otherwise("entity").alias("scope_type")).drop("_level")
+
+
+#: Keys of coded levels.
+CODED = ["_level", "scope_id", "entity_id", "pattern", "intent_label", "asset_key", "horizon_seconds"]
+
+
+def decoded(df: DataFrame, obs: DataFrame) -> DataFrame:
+    """Rows keyed by CODED with names again, those of obs: GROUP and the other columns."""
+    single = obs.select(F.explode(F.array("entity_id", "asset_key", "intent_label", F.lit(""), broad_action(F.col("motif")))).alias("name")).distinct()
+    many = obs.select(F.coalesce(all_patterns(), F.array().cast("array<string>")).alias("p"), "wallets").distinct().select(F.explode(F.concat("p", F.coalesce("wallets", F.array().cast("array<string>")))).alias("name"))
+    names = materialize(single.unionByName(many).distinct().select(F.xxhash64("name").alias("_code"), "name"), "names")
+    for column in CODED[1:-1]:
+        df = df.join(names.select(F.col("_code").alias(column), F.col("name").alias(f"_{column}")), column).withColumn(column, F.col(f"_{column}")).drop(f"_{column}")
+    return _named_levels(df)
 
-    def key(level: int, scope: str, who: Column, pattern: Column, label: Column) -> Column:
-        parts = {"level": F.lit(LEVELS[level]), "scope_type": F.lit(scope), "scope_id": who, "pattern": pattern, "intent_label": label}
-        return F.struct(*[c.cast("string").alias(name) for name, c in parts.items()])
 
-    action, patterns = broad_action(F.col("motif")), F.coalesce(all_patterns(), F.array().cast("array<string>"))
-    own = F.filter(patterns, lambda p: ~p.startswith("ACTION:"))
-    wallets = F.coalesce(F.array_distinct("wallets"), F.array().cast("array<string>"))
-    keys = F.concat(
-        F.array(key(0, "entity", entity, action, no_intent), key(1, "entity", entity, action, intent)),
-        F.transform(own, lambda p: key(2, "entity", entity, p, no_intent)),
-        F.transform(patterns, lambda p: key(3, "entity", entity, p, intent)),
-        F.flatten(F.transform(patterns, lambda p: F.transform(wallets, lambda w: key(4, "wallet", w, p, intent)))),
-    )
-    return obs.select(*base, F.explode(keys).alias("_key")).select(*base, "_key.*")
+def largest_group(obs: DataFrame) -> int:
+    """No level has a group of more rows: an observation is at most once in a group, and groups mix neither entities nor assets nor horizons."""
+    return obs.groupBy("entity_id", "asset_key", "horizon_seconds").count().agg(F.max("count")).first()[0] or 0
 
 
 GROUP = ["level", "scope_type", "scope_id", "entity_id", "pattern", "intent_label", "asset_key", "horizon_seconds"]
@@ -81,14 +111,16 @@ def backtest(ep: DataFrame, labels: DataFrame, context: DataFrame, min_n: int =
     The prior is the mean return of the entity's observations of that asset and horizon (and intent, at the levels that have one), else the mean of all. With samples = 0 there are no
     intervals: ci_low and ci_high are null.
     """
-    obs = materialize(observations(ep, labels, context), "observations")
-    stats = materialize(summary(levels(obs), GROUP, "simple_return").where(F.col("n") >= min_n), "group-statistics")
-    rows = levels(obs).join(stats.select(*GROUP), GROUP, "left_semi")
-    joined = stats.join(holdout(rows, GROUP, "simple_return", ["start_ts", "episode_id"]), GROUP)
+    obs = materialize(spread(observations(ep, labels, context), "episode_id"), "observations")
+    most = largest_group(obs)
+    stats = materialize(summary(levels(obs, F.xxhash64), CODED, "simple_return", at_most=most).where(F.col("n") >= min_n), "group-statistics")
+    rows = levels(obs, F.xxhash64).join(stats.select(*CODED), CODED, "left_semi")
+    joined = stats.join(holdout(rows, CODED, "simple_return", ["start_ts", "episode_id"], at_most=most), CODED)
     if samples:
-        joined = joined.join(bootstrap_ci(rows, GROUP, "simple_return", samples), GROUP, "left")
+        joined = joined.join(bootstrap_ci(rows, CODED, "simple_return", samples, at_most=most), CODED, "left")
     else:
         joined = joined.withColumns({c: F.lit(None).cast("double") for c in ("ci_low", "ci_high")})
+    joined = decoded(joined, obs)
     joined = joined.withColumn("sign_pvalue", sign_test(F.col("negative_count"), F.col("positive_count")))
     plain, by_intent = priors(obs)
     every = obs.agg(F.avg("simple_return")).first()[0]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewright.sources.shared import materialize
 
@@ -28,11 +29,24 @@ def _attach(df: DataFrame, small: DataFrame, keys: list[str], columns: list[str]
     return df.join(F.broadcast(copy), _same("_k_", keys), "left").drop(*[f"_k_{k}" for k in keys])
 
 
-def segmented(df: DataFrame, keys: list[str], by: str, part: int = PART) -> tuple[DataFrame, bool]:
-    """df with _seg, the number of a row's segment in order of `by` (nulls first), _before, the rows of its group in earlier ones, and _size, the rows of its group (null for one segment); and whether any group was cut."""
+def with_id(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """df and what its rows are dealt and sorted by: its keys if all are numbers, else a 128-bit number of them in two new columns."""
+    if not any(isinstance(df.schema[k].dataType, T.StringType) for k in keys):
+        return df, keys
+    return df.withColumns({"_g1": F.xxhash64(*keys), "_g2": F.xxhash64(F.lit("second"), *keys)}), ["_g1", "_g2"]
+
+
+def segmented(df: DataFrame, keys: list[str], by: str, part: int = PART, at_most: int | None = None) -> tuple[DataFrame, bool]:
+    """df with _seg, the number of a row's segment in order of `by` (nulls first), _before, the rows of its group in earlier ones, and _size, the rows of its group (null for one segment); and whether any group was cut.
+
+    at_most is a bound on the rows of a group, if one is known: within `part`, it saves counting the groups.
+    """
+    whole = {"_seg": F.lit(0), "_before": F.lit(0).cast("long"), "_size": F.lit(None).cast("long")}
+    if at_most is not None and at_most <= part:
+        return df.withColumns(whole), False
     large = materialize(df.groupBy(*keys).agg(F.count("*").alias("_size")).where(F.col("_size") > part), "large-groups")
     if large.isEmpty():
-        return df.withColumns({"_seg": F.lit(0), "_before": F.lit(0).cast("long"), "_size": F.lit(None).cast("long")}), False
+        return df.withColumns(whole), False
     tagged = _attach(df, large, keys, ["_size"])
     cuts = tagged.where(F.col("_size").isNotNull()).groupBy(*keys).agg(F.percentile_approx(by, [k / SEGMENTS for k in range(1, SEGMENTS)], 10_000).alias("_cuts"))
     tagged = _attach(tagged, materialize(cuts, "segment-cuts"), keys, ["_cuts"])
@@ -44,12 +58,12 @@ def segmented(df: DataFrame, keys: list[str], by: str, part: int = PART) -> tupl
     return placed.withColumn("_before", F.coalesce("_before", F.lit(0))), True
 
 
-def positions(df: DataFrame, keys: list[str], order: list[str], part: int = PART) -> DataFrame:
+def positions(df: DataFrame, keys: list[str], order: list[str], part: int = PART, at_most: int | None = None) -> DataFrame:
     """df with _i, the number of a row in its group by `order` (from 1, nulls first), and _n, the rows of its group.
 
     Rows that tie in all of `order` are numbered in no particular order. Only ties in the first column of the order are ever sorted in one task beyond `part` rows.
     """
-    placed, cut = segmented(df, keys, order[0], part)
+    placed, cut = segmented(df, keys, order[0], part, at_most)
     whole = Window.partitionBy(*keys, "_seg") if cut else Window.partitionBy(*keys)
     numbered = placed.withColumn("_i", F.row_number().over(whole.orderBy(*order)) + F.col("_before"))
     return numbered.withColumn("_n", F.coalesce("_size", F.count("*").over(whole))).drop("_seg", "_before", "_size")

@@ -14,16 +14,18 @@ from tracewright.operators import ordered
 from tracewright.sources.shared import materialize
 
 
-def summary(df: DataFrame, keys: list[str], value: str, part: int = ordered.PART) -> DataFrame:
+def summary(df: DataFrame, keys: list[str], value: str, part: int = ordered.PART, at_most: int | None = None) -> DataFrame:
     """n, mean_return, median_return, std_return (0 for one row), negative_count, positive_count; zeros are in neither count. Values are not null.
 
-    Rows are numbered in order of their value, and the median is the mean of the one or two in the middle; all else is counted in the same pass.
+    Rows are numbered in order of their value, and the median is the mean of the one or two in the middle; all else is counted in the same pass. at_most: as in ordered.segmented().
     """
     v = F.col(value)
-    return ordered.positions(df.select(*keys, value), keys, [value], part).groupBy(*keys).agg(
+    rows, ids = ordered.with_id(df.select(*keys, value), keys)
+    found = ordered.positions(rows, ids, [value], part, at_most).groupBy(*dict.fromkeys([*ids, *keys])).agg(
         F.count("*").alias("n"), F.avg(v).alias("mean_return"), F.avg(F.when(ordered.is_middle(), v)).alias("median_return"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std_return"),
         F.count_if(v < 0).alias("negative_count"), F.count_if(v > 0).alias("positive_count"),
     )
+    return found.select(*keys, "n", "mean_return", "median_return", "std_return", "negative_count", "positive_count")
 
 
 def sign_test(negative: Column, positive: Column) -> Column:
@@ -54,13 +56,14 @@ def bh_qvalues(df: DataFrame, family: list[str], p: str, out: str = "qvalue") ->
     return filled.join(q.select(*family, "_p", out), [*family, "_p"]).drop("_p")
 
 
-def holdout(df: DataFrame, keys: list[str], value: str, order: list[str], share: float = 0.7, part: int = ordered.PART) -> DataFrame:
+def holdout(df: DataFrame, keys: list[str], value: str, order: list[str], share: float = 0.7, part: int = ordered.PART, at_most: int | None = None) -> DataFrame:
     """train_n, test_n, train_mean, test_mean_return, holdout_accuracy: the first share of a group's rows in order (at least one) sets the direction, and the rest is scored on it."""
-    placed = ordered.positions(df.select(*dict.fromkeys([*keys, value, *order])), keys, order, part)
+    rows, ids = ordered.with_id(df.select(*dict.fromkeys([*keys, value, *order])), keys)
+    placed = ordered.positions(rows, ids, order, part, at_most)
     train = F.col("_i") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share + 1e-9))
-    halves = placed.groupBy(*keys).agg(F.count_if(train).alias("train_n"), F.count_if(~train).alias("test_n"), F.avg(F.when(train, F.col(value))).alias("train_mean"), F.avg(F.when(~train, F.col(value))).alias("test_mean_return"), F.count_if(~train & (F.col(value) < 0)).alias("_neg"), F.count_if(~train & (F.col(value) > 0)).alias("_pos"))
+    halves = placed.groupBy(*dict.fromkeys([*ids, *keys])).agg(F.count_if(train).alias("train_n"), F.count_if(~train).alias("test_n"), F.avg(F.when(train, F.col(value))).alias("train_mean"), F.avg(F.when(~train, F.col(value))).alias("test_mean_return"), F.count_if(~train & (F.col(value) < 0)).alias("_neg"), F.count_if(~train & (F.col(value) > 0)).alias("_pos"))
     right = F.when(F.col("train_mean") < 0, F.col("_neg")).otherwise(F.col("_pos"))
-    return halves.withColumn("holdout_accuracy", F.when(F.col("test_n") > 0, right / F.col("test_n"))).drop("_neg", "_pos")
+    return halves.select(*keys, "train_n", "test_n", "train_mean", "test_mean_return", F.when(F.col("test_n") > 0, right / F.col("test_n")).alias("holdout_accuracy"))
 
 
 def shrink(n: Column, mean: Column, prior: Column, strength: float = 20.0) -> Column:
@@ -82,7 +85,7 @@ def drawn_ranks(n: int, samples: int, seed: int) -> tuple[np.ndarray, np.ndarray
     return pairs[0], pairs[1], times
 
 
-def bootstrap_ci(df: DataFrame, keys: list[str], value: str, samples: int = 2000, seed: int = 42, part: int = ordered.PART) -> DataFrame:
+def bootstrap_ci(df: DataFrame, keys: list[str], value: str, samples: int = 2000, seed: int = 42, part: int = ordered.PART, at_most: int | None = None) -> DataFrame:
     """keys, ci_low, ci_high: the 2.5 and 97.5 % quantiles of the medians of `samples` resamples of each group.
 
     A resampled median is one or two of the group's values, so each resample is drawn as ranks, and the values are looked up by rank. One method for every size: a group sends at most 2 * samples lookups, and
@@ -90,7 +93,7 @@ def bootstrap_ci(df: DataFrame, keys: list[str], value: str, samples: int = 2000
     """
     group = F.struct(*keys).alias("_g")
     values = df.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("_v"))
-    ranked = materialize(ordered.positions(values, ["_g"], ["_v"], part), "ranked-values")
+    ranked = materialize(ordered.positions(values, ["_g"], ["_v"], part, at_most), "ranked-values")
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

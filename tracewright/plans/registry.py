@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.plans import behaviour, intents, markets, reports, statistics
+from tracewright.plans import behaviour, intents, markets, reports, statistics, streams
 
-MODULES = (behaviour, intents, markets, statistics, reports)
+MODULES = (behaviour, intents, markets, statistics, reports, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

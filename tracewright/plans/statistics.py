@@ -14,6 +14,7 @@ from tracewright.plans.behaviour import TOKEN, patterns_sql
 from tracewright.plans.markets import BENCH
 from tracewright.sources import fixtures as X
 from tracewright.sources.fixtures import BTC, ETH, EV, HORIZONS, PX
+from tracewright.sources.shared import materialize, spread
 
 DAY = 86400
 
@@ -38,7 +39,9 @@ def day_context(spark, d):
 
 
 def observations(spark, d):
-    return B.observations(day_episodes(spark, d), day_labels(spark, d), day_context(spark, d))
+    ep, px = materialize(spread(day_episodes(spark, d), "episode_id"), "episodes"), X.prices(spark, d)
+    labels = M.forward_returns(ep, px, HORIZONS, BENCH).withColumn("source", F.lit("events"))
+    return B.observations(ep, labels, M.pre_event_context(ep, px, BENCH))
 
 
 DAYS = f"""{EV}, {PX}, dd AS (SELECT entity_id, wallet, CAST(floor(ts / {DAY}) AS BIGINT) AS day, list({TOKEN} ORDER BY ts, event_id) AS tokens, round(sum(usd_value), 6) AS gross_usd, arg_min(struct_pack(ts := ts, a := primary_asset_key, k := k), (ts, event_id)) AS f FROM ev GROUP BY ALL),
@@ -75,7 +78,8 @@ def _levels(spark, d):
 
 
 def _stats(spark, d):
-    return S.summary(_levels(spark, d), B.GROUP, "simple_return").where("n >= 5")
+    obs = materialize(spread(observations(spark, d), "episode_id"), "observations")
+    return B.decoded(S.summary(B.levels(obs, F.xxhash64), B.CODED, "simple_return", at_most=B.largest_group(obs)).where("n >= 5"), obs)
 
 
 def q0_flagship(spark, d):
@@ -130,7 +134,8 @@ def b10_bh(spark, d):
 
 
 def b11_holdout(spark, d):
-    found = S.holdout(_levels(spark, d), B.GROUP, "simple_return", ["start_ts", "episode_id"])
+    obs = materialize(spread(observations(spark, d), "episode_id"), "observations")
+    found = B.decoded(S.holdout(B.levels(obs, F.xxhash64), B.CODED, "simple_return", ["start_ts", "episode_id"], at_most=B.largest_group(obs)), obs)
     return found.select(*B.GROUP, "train_n", "test_n", *[F.round(c, 6).alias(c) for c in ("train_mean", "test_mean_return", "holdout_accuracy")])
 
 

@@ -33,9 +33,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events() of the table read as a stream of files."""
+    """events() of the table read as a stream of files. As a pattern, the path may be a file as well as a folder of files."""
     raw = table(spark, sf_dir, "events")
-    return as_events(spark.readStream.schema(raw.schema).parquet(f"{sf_dir}/events.parquet"), raw.agg(F.max("user_id") + 1).first()[0])
+    return as_events(spark.readStream.schema(raw.schema).parquet(f"{sf_dir}/events.parquet*"), raw.agg(F.max("user_id") + 1).first()[0])
 
 
 def as_events(raw: DataFrame, users: int | None) -> DataFrame:

@@ -37,6 +37,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt over spark.sql.shuffle.partitions by keys: before rows multiply, when the rows themselves are few enough for adaptive execution to put them in one or two tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
