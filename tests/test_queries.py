@@ -42,5 +42,7 @@ def test_equals_duckdb(spark, sf_dir, duck, name):
 
 
 def test_queries_without_a_twin_return_rows(spark, sf_dir):
+    # No group has ten observations in the smallest tables.
+    larger = {"i6_intervals": sf_dir.replace("0.001", "0.01")}
     for name in sorted(set(registry.queries()) - set(registry.oracles())):
-        assert registry.queries()[name](spark, sf_dir).count() > 0, name
+        assert registry.queries()[name](spark, larger.get(name, sf_dir)).count() > 0, name

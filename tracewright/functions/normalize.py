@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 #: Provider chain code to price-source chain.
 PRICE_CHAINS = {"eth": "ethereum", "bsc": "bsc", "arb": "arbitrum", "op": "optimism", "base": "base", "matic": "polygon", "avax": "avax"}
+#: Provider chain code to the names of the block explorer, the node provider and the pool index.
+EXPLORER_CHAINS = {"eth": "eth", "bsc": "bsc", "arb": "arbitrum", "op": "optimism", "base": "base", "matic": "polygon", "avax": "avalanche"}
+RPC_CHAINS = {"eth": "ethereum", "bsc": "bsc", "arb": "arbitrum", "op": "optimism", "base": "base", "matic": "polygon", "avax": "avalanche"}
+NETWORKS = {"eth": "ethereum", "bsc": "bsc", "arb": "arbitrum", "op": "optimism", "base": "base", "matic": "polygon", "avax": "avalanche"}
 #: Native coins by (chain, token).
 NATIVE = {
     ("eth", "eth"): "coingecko:ethereum",

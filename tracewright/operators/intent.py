@@ -52,8 +52,14 @@ def leg_flows(events: DataFrame, legs: DataFrame, owned: DataFrame) -> DataFrame
     return joined.select("episode_id", "event_id", "side", asset.alias("asset"), leg_value(F.col("amount"), F.col("price")).alias("value"), is_stable(F.col("token_id")).alias("stable"), "counterparty", F.coalesce(own, F.lit(False)).alias("own"), F.coalesce("_known", F.lit(False)).alias("known"))
 
 
+def _counts(column: str) -> Column:
+    """How often each value occurs in an episode, which is bounded: a map in order of the values, without empty ones."""
+    names = F.array_sort(F.collect_list(F.nullif(F.col(column), F.lit(""))))
+    return F.map_from_entries(F.transform(F.array_distinct(names), lambda x: F.struct(x, F.size(F.filter(names, lambda y: y == x)).cast("long"))))
+
+
 def intent_features(events: DataFrame, legs: DataFrame, owned: DataFrame, enrich: DataFrame | None = None) -> DataFrame:
-    """One row per episode of `events` (episode_id on each event): values sent and received, stable or not; own and external legs; distinct external recipients; asset maps; action counts; bridge and liquidity evidence."""
+    """One row per episode of `events` (episode_id on each event): values sent and received, stable or not; own and external legs; distinct external recipients; asset maps; counts of actions, projects, categories and exchanges; bridge and liquidity evidence."""
     flows = leg_flows(events, legs, owned)
     sent, got = F.col("side") == "send", F.col("side") == "receive"
     total = lambda cond, name: F.round(F.sum(F.when(cond, F.col("value")).otherwise(0.0)), 6).alias(name)
@@ -67,11 +73,13 @@ def intent_features(events: DataFrame, legs: DataFrame, owned: DataFrame, enrich
     held = lambda side: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("asset", "value")))))
     assets = by_asset.groupBy("episode_id").agg(held("send").alias("send_assets"), held("receive").alias("receive_assets"))
     meta = F.lower(F.concat_ws(" ", "action_type", "project_id", "cate_id"))
-    marked = events.select("episode_id", F.upper("action_type").alias("action"), meta.alias("meta"), *([] if enrich is None else ["tx_hash", "chain"]))
+    venues = [c for c in ("project_id", "cate_id", "cex_id") if c in events.columns]
+    marked = events.select("episode_id", F.upper(F.coalesce("action_type", F.lit("unknown"))).alias("action"), meta.alias("meta"), *venues, *([] if enrich is None else ["tx_hash", "chain"]))
     acts = marked.groupBy("episode_id").agg(
         F.count("*").alias("event_count"), F.count(F.when(F.col("action") == "CEX_INTERACTION_IN", 1)).alias("cex_in"), F.count(F.when(F.col("action") == "CEX_INTERACTION_OUT", 1)).alias("cex_out"),
         F.count(F.when(F.col("action").rlike("BIDIRECTIONAL|EXCHANGE_LIKE"), 1)).alias("two_way"), F.bool_or(has_any(F.col("meta"), BRIDGE_MARKERS)).alias("bridge"),
         F.bool_or(has_any(F.concat(F.lit(" "), "meta", F.lit(" ")), LIQUIDITY_MARKERS) | F.col("action").startswith("LP_")).alias("liquidity"),
+        _counts("action").alias("action_counts"), *[_counts(c).alias(f"{c.removesuffix('_id')}_counts") for c in venues],
     )
     out = acts.join(sums, "episode_id", "left").join(assets, "episode_id", "left")
     if enrich is not None:

@@ -97,6 +97,10 @@ def _sides(spark, d):
     return each.groupBy("event_id").agg(side("send"), side("receive"))
 
 
+def n2_leg_usd(spark, d):
+    return X.legs(spark, d).select("event_id", "side", "pos", F.round(N.leg_usd(F.col("amount"), F.col("price")), 6).alias("usd"))
+
+
 def n3_gross_usd(spark, d):
     return _sides(spark, d).select("event_id", F.round(N.gross_usd(F.col("sends"), F.col("receives")), 4).alias("gross_usd"))
 
@@ -135,7 +139,7 @@ def n8_lookups(spark, d):
     ev = X.events(spark, d)
     cex, project = (ev.select(F.col(c).alias("id")).where("id is not null").distinct().select("id", F.concat(F.lit(f"{n} "), F.upper("id")).alias("name")) for c, n in (("cex_id", "Exchange"), ("project_id", "Project")))
     named = ev.join(cex.select(F.col("id").alias("cex_id"), F.col("name").alias("cex_name")), "cex_id", "left").join(project.select(F.col("id").alias("project_id"), F.col("name").alias("project_name")), "project_id", "left")
-    return named.groupBy("cex_name", "project_name").agg(F.count("*").alias("n"))
+    return named.select("event_id", "cex_name", "project_name")
 
 
 def n9_valid_times(spark, d):
@@ -156,7 +160,9 @@ def n11_action_token(spark, d):
 
 
 def n12_chain_names(spark, d):
-    return X.events(spark, d).groupBy(N.lookup(F.col("chain"), N.PRICE_CHAINS).alias("name"), F.coalesce(N.lookup(F.col("chain"), {"eth": "eth"}), F.lit("unmapped")).alias("status_chain")).agg(F.count("*").alias("n"))
+    """Each event's chain under the names of the price source, the block explorer, the node provider and the pool index."""
+    tables = {"price_chain": N.PRICE_CHAINS, "explorer_chain": N.EXPLORER_CHAINS, "rpc_chain": N.RPC_CHAINS, "network": N.NETWORKS}
+    return X.events(spark, d).select("event_id", *[N.lookup(F.col("chain"), names).alias(c) for c, names in tables.items()])
 
 
 def e2_counterparties(spark, d):
@@ -219,21 +225,6 @@ def e13_wallet_context(spark, d):
     return episodes.context_asof(probes, series, ["wallet"], ("history",)).select("event_id", F.col("ctx_history").alias("history"))
 
 
-def e12_context_all(spark, d):
-    """The contexts of every event, as they are, without the rounding of e12_context_asof."""
-    probes = X.events(spark, d).select("event_id", "entity_id", "chain", F.col("ts").alias("start_ts"))
-    found = episodes.context_asof(probes, X.series(spark, d), ["entity_id"], CONTEXTS)
-    return found.select("event_id", *[F.col(f"ctx_{k}").alias(k) for k in CONTEXTS])
-
-
-def e13_wallet_context_all(spark, d):
-    """The wallet's context an hour before every event, with points of equal time merged in the series itself."""
-    ev = X.events(spark, d)
-    series = ev.groupBy("wallet", F.lit("history").alias("kind"), "chain", F.col("ts").alias("time"), F.lit(0).alias("captured_at")).agg(F.max("usd_value").alias("value"))
-    probes = ev.select("event_id", "wallet", "chain", (F.col("ts") - 3600).alias("start_ts"))
-    return episodes.context_asof(probes, series, ["wallet"], ("history",)).select("event_id", F.col("ctx_history").alias("history"))
-
-
 def e14_enrichment(spark, d):
     ev = X.events(spark, d).withColumn("tx_hash", F.concat(F.lit("tx"), F.col("event_id").cast("long") % 900))
     enrich = ev.where("k % 6 in (0, 1)").groupBy("tx_hash", "chain", F.when(F.col("k") % 6 == 0, "status").otherwise("trace").alias("source")).agg(F.max("event_id").alias("payload"))
@@ -265,13 +256,13 @@ def e17_replaced(spark, d):
 
 def e18_changed(spark, d):
     old, new = _versions(spark, d)
-    return episodes.changed(old, new, "episode_id").groupBy("change").agg(F.count("*").alias("n"))
+    return episodes.changed(old, new, "episode_id").select("episode_id", "change")
 
 
 def e19_label_merge(spark, d):
     old, new = _versions(spark, d)
     old = old.withColumn("intent_label", F.when(F.col("n") > 1, "buy").otherwise("sell"))
-    return episodes.merge_labels(old, new).groupBy("intent_label").agg(F.count("*").alias("n"))
+    return episodes.merge_labels(old, new).select("episode_id", "intent_label")
 
 
 _VERSIONS = f"""{EV}, o AS (SELECT wallet || '|' || CAST(floor(ts / {DAY}) AS BIGINT) AS episode_id, count(*) AS n, max(k) AS top FROM ev WHERE k % 11 <> 0 GROUP BY 1),
@@ -288,6 +279,7 @@ ORACLES = {
     "e6_motif": f"WITH {SEQUENCES} SELECT entity_id, wallet, window_start, array_to_string(tokens, '>') AS motif FROM seq",
     "e7_patterns": f"WITH {SEQUENCES} SELECT entity_id, wallet, window_start, unnest({patterns_sql('tokens')}) AS pattern FROM seq",
     "n1_legs": f"WITH {LEGS} SELECT event_id, string_agg(token_id, ',' ORDER BY CASE side WHEN 'send' THEN 0 ELSE 1 END, pos) AS tokens, CAST(count(*) AS INT) AS n_legs FROM legs GROUP BY event_id",
+    "n2_leg_usd": f"WITH {LEGS} SELECT event_id, side, CAST(pos AS INT) AS pos, round(abs(amount * price), 6) AS usd FROM legs",
     "n3_gross_usd": f"WITH {LEGS} SELECT event_id, round(greatest(sum(CASE WHEN side = 'send' THEN abs(amount * price) ELSE 0 END), sum(CASE WHEN side = 'receive' THEN abs(amount * price) ELSE 0 END)), 4) AS gross_usd FROM legs GROUP BY event_id",
     "n4_asset_key": f"WITH {ORD}, {LEGS} SELECT CASE {_NATIVE} {_MAPPED} END AS asset_key, count(*) AS n FROM (SELECT chain, CASE WHEN pos % 5 = 0 THEN 'ETH' ELSE token_id END AS token FROM legs JOIN ord USING (event_id)) GROUP BY 1",
     "n5_action_class": f"""WITH {ORD}, {LEGS}, s AS (SELECT event_id, bool_or(side = 'send') AS s, bool_or(side = 'receive') AS r FROM legs GROUP BY 1),
@@ -298,11 +290,11 @@ ORACLES = {
     "n6_primary_leg": f"""WITH {LEGS} SELECT event_id, token_id, side, CAST(pos AS INT) AS pos, round(usd, 4) AS usd FROM (SELECT *, abs(amount * price) AS usd, row_number() OVER (PARTITION BY event_id ORDER BY abs(amount * price) DESC,
       CASE side WHEN 'send' THEN 0 ELSE 1 END, pos) AS r FROM legs WHERE token_id <> 'usdc' AND abs(amount * price) > 0) WHERE r = 1""",
     "n7_event_id": f"""WITH {EV} SELECT event_id, sha256('["' || entity_id || '","' || wallet || '","' || chain || '",' || CASE WHEN k % 3 <> 0 THEN '"tx' || event_id || '"' ELSE 'null' END || ',' || k || ',' || ts || ']') AS hash FROM ev""",
-    "n8_lookups": f"WITH {EV} SELECT 'Exchange ' || upper(cex_id) AS cex_name, 'Project ' || upper(project_id) AS project_name, count(*) AS n FROM ev GROUP BY 1, 2",
+    "n8_lookups": f"WITH {EV} SELECT event_id, 'Exchange ' || upper(cex_id) AS cex_name, 'Project ' || upper(project_id) AS project_name FROM ev",
     "n9_valid_times": f"WITH {EV} SELECT event_id, ts AS at FROM ev WHERE k % 10 NOT IN (0, 1) AND ts > 0",
     "n10_parse_time": f"WITH {EV} SELECT event_id, CASE WHEN k % 4 <> 3 THEN ts END AS at FROM ev",
     "n11_action_token": f"WITH {EV} SELECT {TOKEN} AS token, count(*) AS n FROM ev GROUP BY 1",
-    "n12_chain_names": f"WITH {EV} SELECT CASE chain WHEN 'eth' THEN 'ethereum' WHEN 'arb' THEN 'arbitrum' WHEN 'op' THEN 'optimism' ELSE chain END AS name, CASE chain WHEN 'eth' THEN 'eth' ELSE 'unmapped' END AS status_chain, count(*) AS n FROM ev GROUP BY 1, 2",
+    "n12_chain_names": f"WITH {EV} SELECT event_id, CASE chain WHEN 'eth' THEN 'ethereum' WHEN 'arb' THEN 'arbitrum' WHEN 'op' THEN 'optimism' ELSE chain END AS price_chain, CASE chain WHEN 'arb' THEN 'arbitrum' WHEN 'op' THEN 'optimism' ELSE chain END AS explorer_chain, price_chain AS rpc_chain, price_chain AS network FROM ev",
     "e2_counterparties": f"WITH {LEGS} SELECT DISTINCT event_id, lower(addr) AS counterparty FROM legs WHERE addr IS NOT NULL",
     "e3_nearest_link": f"WITH {EV}, {links_sql(DAY)} SELECT * FROM links",
     "e4_components": f"WITH {windows_sql(DAY)}, {links_sql(DAY)}, {COMPONENTS} SELECT component, count(*) AS n_events, count(DISTINCT node) AS n_windows FROM plc GROUP BY 1",
@@ -331,6 +323,6 @@ ORACLES = {
       h AS (SELECT DISTINCT b.entity_id, b.wallet, b.run FROM b JOIN d ON b.entity_id = d.entity_id AND b.a <= d.z AND b.z >= d.a),
       e AS (SELECT r.* FROM r JOIN h USING (entity_id, wallet, run)) SELECT entity_id, wallet, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM e GROUP BY 1, 2""",
     "e17_replaced": f"WITH {_VERSIONS} SELECT episode_id, n FROM o WHERE episode_id NOT IN (SELECT episode_id FROM w)",
-    "e18_changed": f"WITH {_VERSIONS} SELECT CASE WHEN o.episode_id IS NULL THEN 'added' WHEN w.episode_id IS NULL THEN 'removed' WHEN o.n = w.n AND o.top = w.top THEN 'same' ELSE 'changed' END AS change, count(*) AS n FROM o FULL JOIN w USING (episode_id) GROUP BY 1",
-    "e19_label_merge": f"WITH {_VERSIONS} SELECT CASE WHEN o.n = w.n AND o.top = w.top THEN CASE WHEN o.n > 1 THEN 'buy' ELSE 'sell' END END AS intent_label, count(*) AS n FROM w LEFT JOIN o USING (episode_id) GROUP BY 1",
+    "e18_changed": f"WITH {_VERSIONS} SELECT episode_id, CASE WHEN o.episode_id IS NULL THEN 'added' WHEN w.episode_id IS NULL THEN 'removed' WHEN o.n = w.n AND o.top = w.top THEN 'same' ELSE 'changed' END AS change FROM o FULL JOIN w USING (episode_id)",
+    "e19_label_merge": f"WITH {_VERSIONS} SELECT episode_id, CASE WHEN o.n = w.n AND o.top = w.top THEN CASE WHEN o.n > 1 THEN 'buy' ELSE 'sell' END END AS intent_label FROM w LEFT JOIN o USING (episode_id)",
 }

@@ -55,7 +55,7 @@ SCORES = f"""{PARTS}, sc AS (SELECT episode_id, unnest([
 
 def c1_stable_legs(spark, d):
     legs = X.legs(spark, d).withColumn("symbol", F.when(F.col("pos") % 4 == 0, "FRAX"))
-    return legs.groupBy("side", I.is_stable(F.col("token_id"), F.col("symbol")).alias("stable")).agg(F.count("*").alias("n"))
+    return legs.select("event_id", "pos", I.is_stable(F.col("token_id"), F.col("symbol")).alias("stable"))
 
 
 def c2_leg_value(spark, d):
@@ -64,7 +64,8 @@ def c2_leg_value(spark, d):
 
 
 def c3_flow_features(spark, d):
-    return _features(spark, d).select("episode_id", "stable_sent", "stable_received", "risk_sent", "risk_received", "event_count")
+    text = lambda c: F.array_join(F.transform(F.map_entries(c), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",").alias(c)
+    return _features(spark, d).select("episode_id", "stable_sent", "stable_received", "risk_sent", "risk_received", "event_count", *map(text, ("action_counts", "project_counts", "cate_counts", "cex_counts")))
 
 
 def c4_own_external(spark, d):
@@ -76,7 +77,7 @@ def c5_recipients(spark, d):
 
 
 def c6_markers(spark, d):
-    return _features(spark, d).groupBy("bridge", "liquidity").agg(F.count("*").alias("n"))
+    return _features(spark, d).select("episode_id", "bridge", "liquidity")
 
 
 def _enrichments(spark, d):
@@ -87,7 +88,7 @@ def _enrichments(spark, d):
 
 
 def c7_bridge_success(spark, d):
-    return _enrichments(spark, d).groupBy("source", I.bridge_success(F.col("source"), F.col("payload")).alias("done")).agg(F.count("*").alias("n"))
+    return _enrichments(spark, d).select("event_id", "source", I.bridge_success(F.col("source"), F.col("payload")).alias("done"))
 
 
 def c8_target_flow(spark, d):
@@ -128,13 +129,13 @@ def c14_label_summary(spark, d):
 QUERIES = {name: f for name, f in list(globals().items()) if name[0] == "c" and name[1:2].isdigit()}
 
 ORACLES = {
-    "c1_stable_legs": f"WITH {LEGS} SELECT side, token_id = 'usdc' OR pos % 4 = 0 AS stable, count(*) AS n FROM legs GROUP BY 1, 2",
+    "c1_stable_legs": f"WITH {LEGS} SELECT event_id, CAST(pos AS INT) AS pos, token_id = 'usdc' OR pos % 4 = 0 AS stable FROM legs",
     "c2_leg_value": f"WITH {LEGS} SELECT event_id, round(sum(CASE WHEN pos % 3 = 1 AND amount * price <> 0 THEN abs(amount * price) ELSE 1 END), 4) AS value FROM legs GROUP BY 1",
-    "c3_flow_features": f"WITH {PARTS} SELECT episode_id, so AS stable_sent, si AS stable_received, ro AS risk_sent, ri AS risk_received, 1 AS event_count FROM ft",
+    "c3_flow_features": f"WITH {PARTS} SELECT episode_id, so AS stable_sent, si AS stable_received, ro AS risk_sent, ri AS risk_received, 1 AS event_count, ft.action_type || '=1' AS action_counts, coalesce(project_id || '=1', '') AS project_counts, coalesce(cate_id || '=1', '') AS cate_counts, coalesce(cex_id || '=1', '') AS cex_counts FROM ft JOIN ep ON event_id = episode_id",
     "c4_own_external": f"WITH {PARTS} SELECT episode_id, n_own AS own_count, xo AS external_out, xi AS external_in FROM ft",
     "c5_recipients": f"WITH {PARTS} SELECT rc AS recipients, count(*) AS n FROM ft GROUP BY 1",
-    "c6_markers": f"WITH {PARTS} SELECT bridge, liquidity, count(*) AS n FROM ft GROUP BY 1, 2",
-    "c7_bridge_success": f"""WITH {EV} SELECT CASE WHEN k % 4 = 0 THEN 'lifi_status' ELSE 'trace' END AS source, k % 6 IN (0, 2) OR (k % 6 = 4 AND k % 4 = 0) AS done, count(*) AS n FROM ev GROUP BY 1, 2""",
+    "c6_markers": f"WITH {PARTS} SELECT episode_id, bridge, liquidity FROM ft",
+    "c7_bridge_success": f"""WITH {EV} SELECT event_id, CASE WHEN k % 4 = 0 THEN 'lifi_status' ELSE 'trace' END AS source, k % 6 IN (0, 2) OR (k % 6 = 4 AND k % 4 = 0) AS done FROM ev""",
     "c8_target_flow": f"""WITH {PARTS} SELECT event_id AS episode_id, round(sum(CASE WHEN side = 'send' THEN value ELSE 0 END), 6) AS sent, round(sum(CASE WHEN side = 'receive' THEN value ELSE 0 END), 6) AS received
       FROM fl WHERE asset = 'ethereum:0x0007' GROUP BY 1""",
     "c9_pre_event_profile": f"""WITH {EV} SELECT event_id, count(*) OVER w AS prior_n, round(coalesce(sum(usd_value) OVER w, 0), 4) AS prior_usd FROM ev WINDOW w AS (PARTITION BY wallet ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",

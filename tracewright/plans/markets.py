@@ -48,7 +48,7 @@ def labels(spark, d):
 
 
 def m1_horizons(spark, d):
-    return M.expand_horizons(episodes(spark, d), HORIZONS).groupBy("horizon_seconds").agg(F.count("*").alias("n"), F.max(F.col("start_ts") + F.col("horizon_seconds")).alias("last_end"))
+    return M.expand_horizons(episodes(spark, d), HORIZONS).select("episode_id", "horizon_seconds", (F.col("start_ts") + F.col("horizon_seconds")).alias("end_ts"))
 
 
 def m2_required_points(spark, d):
@@ -107,7 +107,7 @@ def m11_labelable(spark, d):
 
 def m12_due(spark, d):
     ep = episodes(spark, d)
-    return M.due(ep, M.horizon_states(labels(spark, d), NOW), NOW + 3600).groupBy("entity_id").agg(F.count("*").alias("n"))
+    return M.due(ep, M.horizon_states(labels(spark, d), NOW), NOW + 3600).select("entity_id", "episode_id")
 
 
 def m13_backfill_states(spark, d):
@@ -119,7 +119,7 @@ QUERIES = {name: f for name, f in list(globals().items()) if name[0] == "m" and
 _STATE = f"""{LABELS}, st AS (SELECT *, CASE WHEN asset_key IS NULL THEN 'permanently unavailable' WHEN start_ts + horizon_seconds > {NOW} THEN 'pending' WHEN simple_return IS NOT NULL THEN 'success' ELSE 'failed' END AS s0 FROM lab)"""
 _ROUNDED = ", ".join(f"round({e}, 6) AS {c}" for c, e in (("price_start", "price_start"), ("price_end", "price_end"), ("simple_return", "simple_return"), ("btc_return", "btc_return"), ("eth_return", "eth_return"), ("excess_vs_btc", "simple_return - btc_return"), ("excess_vs_eth", "simple_return - eth_return")))
 ORACLES = {
-    "m1_horizons": f"WITH {EPS} SELECT horizon_seconds, count(*) AS n, max(start_ts + horizon_seconds) AS last_end FROM ep CROSS JOIN {_H} GROUP BY 1",
+    "m1_horizons": f"WITH {EPS} SELECT episode_id, CAST(horizon_seconds AS INT) AS horizon_seconds, start_ts + horizon_seconds AS end_ts FROM ep CROSS JOIN {_H}",
     "m2_required_points": f"WITH {_REQUIRED} SELECT asset_key, ts FROM req",
     "m3_missing_points": f"WITH {_REQUIRED} SELECT asset_key, ts FROM req WHERE NOT EXISTS (SELECT 1 FROM px WHERE px.asset_key = req.asset_key AND px.ts = req.ts)",
     "m3_point_metrics": f"WITH {_REQUIRED} SELECT req.asset_key, count(px.ts) AS hits, count(*) - count(px.ts) AS misses FROM req LEFT JOIN px ON px.asset_key = req.asset_key AND px.ts = req.ts GROUP BY 1",
@@ -134,6 +134,6 @@ ORACLES = {
     "m9_volatility": f"WITH {CONTEXT} SELECT episode_id, round(btc_vol, 6) AS btc_vol, round(eth_vol, 6) AS eth_vol FROM ctx",
     "m10_regime": f"WITH {CONTEXT} SELECT episode_id, regime FROM ctx",
     "m11_labelable": f"WITH {EPS} SELECT episode_id, CASE WHEN k % 31 = 0 THEN 'asset:target' ELSE asset_key END AS asset_key, start_ts FROM ep WHERE k % 31 = 0 OR asset_key IS NOT NULL ORDER BY start_ts, episode_id LIMIT 2000",
-    "m12_due": f"""WITH {_STATE} SELECT entity_id, count(*) AS n FROM ep WHERE episode_id IN (SELECT episode_id FROM st WHERE (s0 = 'failed' AND {NOW + M.RETRY_S} <= {NOW + 3600}) OR (s0 = 'pending' AND start_ts + horizon_seconds <= {NOW + 3600})) GROUP BY 1""",
+    "m12_due": f"""WITH {_STATE} SELECT entity_id, episode_id FROM ep WHERE episode_id IN (SELECT episode_id FROM st WHERE (s0 = 'failed' AND {NOW + M.RETRY_S} <= {NOW + 3600}) OR (s0 = 'pending' AND start_ts + horizon_seconds <= {NOW + 3600}))""",
     "m13_backfill_states": f"WITH {LABELS} SELECT horizon_seconds, CASE WHEN simple_return IS NULL THEN 'pending' ELSE 'success' END AS state, count(*) AS n FROM lab GROUP BY 1, 2",
 }

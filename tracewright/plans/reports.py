@@ -72,7 +72,7 @@ def q8_histogram(spark, d):
 
 
 def q9_checkpoint_series(spark, d):
-    return I.checkpoints(T._new(spark, d), (10, 25, 50), samples=0).orderBy("n").groupBy("n").agg(F.count("*").alias("groups"))
+    return I.checkpoints(T._new(spark, d), (10, 25, 50), samples=0).select("pattern_key", "n", "maturity")
 
 
 def q10_evidence(spark, d):
@@ -162,18 +162,35 @@ def s1_archive(spark, d):
     G.write_archive(raw.where("day % 2 = 0"), path)
     G.write_archive(raw, path)
     back = G.read_archive(spark, path, "payload string, sha256 string, provider string, day long")
-    return back.groupBy("provider").agg(F.count("*").alias("n"), F.count_distinct("day").alias("days"), F.min("sha256").alias("least"))
+    return back.select("provider", "day", "payload", "sha256")
 
 
 def s2_latest_valid(spark, d):
     return G.latest_valid(_requests(spark, d), 1706000000).select("endpoint", "request", "response_id")
 
 
+def _pages(spark, d):
+    """History pages of an account's five days as JSON, with legs, a transaction and dictionaries for exchanges and projects; categories are known for half of the rows."""
+    ev = X.events(spark, d).withColumn("cate_id", F.concat(F.lit("cate"), F.col("k") % 4))
+    leg = lambda token, other: F.array(F.struct(F.col("k").cast("double").alias("amount"), F.col("usd_value").alias("price"), F.lit(token).alias("token_id"), F.lit("0xother").alias(other)))
+    sends, receives = F.when(F.col("k") % 3 != 0, leg("0xToken", "to_addr")), F.when(F.col("k") % 3 != 1, leg("eth", "from_addr"))
+    row = F.struct(
+        F.when(F.col("k") % 5 != 0, F.col("event_id")).alias("id"), F.col("k").alias("idx"), F.when(F.col("k") % 8 == 0, F.lit("bad")).otherwise(F.concat("ts", F.lit(".5"))).alias("time_at"), "cate_id", "cex_id", "project_id",
+        sends.alias("sends"), receives.alias("receives"), F.struct(F.concat(F.lit("tx"), "event_id").alias("id")).alias("tx"), F.when(F.col("k") % 17 == 0, "token").alias("token_approve"),
+    )
+    names = lambda c, keep: F.map_from_entries(F.array_compact(F.array_distinct(F.collect_list(F.when(F.col(c).isNotNull() & keep, F.struct(F.col(c), F.struct(F.upper(c).alias("name"))))))))
+    dicts = {"cate_dict": names("cate_id", F.col("cate_id") < "cate2"), "cex_dict": names("cex_id", F.lit(True)), "project_dict": names("project_id", F.lit(True))}
+    grouped = ev.groupBy("entity_id", "wallet", "chain", F.floor(F.col("ts") / (5 * DAY)).alias("page")).agg(F.collect_list(row).alias("history_list"), *[v.alias(k) for k, v in dicts.items()])
+    return grouped.select("entity_id", "wallet", "chain", F.to_json(F.struct("history_list", *dicts)).alias("payload"))
+
+
 def s3_history_flatten(spark, d):
-    name = F.concat(F.lit('"'), "cex_id", F.lit('":{"name":"'), F.upper("cex_id"), F.lit('"}'))
-    row = F.concat(F.lit('{"id":"'), "event_id", F.lit('","idx":'), "k", F.lit(',"time_at":'), F.when(F.col("k") % 8 == 0, F.lit(0)).otherwise(F.col("ts")), F.lit(".0"), F.coalesce(F.concat(F.lit(',"cex_id":"'), "cex_id", F.lit('"')), F.lit("")), F.lit("}"))
-    pages = X.events(spark, d).groupBy("wallet", F.floor(F.col("ts") / (5 * DAY)).alias("page")).agg(F.concat(F.lit('{"history_list":['), F.array_join(F.array_sort(F.collect_list(row)), ","), F.lit('],"cex_dict":{'), F.array_join(F.array_sort(F.collect_set(name)), ","), F.lit("}}")).alias("payload"))
-    return G.flatten_pages(pages.drop("page")).select("wallet", "id", "idx", "ts", "cex_name")
+    return G.flatten_pages(_pages(spark, d)).select("wallet", "id", "idx", "ts", "cate_name", "cex_name", "project_name")
+
+
+def s3_normalized_events(spark, d):
+    found = G.normalize_pages(_pages(spark, d))
+    return found.select("event_id", "wallet", "chain", "tx_hash", "event_index", "ts", "action_type", "cate_name", "cex_name", "project_name", F.round("usd_value", 6).alias("usd_value"), "primary_token_id", "primary_asset_key", "primary_direction")
 
 
 def s4_cursors(spark, d):
@@ -264,7 +281,7 @@ def s19_report(spark, d):
 
 def s20_evolution(spark, d):
     old = X.events(spark, d).select("event_id", "wallet")
-    return G.conform(old, {"event_id": ("string", None), "wallet": ("string", "none"), "built": ("boolean", False), "attempts": ("int", 0)}).groupBy("built", "attempts").agg(F.count("*").alias("n"), F.count_distinct("wallet").alias("wallets"))
+    return G.conform(old, {"event_id": ("string", None), "wallet": ("string", "none"), "built": ("boolean", False), "attempts": ("int", 0)})
 
 
 QUERIES = {name: f for name, f in list(globals().items()) if name[:1] in "qs" and name[1:2].isdigit()}
@@ -273,6 +290,10 @@ _RUNS = f"rn AS (SELECT entity_id, CAST(floor(min(ts) / {DAY}) * {DAY} AS BIGINT
 _ENROLLED = "enr AS (SELECT run_id, event_id FROM ev JOIN rn USING (entity_id) WHERE ts >= from_ts AND ts <= to_day_ts + 86399)"
 _KINDS = "sn AS (SELECT entity_id, primary_asset_key AS kind, CASE WHEN k % 5 = 0 THEN 'error' ELSE 'api' END AS source, event_id AS payload, ts FROM ev)"
 _TOKEN_KEY = "CASE " + " ".join(f"WHEN chain = '{c}' AND lower(token_id) LIKE '0x%' THEN '{v}:' || lower(token_id)" for c, v in N.PRICE_CHAINS.items()) + " END"
+#: Rows of the pages: those with a time; what the first leg worth most is, if any is worth something.
+_PAGE_ROWS = f"""{EV}, pr AS (SELECT * EXCLUDE (cate_id), CASE WHEN k % 5 <> 0 THEN event_id END AS id, coalesce(CASE WHEN k % 5 <> 0 THEN event_id END, 'tx' || event_id) AS tx_hash, CASE WHEN k % 4 < 2 THEN 'CATE' || (k % 4) END AS cate_name,
+  CASE k % 3 WHEN 0 THEN 'IN' WHEN 1 THEN 'OUT' ELSE 'BIDIRECTIONAL' END AS side, CASE WHEN k * usd_value <> 0 THEN CASE WHEN k % 3 = 0 THEN 'eth' ELSE '0xToken' END END AS token FROM ev WHERE k % 8 <> 0)"""
+
 ORACLES = {
     "q1_explorer": f"WITH {_AG} SELECT pattern_key, pattern, n FROM g WHERE n BETWEEN 4 AND 400 AND entity_id = 'ent_1' AND horizon_seconds = {DAY} AND starts_with(pattern, 'BIGRAM:') AND asset_key = 'asset:purchase' ORDER BY n DESC, pattern_key LIMIT 100",
     "q2_rank": f"WITH {_AG} SELECT pattern_key, n, round({_SCORE}, 4) AS score FROM g WHERE n >= 3 ORDER BY {_SCORE} DESC, n DESC, pattern_key LIMIT 50",
@@ -285,7 +306,7 @@ ORACLES = {
     "q8_histogram": f"""WITH {EV}, b AS (SELECT entity_id, primary_asset_key, min(usd_value) AS lo, max(usd_value) AS hi FROM ev GROUP BY 1, 2), w AS (SELECT *, CASE WHEN hi > lo THEN (hi - lo) / 12 ELSE 1.0 END AS w FROM b),
       p AS (SELECT entity_id, primary_asset_key, lo, w, CAST(least(11, floor((usd_value - lo) / w)) AS INT) AS bin FROM ev JOIN w USING (entity_id, primary_asset_key))
       SELECT entity_id, primary_asset_key, bin, round(lo + bin * w, 4) AS low, round(lo + (bin + 1) * w, 4) AS high, count(*) AS n FROM p GROUP BY entity_id, primary_asset_key, bin, lo, w""",
-    "q9_checkpoint_series": f"WITH {T._AGG}, m AS (SELECT unnest([10, 25, 50]) AS mark) SELECT mark AS n, count(*) AS groups FROM ag JOIN m ON n >= mark GROUP BY 1",
+    "q9_checkpoint_series": f"WITH {T._AGG}, m AS (SELECT unnest([10, 25, 50]) AS mark) SELECT pattern_key, mark AS n, CASE WHEN mark < 20 THEN 'EARLY' ELSE 'PROMISING' END AS maturity FROM ag JOIN m ON n >= mark",
     "q10_evidence": f"WITH {T.DAYS} SELECT episode_id, motif, array_to_string(patterns, ';') AS patterns FROM epd WHERE entity_id IN ('ent_0', 'ent_3') AND start_ts BETWEEN 1704300000 AND 1705000000",
     "q11_quality": f"""WITH {_STATE}, {_LEDGER}, {_LOG}, a AS (SELECT entity_id, count(*) AS n_episodes, count(*) FILTER (asset_key IS NULL) AS n_no_asset, count(*) FILTER (k % 5 = 4) AS n_unclassified, count(*) FILTER (k % 5 = 0) AS n_unknown, round(avg(CASE WHEN k % 5 < 4 THEN k / 100 END), 6) AS mean_confidence FROM ep GROUP BY 1),
       h AS (SELECT ep.entity_id, count(*) FILTER (s0 = 'pending') AS n_pending, count(*) FILTER (s0 = 'permanently unavailable') AS n_unavailable FROM st JOIN ep USING (episode_id) GROUP BY 1),
@@ -306,9 +327,14 @@ ORACLES = {
     "q19_runs": f"WITH {EV}, {_RUNS}, {_ENROLLED} SELECT run_id, entity_id, count(event_id) AS n_events FROM rn LEFT JOIN enr USING (run_id) GROUP BY 1, 2",
     "q20_requests": f"WITH {EV}, {_LOG} SELECT endpoint, count(*) AS n, count(*) FILTER (status >= 400) AS n_failed, max(seconds) AS slowest FROM log GROUP BY 1",
     "s1_archive": f"""WITH {EV}, p AS (SELECT '{{"w":"' || wallet || '","k":' || (k % 7) || '}}' AS payload, min((action_type, CAST(floor(ts / {DAY}) AS BIGINT))) AS v FROM ev GROUP BY 1), u AS (SELECT payload, struct_extract(v, 1) AS provider, struct_extract(v, 2) AS day FROM p)
-      SELECT provider, count(*) AS n, count(DISTINCT day) AS days, min(sha256(payload)) AS least FROM u GROUP BY 1""",
+      SELECT provider, day, payload, sha256(payload) AS sha256 FROM u""",
     "s2_latest_valid": f"WITH {EV}, {_LOG} SELECT endpoint, request, response_id FROM (SELECT *, row_number() OVER (PARTITION BY endpoint, request ORDER BY fetched_at DESC, response_id DESC) AS r FROM log) WHERE r = 1 AND status < 400 AND (1706000000 - fetched_at < 3600 OR cursor > 0)",
-    "s3_history_flatten": f"WITH {EV} SELECT wallet, event_id AS id, k AS idx, ts, upper(cex_id) AS cex_name FROM ev WHERE k % 8 <> 0",
+    "s3_history_flatten": f"WITH {_PAGE_ROWS} SELECT wallet, id, k AS idx, ts, cate_name, upper(cex_id) AS cex_name, upper(project_id) AS project_name FROM pr",
+    "s3_normalized_events": f"""WITH {_PAGE_ROWS} SELECT sha256('["' || entity_id || '","' || wallet || '","' || chain || '","' || tx_hash || '",' || k || ',' || ts || ']') AS event_id, wallet, chain, tx_hash, k AS event_index, ts,
+      CASE WHEN k % 17 = 0 THEN 'APPROVAL' WHEN cex_id IS NOT NULL THEN 'CEX_INTERACTION_' || side WHEN project_id IS NOT NULL THEN 'DEFI_INTERACTION_' || side WHEN side = 'BIDIRECTIONAL' THEN 'ASSET_EXCHANGE_LIKE' ELSE 'TRANSFER_' || side END AS action_type,
+      cate_name, upper(cex_id) AS cex_name, upper(project_id) AS project_name, round(abs(k * usd_value), 6) AS usd_value, token AS primary_token_id,
+      CASE token WHEN '0xToken' THEN CASE chain WHEN 'eth' THEN 'ethereum' WHEN 'arb' THEN 'arbitrum' WHEN 'op' THEN 'optimism' ELSE chain END || ':0xtoken' WHEN 'eth' THEN CASE WHEN chain <> 'bsc' THEN 'coingecko:ethereum' END END AS primary_asset_key,
+      CASE token WHEN '0xToken' THEN 'send' WHEN 'eth' THEN 'receive' END AS primary_direction FROM pr""",
     "s4_cursors": f"""WITH {EV}, p AS (SELECT wallet, chain, count(*) AS n_rows, coalesce(min(ts) FILTER (WHERE k % 8 <> 0), 0) AS oldest, coalesce(min(ts) FILTER (WHERE k % 3 = 0), 0) AS last FROM ev GROUP BY 1, 2)
       SELECT wallet, chain, n_rows, CASE WHEN oldest > 0 THEN oldest ELSE last END AS cursor,
         oldest = 0 OR (last > 0 AND oldest >= last) OR oldest <= 1704100000 AS complete FROM p""",
@@ -329,5 +355,5 @@ ORACLES = {
     "s17_enrolled": f"WITH {EV}, {_RUNS}, {_ENROLLED} SELECT run_id, event_id FROM enr",
     "s18_entities": f"WITH {EV} SELECT DISTINCT entity_id AS id, CASE WHEN entity_id = 'ent_2' THEN entity_id ELSE upper(entity_id) END AS name FROM ev",
     "s19_report": f"WITH {EV} SELECT wallet, count(*) AS n, CASE WHEN max(k) > 95 THEN round(min(usd_value), 2) END AS qvalue FROM ev GROUP BY 1",
-    "s20_evolution": f"WITH {EV} SELECT false AS built, CAST(0 AS INT) AS attempts, count(*) AS n, count(DISTINCT wallet) AS wallets FROM ev",
+    "s20_evolution": f"WITH {EV} SELECT event_id, wallet, false AS built, CAST(0 AS INT) AS attempts FROM ev",
 }

@@ -97,7 +97,7 @@ def b1_observations(spark, d):
 def b2_one_source(spark, d):
     labels = day_labels(spark, d)
     doubled = labels.unionByName(labels.withColumn("source", F.lit("a_second")).withColumn("simple_return", F.col("simple_return") + 1))
-    return B.observations(day_episodes(spark, d), doubled, day_context(spark, d)).groupBy("horizon_seconds").agg(F.count("*").alias("n"), F.round(F.sum("simple_return"), 4).alias("total"))
+    return B.observations(day_episodes(spark, d), doubled, day_context(spark, d)).select("episode_id", "asset_key", "horizon_seconds", F.round("simple_return", 6).alias("simple_return"))
 
 
 def b3_regime_patterns(spark, d):
@@ -145,11 +145,11 @@ def b12_shrinkage(spark, d):
 
 
 def b13_support(spark, d):
-    return _stats(spark, d).groupBy("level").agg(F.count("*").alias("groups"), F.sum("n").alias("rows"))
+    return _stats(spark, d).select(*B.GROUP, "n")
 
 
 def b14_mixed_assets(spark, d):
-    return B.single_asset(_levels(spark, d), ["level", "scope_id", "pattern", "intent_label", "horizon_seconds"]).groupBy("level").agg(F.count("*").alias("n"), F.max("assets").alias("most"))
+    return B.single_asset(_levels(spark, d), ["level", "scope_id", "pattern", "intent_label", "horizon_seconds"])
 
 
 def b15_backtest(spark, d):
@@ -183,7 +183,7 @@ def i1_canonical(spark, d):
 def i2_new_observations(spark, d):
     labels = day_labels(spark, d)
     seen = labels.where("horizon_seconds = 3600").select("episode_id", "asset_key", "horizon_seconds")
-    return I.new_observations(day_episodes(spark, d), labels, seen, "secondary", 1704200000, 1706000000).groupBy("intent_label", "horizon_seconds").agg(F.count("*").alias("n"))
+    return I.new_observations(day_episodes(spark, d), labels, seen, "secondary", 1704200000, 1706000000).select("observation_key", "pattern_key", "layer", "intent_label")
 
 
 def i3_keys(spark, d):
@@ -214,7 +214,7 @@ def i6_intervals(spark, d):
 
 def i7_stale(spark, d):
     left = day_episodes(spark, d).where("entity_id != 'ent_2'")
-    return I.drop_stale(_new(spark, d), left).groupBy("entity_id").agg(F.count("*").alias("n"))
+    return I.drop_stale(_new(spark, d), left).select("observation_key", "entity_id")
 
 
 def i8_dirty_keys(spark, d):
@@ -226,7 +226,7 @@ def _aggregates(spark, d):
 
 
 def i9_due_groups(spark, d):
-    return I.due_groups(_aggregates(spark, d)).groupBy("horizon_seconds").agg(F.count("*").alias("groups"), F.sum("n").alias("n"))
+    return I.due_groups(_aggregates(spark, d)).select("pattern_key", "n")
 
 
 def i10_refresh(spark, d):
@@ -255,7 +255,7 @@ def _mature(spark, d):
 def i12_maturity(spark, d):
     c = F.col
     level = I.maturity(c("n"), c("lo"), c("hi"), c("q"), c("holdout_accuracy"), c("train_mean"), c("test_mean_return"))
-    return _mature(spark, d).groupBy(level.alias("maturity")).agg(F.count("*").alias("groups"), F.sum("n").alias("n"))
+    return _mature(spark, d).select("scope_id", "pattern", "asset_key", "horizon_seconds", "n", level.alias("maturity"))
 
 
 def i13_train_mean(spark, d):
@@ -310,7 +310,7 @@ ORACLES = {
       sgn AS (SELECT *, {_TAIL} AS p FROM grp), rnk AS (SELECT *, rank() OVER (ORDER BY round(p, 9)) + count(*) OVER (PARTITION BY round(p, 9)) - 1 AS r, count(*) OVER () AS m FROM sgn)
       SELECT entity_id, pattern, n, round(mean_return, 6) AS mean_return, round(median_return, 6) AS median_return, neg AS negative_count, pos AS positive_count, {_MILLIONTHS} AS p, round(min(least(1.0, p * m / r)) OVER (ORDER BY round(p, 9) DESC RANGE UNBOUNDED PRECEDING), 6) AS qvalue FROM rnk""",
     "b1_observations": f"WITH {DAYS} SELECT episode_id, asset_key, horizon_seconds, round(simple_return, 6) AS simple_return, intent_label, regime FROM obs",
-    "b2_one_source": f"WITH {DAYS} SELECT horizon_seconds, count(*) AS n, round(sum(simple_return + 1), 4) AS total FROM obs GROUP BY 1",
+    "b2_one_source": f"WITH {DAYS} SELECT episode_id, asset_key, horizon_seconds, round(simple_return + 1, 6) AS simple_return FROM obs",
     "b3_regime_patterns": f"WITH {DAYS} SELECT pattern, count(*) AS n FROM pat GROUP BY 1",
     "b4_wallets": f"WITH {DAYS} SELECT wallet, count(*) AS n FROM obs GROUP BY 1",
     "b5_broad_action": f"WITH {DAYS} SELECT split_part(motif, '>', 1) AS action, count(*) AS n FROM obs GROUP BY 1",
@@ -321,8 +321,8 @@ ORACLES = {
       SELECT {G}, round(min(least(1.0, p * m / r)) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING), 6) AS qvalue FROM rnk""",
     "b11_holdout": f"WITH {DAYS}, h AS ({_holdout_sql('lvl', G, 'simple_return', 'start_ts, episode_id')}) SELECT {G}, train_n, test_n, round(tm, 6) AS train_mean, round(sm, 6) AS test_mean_return, round(acc, 6) AS holdout_accuracy FROM h",
     "b12_shrinkage": f"WITH {_REPORT} SELECT {G}, round(prior, 6) AS prior_mean, round((n * mean_return + 20 * prior) / (n + 20), 6) AS shrunk_mean FROM rep",
-    "b13_support": f"WITH {GROUPS} SELECT level, count(*) AS groups, CAST(sum(n) AS BIGINT) AS rows FROM grp GROUP BY 1",
-    "b14_mixed_assets": f"WITH {DAYS}, a AS (SELECT level, scope_id, pattern, intent_label, horizon_seconds, count(DISTINCT asset_key) AS c FROM lvl GROUP BY ALL) SELECT level, count(*) AS n, max(c) AS most FROM a WHERE c > 1 GROUP BY 1",
+    "b13_support": f"WITH {GROUPS} SELECT {G}, n FROM grp",
+    "b14_mixed_assets": f"WITH {DAYS}, a AS (SELECT level, scope_id, pattern, intent_label, horizon_seconds, count(DISTINCT asset_key) AS c FROM lvl GROUP BY ALL) SELECT level, scope_id, pattern, intent_label, horizon_seconds, c AS assets FROM a WHERE c > 1",
     "b15_backtest": f"""WITH {_REPORT}, h AS ({_holdout_sql("lvl", G, "simple_return", "start_ts, episode_id")}) SELECT {", ".join(c for c in B.GROUP if c != "pattern")}, level || ':' || pattern AS motif, n, train_n, test_n,
       round(mean_return, 6) AS mean_return, round(median_return, 6) AS median_return, round(std_return, 6) AS std_return, round(prior, 6) AS prior_mean, round((n * mean_return + 20 * prior) / (n + 20), 6) AS shrunk_mean, round(neg / n, 6) AS negative_rate,
       round(pos / n, 6) AS positive_rate, round(tm, 6) AS train_mean, round(sm, 6) AS test_mean_return, round(acc, 6) AS holdout_accuracy, {_MILLIONTHS} AS sign_pvalue FROM (SELECT *, {_TAIL} AS p FROM rep) JOIN h USING ({G})""",
@@ -331,23 +331,22 @@ ORACLES = {
       h AS (SELECT episode_id, motif, unnest(CASE WHEN len(f) > 0 THEN f ELSE ['FULL:' || motif] END) AS v FROM g), k AS (SELECT episode_id, motif, split_part(v, ':', 1) AS p, substr(v, strpos(v, ':') + 1) AS b FROM h),
       c AS (SELECT episode_id, CASE WHEN p = 'FULL' AND len(string_split(b, '>')) <= 3 THEN ['ACTION', 'BIGRAM', 'TRIGRAM'][len(string_split(b, '>'))] WHEN p = 'ENDPOINT' AND len(string_split(motif, '>')) = 2 AND b = motif THEN 'BIGRAM' ELSE p END || ':' || b AS x FROM k)
       SELECT episode_id, string_agg(DISTINCT x, ';' ORDER BY x) AS patterns FROM c GROUP BY 1""",
-    "i2_new_observations": f"WITH {DAYS} SELECT intent AS intent_label, horizon_seconds, CAST(sum(len(patterns)) AS BIGINT) AS n FROM obs WHERE intent IS NOT NULL AND horizon_seconds <> 3600 AND start_ts BETWEEN 1704200000 AND 1706000000 GROUP BY 1, 2",
+    "i2_new_observations": f"WITH {DAYS} SELECT sha256(episode_id || '|' || asset_key || '|' || horizon_seconds || '|' || p) AS observation_key, sha256(entity_id || '|' || p || '|' || intent || '|' || asset_key || '|' || horizon_seconds) AS pattern_key, 'secondary' AS layer, intent AS intent_label FROM (SELECT *, unnest(patterns) AS p FROM obs WHERE intent IS NOT NULL AND horizon_seconds <> 3600 AND start_ts BETWEEN 1704200000 AND 1706000000)",
     "i3_keys": f"WITH {_NEW} SELECT observation_key, pattern_key FROM nw",
     "i4_delta_merge": f"WITH {_AGG} SELECT pattern_key, n, round(s, 4) AS sum_return, round(s / n, 6) AS mean_return, neg AS negative_count, pos AS positive_count, CASE WHEN n >= 20 THEN 'PROMISING' ELSE 'EARLY' END AS maturity FROM ag",
     "i5_rebuild": f"WITH {_NEW} SELECT entity_id, horizon_seconds, count(DISTINCT pattern_key) AS groups, count(*) AS n FROM nw WHERE entity_id <> 'ent_1' OR horizon_seconds > 3600 GROUP BY 1, 2",
     "i6_checkpoints": f"""WITH {_NEW}, p AS (SELECT *, row_number() OVER (PARTITION BY pattern_key ORDER BY start_ts, observation_key) AS i, count(*) OVER (PARTITION BY pattern_key) AS c FROM nw), m AS (SELECT unnest({list(I.MILESTONES)}) AS mark)
       SELECT pattern_key, mark AS n, CASE WHEN mark < 20 THEN 'EARLY' ELSE 'PROMISING' END AS maturity, round(avg(r), 6) AS mean_return, round(median(r), 6) AS median_return, round(avg(CASE WHEN r < 0 THEN 1.0 ELSE 0 END), 6) AS negative_rate FROM p JOIN m ON i <= mark AND c >= mark GROUP BY 1, 2""",
-    "i7_stale": f"WITH {_NEW} SELECT entity_id, count(*) AS n FROM nw WHERE entity_id <> 'ent_2' GROUP BY 1",
+    "i7_stale": f"WITH {_NEW} SELECT observation_key, entity_id FROM nw WHERE entity_id <> 'ent_2'",
     "i8_dirty_keys": f"WITH {_NEW} SELECT DISTINCT pattern_key FROM nw WHERE start_ts < 1704200000",
-    "i9_due_groups": f"WITH {_DUE} SELECT horizon_seconds, count(*) AS groups, CAST(sum(n) AS BIGINT) AS n FROM du GROUP BY 1",
+    "i9_due_groups": f"WITH {_DUE} SELECT pattern_key, n FROM du",
     "i10_refresh": f"""WITH {_DUE}, ow AS (SELECT nw.* FROM nw JOIN du USING (pattern_key)), h AS ({_holdout_sql('ow', 'pattern_key', 'r', 'start_ts, observation_key')}), dp AS (SELECT entity_id, asset_key, horizon_seconds, avg(r) AS prior FROM (SELECT DISTINCT entity_id, asset_key, horizon_seconds, episode_id, r FROM nw) GROUP BY ALL)
       SELECT pattern_key, n, train_n, test_n, n AS last_expensive_n, round(med, 6) AS median_return, round((s + 20 * prior) / (n + 20), 6) AS shrunk_mean, round(tm, 6) AS train_mean, round(sm, 6) AS test_mean_return, round(acc, 6) AS holdout_accuracy
       FROM du JOIN h USING (pattern_key) JOIN dp USING (entity_id, asset_key, horizon_seconds) JOIN (SELECT pattern_key, median(r) AS med FROM ow GROUP BY 1) USING (pattern_key)""",
     "i11_family": f"""WITH {_DUE}, f AS (SELECT ag.pattern_key, du.pattern_key IS NULL AS untested, CASE WHEN du.pattern_key IS NULL THEN 1.0 ELSE (SELECT {_TAIL} FROM (SELECT ag.neg AS neg, ag.pos AS pos)) END AS p FROM ag LEFT JOIN du USING (pattern_key)),
       rnk AS (SELECT *, rank() OVER (ORDER BY round(p, 12)) + count(*) OVER (PARTITION BY round(p, 12)) - 1 AS r, count(*) OVER () AS m FROM f), q AS (SELECT *, min(least(1.0, p * m / r)) OVER (ORDER BY round(p, 12) DESC RANGE UNBOUNDED PRECEDING) AS q FROM rnk)
       SELECT pattern_key, untested, round(q, 6) AS qvalue FROM q""",
-    "i12_maturity": f"""WITH {_MATURE} SELECT CASE WHEN n < 20 THEN 'EARLY' WHEN n >= 100 AND (lo > 0 OR hi < 0) AND q <= 0.05 AND tm * sm > 0 AND coalesce(acc, 0) >= 0.6 THEN 'ROBUST' WHEN n >= 50 AND (lo > 0 OR hi < 0) AND tm * sm > 0 AND coalesce(acc, 0) >= 0.55 THEN 'ESTABLISHING' ELSE 'PROMISING' END AS maturity,
-      count(*) AS groups, CAST(sum(n) AS BIGINT) AS n FROM mm GROUP BY 1""",
+    "i12_maturity": f"""WITH {_MATURE} SELECT {_KS}, n, CASE WHEN n < 20 THEN 'EARLY' WHEN n >= 100 AND (lo > 0 OR hi < 0) AND q <= 0.05 AND tm * sm > 0 AND coalesce(acc, 0) >= 0.6 THEN 'ROBUST' WHEN n >= 50 AND (lo > 0 OR hi < 0) AND tm * sm > 0 AND coalesce(acc, 0) >= 0.55 THEN 'ESTABLISHING' ELSE 'PROMISING' END AS maturity FROM mm""",
     "i13_train_mean": f"WITH {_MATURE} SELECT {_KS}, round(tm, 6) AS train_mean FROM mm",
     "i14_change_feed": f"""WITH {_NEW}, c AS (SELECT pattern_key, count(*) AS n, count(*) FILTER ((start_ts // 3600) % 2 = 0) AS b FROM nw GROUP BY 1), m AS (SELECT pattern_key, max(mark) AS m FROM c, (SELECT unnest({list(I.MILESTONES)}) AS mark) WHERE mark > b AND mark <= n GROUP BY 1)
       SELECT kind, detail, count(*) AS n FROM (SELECT 'sample' AS kind, CAST(n AS VARCHAR) AS detail FROM c WHERE n - b >= 5 UNION ALL SELECT 'milestone', CAST(m AS VARCHAR) FROM m UNION ALL SELECT 'maturity', 'PROMISING' FROM c WHERE b > 0 AND b < 20 AND n >= 20) GROUP BY 1, 2""",

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewright.functions.normalize import asset_key, normal_address
+from tracewright.functions.normalize import STABLE_IDS, action_class, asset_key, event_id, gross_usd, leg_usd, normal_address, whole_seconds
 from tracewright.sources.shared import discard, materialize, path_exists
 
 
@@ -51,15 +51,54 @@ def latest_valid(responses: DataFrame, now: int, max_age: int = 3600) -> DataFra
     return last.where((F.col("status") < 400) & ((now - F.col("fetched_at") < max_age) | (F.col("cursor") > 0)))
 
 
-ROW = "id string, idx int, time_at double, cex_id string, project_id string"
+LEG = "array<struct<amount:double, price:double, token_id:string, {other}:string>>"
+ROW = (
+    "struct<id:string, idx:int, time_at:string, cate_id:string, cex_id:string, project_id:string, other_addr:string, sends:" + LEG.format(other="to_addr") + ", receives:" + LEG.format(other="from_addr")
+    + ", tx:struct<id:string, from_addr:string, to_addr:string>, token_approve:string>"
+)
+NAMES = "map<string, struct<name:string>>"
+PAGE = f"history_list array<{ROW}>, cate_dict {NAMES}, cex_dict {NAMES}, project_dict {NAMES}, token_dict map<string, struct<symbol:string, name:string>>"
+
+
+def page_rows(pages: DataFrame) -> DataFrame:
+    """History rows of JSON pages (column payload): the pages' other columns, pos, row, ts, and cate_name, cex_name, project_name looked up in the page's dictionaries; rows without a positive time are dropped."""
+    kept = [c for c in pages.columns if c != "payload"]
+    each = pages.select(*kept, F.from_json("payload", PAGE).alias("_page")).select(*kept, "_page", F.posexplode("_page.history_list").alias("pos", "row"))
+    name = lambda kind: F.try_element_at(f"_page.{kind}_dict", F.coalesce(f"row.{kind}_id", F.lit("")))["name"].alias(f"{kind}_name")
+    return each.select(*kept, "pos", "row", whole_seconds(F.col("row.time_at")).alias("ts"), *map(name, ("cate", "cex", "project")), F.col("_page.token_dict").alias("tokens")).where("ts > 0")
 
 
 def flatten_pages(pages: DataFrame) -> DataFrame:
-    """History rows of JSON pages (column payload), with the page's exchange names looked up; rows without a positive time are dropped."""
-    parsed = F.from_json("payload", f"history_list array<struct<{', '.join(f'{a}:{b}' for a, b in (x.split() for x in ROW.split(', ')))}>>, cex_dict map<string,struct<name:string>>")
-    each = pages.select(*[c for c in pages.columns if c != "payload"], parsed.alias("p")).select("*", F.posexplode("p.history_list").alias("pos", "row"))
-    ts = F.coalesce(F.col("row.time_at").try_cast("long"), F.lit(0))
-    return each.select(*[c for c in pages.columns if c != "payload"], "row.id", "row.idx", ts.alias("ts"), "row.cex_id", F.try_element_at("p.cex_dict", F.coalesce("row.cex_id", F.lit("")))["name"].alias("cex_name")).where("ts > 0")
+    """The pages' other columns with id, idx, ts, cex_id and the names of category, exchange and project of each row."""
+    kept = [c for c in pages.columns if c != "payload"]
+    return page_rows(pages).select(*kept, "row.id", "row.idx", "ts", "row.cex_id", "cate_name", "cex_name", "project_name")
+
+
+def normalize_pages(pages: DataFrame) -> DataFrame:
+    """Events of history pages (entity_id, wallet, chain, payload), in one pass without a shuffle.
+
+    event_id, entity_id, wallet (lower case), chain, tx_hash (of the row, else of its transaction), event_index, ts, action_type, cate_id, cex_id, project_id and their names, other_addr, usd_value (the larger side), primary_token_id,
+    primary_asset_key, primary_direction, sends, receives, tx, token_approve, tokens. The primary leg is the most valuable one that is not stable, the first of equals, sends before receives; none if all are worth nothing.
+    """
+    filled = lambda c: F.nullif(F.col(c), F.lit(""))
+    none = lambda c: F.coalesce(c, F.expr("array()").cast("array<struct<token_id:string, usd:double, direction:string>>"))
+    leg = lambda direction: lambda x: F.struct(x["token_id"].alias("token_id"), leg_usd(x["amount"], x["price"]).alias("usd"), F.lit(direction).alias("direction"))
+    rows = page_rows(pages).select(
+        "*", F.coalesce(filled("row.id"), filled("row.tx.id")).alias("tx_hash"), none(F.transform("row.sends", leg("send"))).alias("_out"), none(F.transform("row.receives", leg("receive"))).alias("_in")
+    )
+    worth = F.filter(F.concat("_out", "_in"), lambda x: ~F.lower(F.coalesce(x["token_id"], F.lit(""))).isin(*STABLE_IDS))
+    start = F.struct(F.lit(None).cast("string").alias("token_id"), F.lit(0.0).alias("usd"), F.lit(None).cast("string").alias("direction"))
+    best = F.aggregate(worth, start, lambda held, x: F.when(x["usd"] > held["usd"], x).otherwise(held))
+    rows = rows.withColumn("_best", best)
+    total = lambda side: F.transform(side, lambda x: x["usd"])
+    action = action_class(F.col("row.token_approve"), F.col("row.cex_id"), F.col("row.project_id"), F.size("_out") > 0, F.size("_in") > 0)
+    token = F.nullif(F.col("_best.token_id"), F.lit(""))
+    return rows.select(
+        event_id(F.col("entity_id"), F.col("wallet"), F.col("chain"), F.col("tx_hash"), F.col("row.idx"), F.col("ts")).alias("event_id"), "entity_id", F.lower("wallet").alias("wallet"), "chain", "tx_hash",
+        F.col("row.idx").alias("event_index"), "ts", action.alias("action_type"), "row.cate_id", "row.cex_id", "row.project_id", "cate_name", "cex_name", "project_name", "row.other_addr",
+        gross_usd(total("_out"), total("_in")).alias("usd_value"), token.alias("primary_token_id"), asset_key(F.col("chain"), token).alias("primary_asset_key"), F.col("_best.direction").alias("primary_direction"),
+        "row.sends", "row.receives", "row.tx", "row.token_approve", "tokens",
+    )
 
 
 def page_cursors(rows: DataFrame, from_ts: int, before: DataFrame | None = None) -> DataFrame:
