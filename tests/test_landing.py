@@ -69,13 +69,13 @@ def test_a_landing_cut_off_before_its_digests_lands_once(spark, tmp_path):
 
 
 def test_history_rows_become_events(spark):
-    """The reference case: a payment to an exchange is evidence, not a sale."""
+    """A payment to an exchange is evidence, not a sale; of equal legs the first counts; what is no number counts as nothing."""
     row = {"id": "0x1", "idx": 0, "time_at": 1000, "cex_id": "binance", "sends": [{"amount": 2, "price": 100, "to_addr": "0xcex", "token_id": "0xToken"}], "receives": [], "tx": {"from_addr": "0xwallet", "to_addr": "0xcex", "id": "0x1"}}
     stable = {"id": "", "idx": 1, "time_at": "2000.9", "project_id": "p", "cate_id": "c", "sends": [{"amount": 9, "price": 100, "token_id": "0xDAC17F958D2ee523a2206206994597c13d831ec7"}], "receives": [{"amount": 3, "price": 2, "token_id": "eth"}, {"amount": 6, "price": 1, "token_id": "0xLater"}], "tx": {"id": "0x2"}}
     bare = {"id": "0x3", "idx": None, "time_at": 5, "token_approve": "x", "sends": None, "receives": [{"amount": "bad", "price": 1, "token_id": "t"}]}
     gone = {"id": "0x4", "time_at": "never"}
     page = {"history_list": [row, stable, bare, gone], "cex_dict": {"binance": {"name": "Binance"}}, "cate_dict": {"c": {"name": "Cat"}}, "project_dict": {"p": {"name": "Project"}}}
-    df = spark.createDataFrame([("wintermute", "0xWallet", "eth", json.dumps(page))], "entity_id string, wallet string, chain string, payload string")
+    df = spark.createDataFrame([("ent", "0xWallet", "eth", json.dumps(page))], "entity_id string, wallet string, chain string, payload string")
     got = {r.event_index: r for r in ingest.normalize_pages(df).collect()}
     one, two, three = got[0], got[1], got[None]
     assert len(got) == 3 and (one.action_type, one.usd_value, one.cex_name, one.wallet, one.tx_hash) == ("CEX_INTERACTION_OUT", 200, "Binance", "0xwallet", "0x1")
@@ -84,4 +84,4 @@ def test_history_rows_become_events(spark):
     assert (two.action_type, two.usd_value, two.primary_token_id, two.primary_asset_key, two.tx_hash, two.ts) == ("DEFI_INTERACTION_BIDIRECTIONAL", 900, "eth", "coingecko:ethereum", "0x2", 2000)
     assert (two.cate_name, two.project_name, two.cex_name) == ("Cat", "Project", None)
     assert (three.action_type, three.usd_value, three.primary_token_id) == ("APPROVAL", 0, None)
-    assert one.event_id == hashlib.sha256(json.dumps(["wintermute", "0xwallet", "eth", "0x1", 0, 1000], separators=(",", ":")).encode()).hexdigest()
+    assert one.event_id == hashlib.sha256(json.dumps(["ent", "0xwallet", "eth", "0x1", 0, 1000], separators=(",", ":")).encode()).hexdigest()

@@ -44,10 +44,10 @@ def segmented(df: DataFrame, keys: list[str], by: str, part: int = PART, at_most
     whole = {"_seg": F.lit(0), "_before": F.lit(0).cast("long"), "_size": F.lit(None).cast("long")}
     if at_most is not None and at_most <= part:
         return df.withColumns(whole), False
-    large = materialize(df.groupBy(*keys).agg(F.count("*").alias("_size")).where(F.col("_size") > part), "large-groups")
+    large = df.groupBy(*keys).agg(F.count("*").alias("_size")).where(F.col("_size") > part)
     if large.isEmpty():
         return df.withColumns(whole), False
-    tagged = _attach(df, large, keys, ["_size"])
+    tagged = _attach(df, materialize(large, "large-groups"), keys, ["_size"])
     cuts = tagged.where(F.col("_size").isNotNull()).groupBy(*keys).agg(F.percentile_approx(by, [k / SEGMENTS for k in range(1, SEGMENTS)], 10_000).alias("_cuts"))
     tagged = _attach(tagged, materialize(cuts, "segment-cuts"), keys, ["_cuts"])
     tagged = tagged.withColumn("_seg", F.when(F.col("_size").isNull(), 0).otherwise(F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(by))), F.lit(0)))).drop("_cuts")

@@ -22,7 +22,10 @@ EVENT = (
 )
 ACCOUNT = ["entity_id", "wallet"]
 #: State store that timers and keyed state of any size need.
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 DAY = 86400
 
 
@@ -44,14 +47,16 @@ def stream_rates(events: DataFrame, size: str, slide: str | None = None) -> Data
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Appends what is there now, and what the watermark then releases, to Parquet files, with state in RocksDB."""
-    spark, name = df.sparkSession, "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKSDB)
+    """Appends what is there now, and what the watermark then releases, to Parquet files, with state in RocksDB, of which each batch stores its changes only."""
+    spark = df.sparkSession
+    before = {name: spark.conf.get(name, None) for name in STATE_CONF}
+    for name, value in STATE_CONF.items():
+        spark.conf.set(name, value)
     try:
         return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 class _Anchored(StatefulProcessor):
