@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.operators import ordered
 from tracewright.operators.stats import bh_qvalues, bootstrap_ci, holdout, shrink, sign_test, summary
+from tracewright.sources.shared import materialize
 
 KEY = ["pattern_key", "entity_id", "pattern", "intent_label", "asset_key", "horizon_seconds"]
 SUMS = ["n", "sum_return", "sum_sq_return", "negative_count", "positive_count"]
@@ -72,9 +73,9 @@ def checkpoints(obs: DataFrame, marks: tuple[int, ...] = MILESTONES, samples: in
     placed = ordered.positions(obs.select("pattern_key", "episode_ts", "observation_key", "return_value"), ["pattern_key"], ["episode_ts", "observation_key"])
     passed = F.filter(F.array(*map(F.lit, marks)), lambda m: (F.col("_i") <= m) & (m <= F.col("_n")))
     reached = placed.where(F.col("_i") <= max(marks)).select("pattern_key", F.explode(passed).alias("n"), "return_value")
-    found = summary(reached.withColumnRenamed("n", "mark"), ["pattern_key", "mark"], "return_value").select("pattern_key", F.col("mark").alias("n"), "mean_return", "median_return", (F.col("negative_count") / F.col("n")).alias("negative_rate"))
+    found = summary(reached.withColumnRenamed("n", "mark"), ["pattern_key", "mark"], "return_value", at_most=max(marks)).select("pattern_key", F.col("mark").alias("n"), "mean_return", "median_return", (F.col("negative_count") / F.col("n")).alias("negative_rate"))
     found = found.withColumn("maturity", F.when(F.col("n") < 20, "EARLY").otherwise("PROMISING"))
-    return found.join(bootstrap_ci(reached, ["pattern_key", "n"], "return_value", samples), ["pattern_key", "n"]) if samples else found
+    return found.join(bootstrap_ci(reached, ["pattern_key", "n"], "return_value", samples, at_most=max(marks)), ["pattern_key", "n"]) if samples else found
 
 
 def due_groups(agg: DataFrame) -> DataFrame:
@@ -96,7 +97,7 @@ def refresh_stats(agg: DataFrame, obs: DataFrame, strength: float = 20.0, sample
     q-values run over the whole family, in which groups never tested count as p = 1, and maturity is told anew for every group. last_expensive_n is what due_groups() asks for next time. Without samples intervals stay as they were.
     """
     due = due_groups(agg).select(*KEY, *SUMS)
-    own = obs.join(due.select("pattern_key"), "pattern_key", "left_semi").select("pattern_key", "episode_ts", "observation_key", "return_value")
+    own = materialize(obs.join(due.select("pattern_key"), "pattern_key", "left_semi").select("pattern_key", "episode_ts", "observation_key", "return_value"), "due-observations")
     split = holdout(own, ["pattern_key"], "return_value", ["episode_ts", "observation_key"])
     middle = summary(own, ["pattern_key"], "return_value").select("pattern_key", "median_return")
     scope = ["entity_id", "intent_label", "asset_key", "horizon_seconds"]

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tracewright.sources.shared import materialize
 
 #: Rows of a group up to which one task sorts it whole.
-PART = 500_000
+PART = 2_000_000
 #: Segments that a larger group is cut into.
 SEGMENTS = 256
 
@@ -39,10 +39,10 @@ def with_id(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
 def segmented(df: DataFrame, keys: list[str], by: str, part: int = PART, at_most: int | None = None) -> tuple[DataFrame, bool]:
     """df with _seg, the number of a row's segment in order of `by` (nulls first), _before, the rows of its group in earlier ones, and _size, the rows of its group (null for one segment); and whether any group was cut.
 
-    at_most is a bound on the rows of a group, if one is known: within `part`, it saves counting the groups.
+    at_most is a bound on the rows of a group, if one is known: within `part`, it saves counting the groups. So does a table that has no more than `part` rows.
     """
     whole = {"_seg": F.lit(0), "_before": F.lit(0).cast("long"), "_size": F.lit(None).cast("long")}
-    if at_most is not None and at_most <= part:
+    if (df.count() if at_most is None else at_most) <= part:
         return df.withColumns(whole), False
     large = df.groupBy(*keys).agg(F.count("*").alias("_size")).where(F.col("_size") > part)
     if large.isEmpty():
