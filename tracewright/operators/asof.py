@@ -22,13 +22,13 @@ def _typed_null(df: DataFrame, column: Column) -> Column:
 
 def asof_join(
     left: DataFrame, right: DataFrame, by: list[str], on: str, direction: str = "backward", equal: bool = True, tie: str | None = None, first_tie: bool = False, tolerance: int | None = None,
-    out: str = "match", part: int = ordered.PART,
+    out: str = "match", part: int = ordered.PART, at_most: int | None = None,
 ) -> DataFrame:
     """Adds to every left row the struct `out` of the right row nearest in `on`, a number, among those that agree in `by`.
 
     direction: "backward" (at or before) or "forward" (at or after); equal=False leaves equal times out. Among right rows of the same time the greatest `tie` wins (the least with
     first_tie). Beyond `tolerance`, and where nothing matches, `out` is null. Null keys or times match nothing. Both sides meet in one sort per key, and only the last match is kept while
-    rows stream by; keys of more than `part` rows are cut into stretches of time.
+    rows stream by; keys of more than `part` rows are cut into stretches of time. at_most, if known, is a bound on the rows of both sides.
     """
     time = F.col(on) if direction == "backward" else -F.col(on)
     payload, held = F.struct(*right.columns), F.struct(*left.columns)
@@ -36,7 +36,7 @@ def asof_join(
     rows = right.where(F.col(on).isNotNull()).select(*by, time.alias("_t"), F.lit(0 if equal else 1).alias("_kind"), payload.alias("_right"), rank.alias("_tie"), _typed_null(left, held).alias("_left"))
     probes = left.select(*by, time.alias("_t"), F.lit(1 if equal else 0).alias("_kind"), _typed_null(right, payload).alias("_right"), _typed_null(right, rank).alias("_tie"), held.alias("_left"))
     order = [F.col("_t").asc(), F.col("_kind"), F.col("_tie").desc() if first_tie else F.col("_tie").asc()]
-    seen = ordered.carried(rows.unionByName(probes), by, order, ["_right"], part=part).where(F.col("_left").isNotNull())
+    seen = ordered.carried(rows.unionByName(probes), by, order, ["_right"], part=part, at_most=at_most).where(F.col("_left").isNotNull())
     good = _known(by)
     if tolerance is not None:
         good &= F.abs(F.col(f"_right.{on}") - F.col(f"_left.{on}")) <= tolerance
@@ -57,8 +57,10 @@ def asof_kinds(left: DataFrame, points: DataFrame, by: list[str], on: str, kinds
 
 def nearest(left: DataFrame, right: DataFrame, by: list[str], on: str, tie: str, tolerance: int, out: str = "match", part: int = ordered.PART) -> DataFrame:
     """The nearest right row within `tolerance` either way; at equal distance the one at or after wins. At or after, the least tie of the time; before, the greatest."""
-    after = asof_join(left, right, by, on, "forward", True, tie, True, tolerance, "_after", part)
-    both = asof_join(after, right, by, on, "backward", False, tie, False, tolerance, "_before", part)
+    most = left.count() + right.count()
+    most = most if most <= part else None
+    after = asof_join(left, right, by, on, "forward", True, tie, True, tolerance, "_after", part, most)
+    both = asof_join(after, right, by, on, "backward", False, tie, False, tolerance, "_before", part, most)
     ahead, behind = F.col(f"_after.{on}") - F.col(on), F.col(on) - F.col(f"_before.{on}")
     choice = F.when(F.col("_after").isNotNull() & (F.col("_before").isNull() | (ahead <= behind)), F.col("_after")).otherwise(F.col("_before"))
     return both.select(*left.columns, choice.alias(out))

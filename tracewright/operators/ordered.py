@@ -97,13 +97,13 @@ def least_from_here(df: DataFrame, family: list[str], by: str, value: str, out:
     return df.join(rest, [*family, "_part"]).withColumn(out, F.least(F.min(value).over(inside), "_rest")).drop("_rest", "_part")
 
 
-def carried(df: DataFrame, keys: list[str], order: list[Column], columns: list[str], how: str = "last", inclusive: bool = True, part: int = PART) -> DataFrame:
+def carried(df: DataFrame, keys: list[str], order: list[Column], columns: list[str], how: str = "last", inclusive: bool = True, part: int = PART, at_most: int | None = None) -> DataFrame:
     """df, whose column _t leads its order, with each of `columns` replaced by the last non-null value (how = "last") or the greatest one ("max") of its group up to the row; without the row itself where not inclusive.
 
     Large groups run through their segments of _t side by side; what a segment ends with is handed to the next ones.
     """
     over = (lambda c, w: F.last(c, ignorenulls=True).over(w)) if how == "last" else (lambda c, w: F.max(c).over(w))
-    placed, cut = segmented(df, keys, "_t", part)
+    placed, cut = segmented(df, keys, "_t", part, at_most)
     window = Window.partitionBy(*keys, "_seg").orderBy(*order) if cut else Window.partitionBy(*keys).orderBy(*order)
     frame = window.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     if not cut:
