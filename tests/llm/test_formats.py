@@ -223,6 +223,63 @@ def test_held_out_languages(spark, sf_dir, odd_docs, no_docs):
     assert {r["lang_pred"] for r in langid.predict(odd_docs, langid.train(no_docs)).collect()} == {"und"}
 
 
+def plain_buckets(text):
+    """Buckets of the 1- to 3-grams, gram by gram: a polynomial of the code points, mixed, 16 bits of it."""
+    chars = [ord(c) if "a" <= c <= "z" or (c >= "\u00c0" and c not in "\u00d7\u00f7") else 32 for c in text.lower()]
+    out = []
+    for n in (1, 2, 3):
+        for at in range(len(chars) - n + 1):
+            h = 0
+            for c in chars[at : at + n]:
+                h = (h * 16777619 + c * 2654435761) % (1 << 32)
+            h ^= h >> 15
+            out.append((h * 2246822507 % (1 << 32)) >> 16)
+    return out
+
+
+def plain_bayes(rows, texts):
+    """Naive Bayes with dict counts: language and posterior probability of each text; rows are (id, text, lang)."""
+    learned = [(t, lang) for d, t, lang in rows if t is not None and lang is not None and (d is None or zlib.crc32(str(d).encode()) % 4 != 2)]
+    counts, docs = {}, {}
+    for text, lang in learned:
+        docs[lang] = docs.get(lang, 0) + 1
+        own = counts.setdefault(lang, {})
+        for b in plain_buckets(text):
+            own[b] = own.get(b, 0) + 1
+    whole = {lang: sum(own.values()) + 0.5 * 65536 for lang, own in counts.items()}
+    out = []
+    for text in texts:
+        if not text or not any(map(str.isalpha, text)):
+            out.append(("und", 0.0))
+            continue
+        score = {lang: math.log(docs[lang] / len(learned)) for lang in sorted(docs)}
+        for b in plain_buckets(text):
+            for lang in score:
+                score[lang] += math.log((counts[lang].get(b, 0) + 0.5) / whole[lang])
+        best = max(score, key=score.get)
+        out.append((best, 1 / sum(math.exp(x - score[best]) for x in score.values())))
+    return out
+
+
+@pytest.mark.parametrize("block", [10, 500_000])
+def test_languages_against_plain_counts(spark, sf_dir, odd_docs, monkeypatch, block):
+    """With blocks of 10 characters every text spans many; no gram at their edges is lost or counted twice."""
+    monkeypatch.setattr(langid, "BLOCK", block)
+    docs = table(spark, sf_dir, "documents").where("n_chars < 2000").select("doc_id", "text", "lang").unionByName(odd_docs.select("doc_id", "text", "lang"))
+    rows = [tuple(r) for r in docs.collect()]
+    model = langid.train(docs)
+    monkeypatch.setattr(langid, "GATHERED", 5000)
+    for got, want in zip(model.predict(t for _, t, _ in rows), plain_bayes(rows, [t for _, t, _ in rows]), strict=True):
+        assert got[0] == want[0] and got[1] == pytest.approx(want[1], abs=1e-3)
+    assert [sorted(np.concatenate(list(langid.blocks(t)))) for t in ("a \u0130\u03a3 \u00d7 bcdefghijklmnop" * 3,)] == [sorted(plain_buckets("a \u0130\u03a3 \u00d7 bcdefghijklmnop" * 3))]
+
+
+def test_language_columns_of_clashing_names(spark, odd_docs):
+    model = langid.train(odd_docs)
+    got = langid.predict(odd_docs.withColumn("_text", F.lit("kept")).withColumn("score", F.lit("x")), model)
+    assert got.columns.count("score") == 1 and {r["_text"] for r in got.collect()} == {"kept"} and got.count() == odd_docs.count()
+
+
 def test_queries_are_registered():
     names = queries.queries()
     assert all(any(re.match(rf"op{n}_", x) for x in names) for n in range(1, 11)) and "pipeline" in names

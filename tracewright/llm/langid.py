@@ -1,11 +1,11 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-The log-probability matrix has a fixed size (buckets x languages) and is broadcast; batches are scored sparsely in numpy.
+The log-probability matrix has a fixed size (buckets x languages) and is broadcast; the texts of an Arrow batch are the sparse rows of one matrix and scored together in numpy.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,26 +20,37 @@ ORDERS = (1, 2, 3)
 TRAIN_ROWS = 20_000
 #: Added to every count.
 SMOOTHING = 0.5
-#: Characters scored at a time; bounds a task's memory whatever a text's length.
+#: Characters whose n-grams are taken at a time; bounds a task's memory whatever a text's length.
 BLOCK = 500_000
+#: Log-probabilities that are gathered at a time, about.
+GATHERED = 1 << 21
 UNKNOWN = "und"
 
 
-def grams(text: str) -> np.ndarray:
-    """Buckets of the n-grams of the lower-cased text; everything but letters counts as one kind of gap."""
-    chars = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32)
-    small = chars < 128
-    letter = np.where(small, (chars >= 97) & (chars <= 122), chars >= 0xC0)
+def grams(text: str, starts: int | None = None) -> np.ndarray:
+    """Buckets of the n-grams of a lower-cased text, or of those that begin in its first `starts` characters; what is no letter counts as one kind of gap.
+
+    Letters are a to z and everything from U+00C0 on but the signs of multiplication and division.
+    """
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32)
+    letter = np.where(chars < 128, (chars >= 97) & (chars <= 122), (chars >= 0xC0) & (chars != 0xD7) & (chars != 0xF7))
     chars = np.where(letter, chars, 32)
     out, mixed = [], np.zeros(len(chars), np.uint32)
     for n in range(1, max(ORDERS) + 1):
         mixed = (mixed[: len(chars) - n + 1] * np.uint32(0x01000193)) + chars[n - 1 :] * np.uint32(0x9E3779B1)
         if n in ORDERS and len(mixed):
-            h = mixed ^ (mixed >> np.uint32(15))
+            h = mixed[:starts] ^ (mixed[:starts] >> np.uint32(15))
             out.append((h * np.uint32(0x85EBCA6B) >> np.uint32(16)) & np.uint32(BUCKETS - 1))
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
+def blocks(text: str) -> Iterator[np.ndarray]:
+    """Buckets of all n-grams of a text, each once, block by block."""
+    lower = text.lower()
+    for start in range(0, len(lower), BLOCK):
+        yield grams(lower[start : start + BLOCK + max(ORDERS) - 1], BLOCK)
+
+
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
@@ -50,25 +61,56 @@ class Model:
     def __init__(self, languages: list[str], matrix: np.ndarray, prior: np.ndarray):
         self.languages, self.matrix, self.prior = languages, matrix, prior
 
-    def totals(self, text: str) -> np.ndarray:
-        total = self.prior.copy()
-        overlap = max(ORDERS) - 1
-        for start in range(0, len(text), BLOCK):
-            found = np.bincount(grams(text[start : start + BLOCK + overlap]), minlength=BUCKETS) if len(text) > 4096 else None
-            if found is None:
-                total += self.matrix[grams(text)].sum(axis=0, dtype=np.float64)
-            else:
-                used = np.flatnonzero(found)
-                total += found[used].astype(np.float64) @ self.matrix[used]
+    def totals(self, texts: Iterable[str]) -> np.ndarray:
+        """Log-probabilities (texts x languages) up to a constant per text, for texts that are not empty.
+
+        The texts' counts are the sparse rows of a matrix, kept as buckets and weights one row after the other; rows are multiplied with the log-probabilities and summed together.
+        """
+        rows, buckets, weights, held, done, n = [], [], [], 0, [], 0
+
+        def add() -> None:
+            edges = np.cumsum([0, *map(len, buckets[:-1])])
+            done.append((list(rows), np.add.reduceat(self.matrix[np.concatenate(buckets)] * np.concatenate(weights)[:, None], edges, axis=0)))
+            for part in (rows, buckets, weights):
+                part.clear()
+
+        for text in texts:
+            for found in blocks(text):
+                counts = np.bincount(found, minlength=BUCKETS) if len(found) > BUCKETS // 4 else None
+                used = found if counts is None else np.flatnonzero(counts)
+                rows.append(n)
+                buckets.append(used)
+                weights.append(np.ones(len(used)) if counts is None else counts[used].astype(np.float64))
+                held += len(used)
+                if held * len(self.languages) >= GATHERED:
+                    add()
+                    held = 0
+            n += 1
+        if rows:
+            add()
+        total = np.tile(np.asarray(self.prior, np.float64), (n, 1))
+        for places, sums in done:
+            np.add.at(total, places, sums)
         return total
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The likeliest language and its posterior probability; `und` and 0 where there is no letter or nothing was learned."""
-        if not text or not self.languages or not has_letter(text):
-            return UNKNOWN, 0.0
-        total = self.totals(text)
-        best = int(total.argmax())
-        return self.languages[best], float(1.0 / np.exp(total - total[best]).sum())
+    def predict(self, texts: Iterable[str | None]) -> list[tuple[str, float]]:
+        """The likeliest language of each text and its posterior probability; `und` and 0 where there is no letter or nothing was learned."""
+        out: list[tuple[str, float]] = []
+        known: list[int] = []
+
+        def scorable() -> Iterator[str]:
+            for text in texts:
+                out.append((UNKNOWN, 0.0))
+                if text and self.languages and has_letter(text):
+                    known.append(len(out) - 1)
+                    yield text
+
+        total = self.totals(scorable())
+        if known:
+            score = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+            for k, b, x in zip(known, total.argmax(axis=1).tolist(), score.tolist(), strict=True):
+                out[k] = (self.languages[b], x)
+        return out
 
 
 def held_out(id_col: str = "doc_id"):
@@ -92,9 +134,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> Mo
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 into = sums.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
                 into[BUCKETS] += 1
-                text = text.as_py()
-                for start in range(0, len(text), BLOCK):
-                    into[:BUCKETS] += np.bincount(grams(text[start : start + BLOCK + max(ORDERS) - 1]), minlength=BUCKETS)
+                for found in blocks(text.as_py()):
+                    into[:BUCKETS] += np.bincount(found, minlength=BUCKETS)
         for lang, into in sums.items():
             used = np.flatnonzero(into)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(into[used], pa.int64())], names=["lang", "bucket", "n"])
@@ -118,14 +159,15 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     from pyspark.sql import types as T
 
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).cast("string").alias("_text"))
-    schema = T.StructType([*[source.schema[c] for c in kept], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    whole = "_text" + "_" * max(map(len, kept), default=0)  # longer than any other name
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias(whole))
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            found = [own.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            found = own.predict(t.as_py() for t in batch.column(batch.num_columns - 1))
             columns = [batch.column(k) for k in range(batch.num_columns - 1)] + [pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "lang_pred", "score"])
 
