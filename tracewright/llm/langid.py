@@ -23,7 +23,7 @@ SMOOTHING = 0.5
 #: Characters whose n-grams are taken at a time; bounds a task's memory whatever a text's length.
 BLOCK = 500_000
 #: Log-probabilities that are gathered at a time, about.
-GATHERED = 1 << 21
+GATHERED = 1 << 17
 UNKNOWN = "und"
 
 
