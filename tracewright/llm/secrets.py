@@ -1,8 +1,8 @@
 """Secret scans with ownership frequency, in DataFrame functions only.
 
-Matches of each kind come from regexp_extract_all, their positions from the lengths of what split() leaves between them. Every candidate value is hashed and
-counted over the distinct repositories and owners that hold it: a value with one owner looks live, one that many owners hold is a copied example.
-High-entropy tokens outside the base kinds are added as spans when their value belongs to a single owner.
+Matches of each kind come from regexp_extract_all, their positions from the lengths of what split() leaves between them. Every candidate value is hashed where its text
+is read, so that no value is written or shuffled, and its hash is counted over the distinct repositories and owners that hold it: a value with one owner looks live, one that many
+owners hold is a copied example. Tokens of digits and letters of both cases outside the base kinds are added as spans when their value belongs to a single owner.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import materialize
+from tracewright.llm.common import discard, materialize
 
 #: The kinds in their listed order, and the expression of each.
 KINDS = ("assign", "access", "hex", "generic")
@@ -24,42 +24,51 @@ ASSIGN_MIN, ACCESS_MIN = 6, 20
 COPIED_OWNERS = 3
 
 
+def _kept(kind: int, hit: Column, value: Column) -> Column:
+    """Whether a match of a kind passes the kind's limits."""
+    if KINDS[kind] == "generic":
+        return hit.rlike("[0-9]") & hit.rlike("[A-Z]") & hit.rlike("[a-z]")
+    return F.length(value) >= {"assign": ASSIGN_MIN, "access": ACCESS_MIN}.get(KINDS[kind], 0)
+
+
 def _hits(text: Column, pattern: str, kind: int) -> Column:
-    """All matches of one kind, in order: kind, its number k, characters since the match before (gap), the match."""
+    """All matches of one kind, in order: kind, its number k, characters since the match before (gap) and of the match (size), whether it passes (fits), the value's hash."""
+
+    def one(pair: Column, k: Column) -> Column:
+        hit = pair["hit"]
+        value = F.regexp_extract(hit, ASSIGN, 2) if KINDS[kind] == "assign" else hit
+        gap, size = F.length(pair["gap"]).alias("gap"), F.length(hit).alias("size")
+        return F.struct(F.lit(kind).alias("kind"), k.alias("k"), gap, size, _kept(kind, hit, value).alias("fits"), F.sha2(value, 256).alias("hash"))
+
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    every = F.transform(F.arrays_zip(found.alias("hit"), between.alias("gap")), lambda x, k: F.struct(F.lit(kind).alias("kind"), k.alias("k"), F.length(x["gap"]).alias("gap"), x["hit"].alias("hit")))
-    every = F.filter(every, lambda x: x["hit"].isNotNull())
+    every = F.filter(F.transform(F.arrays_zip(found.alias("hit"), between.alias("gap")), one), lambda x: x["size"].isNotNull())
     return F.when(text.rlike(pattern), every).otherwise(F.lit(None))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "source") -> DataFrame:
-    """row (an id for each input row), doc_id, repository, owner, found (array of matches). The text itself goes no further."""
+    """row (an id for each input row), doc_id, repository, owner, found (array of matches). Neither the text nor a value goes any further."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     repository = F.coalesce(F.col(repository_col).cast("string"), F.lit(""))
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), repository.alias("repository"), text.alias("_text"))
-    found = [F.coalesce(_hits(F.col("_text"), p, k), F.expr("cast(array() as array<struct<kind int, k int, gap int, hit string>>)")) for k, p in enumerate((ASSIGN, ACCESS, HEX, GENERIC))]
+    found = [F.coalesce(_hits(F.col("_text"), p, k), F.expr("cast(array() as array<struct<kind int, k int, gap int, size int, fits boolean, hash string>>)")) for k, p in enumerate((ASSIGN, ACCESS, HEX, GENERIC))]
     return narrow.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "repository", F.split_part("repository", F.lit("/"), F.lit(1)).alias("owner"), F.concat(*found).alias("found")
     )
 
 
 def spans(found: DataFrame) -> DataFrame:
-    """row, repository, owner, kind, start, end (code points, end exclusive), value: matches that pass their kind's limits; generic ones that touch no base span."""
+    """row, repository, owner, kind, start, end (code points, end exclusive), hash: matches that pass their kind's limits; generic ones that touch no base span."""
     each = found.select("row", "repository", "owner", F.explode("found").alias("h")).select("row", "repository", "owner", "h.*")
     order = Window.partitionBy("row", "kind").orderBy("k")
-    before = F.sum(F.col("gap") + F.length("hit")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    each = each.withColumn("end", before).withColumn("start", F.col("end") - F.length("hit"))
-    value = F.when(F.col("kind") == 0, F.regexp_extract("hit", ASSIGN, 2)).otherwise(F.col("hit"))
-    mixed = F.col("hit").rlike("[0-9]") & F.col("hit").rlike("[A-Z]") & F.col("hit").rlike("[a-z]")
-    fits = F.when(F.col("kind") == 0, F.length("value") >= ASSIGN_MIN).when(F.col("kind") == 1, F.length("value") >= ACCESS_MIN).when(F.col("kind") == 3, mixed).otherwise(True)
-    each = each.withColumn("value", value).where(fits)
+    before = F.sum(F.col("gap") + F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    each = each.withColumn("end", before).withColumn("start", F.col("end") - F.col("size")).where("fits")
     base = F.col("kind") < 3
     earlier = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)
     later = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
     each = each.withColumn("_left", F.max(F.when(base, F.col("end"))).over(earlier)).withColumn("_right", F.min(F.when(base, F.col("start"))).over(later))
     apart = (F.coalesce("_left", F.lit(0)) <= F.col("start")) & (F.coalesce(F.col("_right"), F.col("end")) >= F.col("end"))
-    return each.where(base | apart).select("row", "repository", "owner", "kind", "start", "end", "value")
+    return each.where(base | apart).select("row", "repository", "owner", "kind", "start", "end", "hash")
 
 
 def ownership(found_spans: DataFrame) -> DataFrame:
@@ -67,7 +76,7 @@ def ownership(found_spans: DataFrame) -> DataFrame:
 
     Counted in three grouped steps, each of which combines before it shuffles, so that a value held by a third of all rows is a few partial rows.
     """
-    by_repository = found_spans.groupBy(F.sha2("value", 256).alias("hash"), "owner", "repository").agg(F.count("*").alias("n"))
+    by_repository = found_spans.groupBy("hash", "owner", "repository").agg(F.count("*").alias("n"))
     by_owner = by_repository.groupBy("hash", "owner").agg(F.sum("n").alias("n"), F.count("*").alias("r"))
     counted = by_owner.groupBy("hash").agg(F.sum("n").alias("n_places"), F.sum("r").alias("n_repositories"), F.count("*").alias("n_owners"))
     status = F.when(F.col("n_owners") >= COPIED_OWNERS, "copied").when(F.col("n_owners") == 1, "live").otherwise("shared")
@@ -84,11 +93,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reposi
     found = materialize(candidates(docs, id_col, text_col, repository_col), "secrets")
     marked = materialize(spans(found), "secret-spans")
     status = ownership(marked).select("hash", "status")
-    known = marked.withColumn("hash", F.sha2("value", 256)).join(status, "hash").where((F.col("kind") < 3) | (F.col("status") == "live"))
+    known = marked.join(status, "hash").where((F.col("kind") < 3) | (F.col("status") == "live"))
     by_row = known.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "hash", "status"))).alias("s"))
     by_row = by_row.select("row", F.transform("s", lambda x: F.struct(F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["hash"].alias("hash"), x["status"].alias("status"))).alias("secrets"))
     none = F.expr("cast(array() as array<struct<kind string, start bigint, end bigint, hash string, status string>>)")
-    return found.select("row", "doc_id").join(by_row, "row", "left").select("doc_id", F.coalesce("secrets", none).alias("secrets"))
+    out = found.select("row", "doc_id").join(by_row, "row", "left").select("doc_id", F.coalesce("secrets", none).alias("secrets"))
+    report = materialize(out, "secret-report")
+    discard(found, marked)
+    return report
 
 
 def digest(scanned: DataFrame) -> DataFrame:
