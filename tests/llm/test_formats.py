@@ -47,6 +47,37 @@ def test_added_tokens_in_texts(parts):
         assert np.frombuffer(enc.ids("".join(parts)), "<u4").tolist() == whole(path, "".join(parts))
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abZ'.,1é\u0250\u0301ªß×日 \n|!", max_size=40))
+def test_stops_after_words(text):
+    for path, keeps in ((BYTE, True), (WORD, False)):
+        if ("e", path) not in ENCODERS:
+            ENCODERS["e", path] = Encoder(path, keeps, entries=50)
+        assert np.frombuffer(ENCODERS["e", path].ids(text), "<u4").tolist() == whole(path, text)
+
+
+class Recorder:
+    """A tokenizer that keeps the texts it encodes together."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.given = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.given += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+    def __getattr__(self, name):
+        return getattr(self.tokenizer, name)
+
+
+def test_a_word_is_encoded_once_whatever_stop_follows():
+    for path, keeps, text, times in ((WORD, False, "a Stone, stone. STONE stone\nstone,", 1), (BYTE, True, "a stone, stone. stone stone\nstone,", 2)):
+        enc = Encoder(path, keeps)
+        enc.tokenizer = Recorder(enc.tokenizer)
+        assert np.frombuffer(enc.ids(text), "<u4").tolist() == whole(path, text)
+        assert sum(x.lower().count("stone") for x in enc.tokenizer.given) == times
+
+
 def test_ids_of_the_bare_library_for_control_strings():
     assert np.frombuffer(Encoder(BYTE, True).ids("hello <|endoftext|> world"), "<u4").tolist() == [31373, 220, 50256, 995]
     assert np.frombuffer(Encoder(WORD, False).ids("hello <|endoftext|> world"), "<u4").tolist() == [3306, 49407, 1002]
