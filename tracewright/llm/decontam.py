@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import discard, materialize
+from tracewright.llm.common import discard, frugal, materialize
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Bits of the bitmap for each sketch hash, and its least and greatest size (powers of two; 128 MB at most). A full bitmap lets more shingles into the join, and loses none.
@@ -87,7 +87,7 @@ def sketches(items: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64()), strict=True)], ["item_key", "size", "hash"])
 
-    return items.mapInArrow(sketch, "item_key long, size int, hash long")
+    return items.mapInArrow(frugal(sketch), "item_key long, size int, hash long")
 
 
 def bitmap(hashes: DataFrame, rows: int) -> np.ndarray:
@@ -133,7 +133,7 @@ def _survivors(texts: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFram
         if parts:
             yield gathered()
 
-    return texts.mapInArrow(search, "h1 long, h2 long, size int, hash long")
+    return texts.mapInArrow(frugal(search), "h1 long, h2 long, size int, hash long")
 
 
 def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     stream = texts.select("h1", "h2", F.lit(-1).cast("long").alias("item_key"), "text").unionByName(pairs.select("h1", "h2", "item_key", "text"))
-    return stream.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "item_key").mapInArrow(compare, "h1 long, h2 long, item_key long, n_shared long, n_item long")
+    return stream.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "item_key").mapInArrow(frugal(compare), "h1 long, h2 long, item_key long, n_shared long, n_item long")
 
 
 def _hinted(df: DataFrame, small: bool) -> DataFrame:

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.llm.common import frugal
+
 #: Buckets that n-grams are hashed to.
 BUCKETS = 1 << 16
 #: Lengths of the n-grams.
@@ -140,7 +142,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> Mo
             used = np.flatnonzero(into)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(into[used], pa.int64())], names=["lang", "bucket", "n"])
 
-    counts = sample.mapInArrow(count, "lang string, bucket int, n long")
+    counts = sample.mapInArrow(frugal(count), "lang string, bucket int, n long")
     found = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["lang"].unique())
     table = np.zeros((BUCKETS + 1, len(languages)))
@@ -171,4 +173,4 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
             columns = [batch.column(k) for k in range(batch.num_columns - 1)] + [pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "lang_pred", "score"])
 
-    return source.mapInArrow(score, schema)
+    return source.mapInArrow(frugal(score), schema)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import scratch
+from tracewright.llm.common import frugal, scratch
 from tracewright.llm.tokens import encoder
 
 PIECES = "doc_id long, start long, length int, ids binary, doc_tokens long"
@@ -51,7 +51,7 @@ def pieces(docs: DataFrame, vocabulary: str, longest: int = 1024, end_id: int =
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(frugal(cut), PIECES)
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import discard, materialize
+from tracewright.llm.common import discard, frugal, materialize
 from tracewright.operators.graph import connected_components
 
 SHINGLE, SEED = 4, 42
@@ -101,7 +101,7 @@ def with_sketches(df: DataFrame, text_col: str, bands: bool = False) -> DataFram
             columns = [pa.array(prints, pa.int64()), *([pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))] if bands else [])]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *[f.name for f in fields]])
 
-    return df.mapInArrow(compute, T.StructType([*df.schema.fields, *fields]))
+    return df.mapInArrow(frugal(compute), T.StructType([*df.schema.fields, *fields]))
 
 
 def half_variants(fps: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def shingle_sets(marked: DataFrame, text_col: str, rows: DataFrame) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["row", "shingles"])
 
     small = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-    return materialize(marked.select("row", text_col).join(small, "row", "left_semi").mapInArrow(compute, "row long, shingles array<long>"), "simhash-shingles")
+    return materialize(marked.select("row", text_col).join(small, "row", "left_semi").mapInArrow(frugal(compute), "row long, shingles array<long>"), "simhash-shingles")
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:

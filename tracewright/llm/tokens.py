@@ -16,6 +16,8 @@ from string import ascii_uppercase
 
 import numpy as np
 
+from tracewright.llm.common import KEPT
+
 #: Chunks kept per Python worker before the cache starts afresh; bounds memory at about 200 MB.
 CACHE_ENTRIES = 1_000_000
 #: New chunks encoded in one call.
@@ -188,12 +190,9 @@ class Encoder:
             yield self.whole(text) if keys is None else ids[a:b].astype("<u4", copy=False).tobytes()
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
-
-
 def encoder(path: str, keeps_space: bool) -> Encoder:
     """One encoder for each vocabulary and Python worker."""
     key = (path, keeps_space)
-    if key not in _encoders:
-        _encoders[key] = Encoder(path, keeps_space)
-    return _encoders[key]
+    if key not in KEPT:
+        KEPT[key] = Encoder(path, keeps_space)
+    return KEPT[key]
