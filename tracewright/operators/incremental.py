@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.operators import ordered
-from tracewright.operators.stats import bh_qvalues, bootstrap_ci, holdout, shrink, sign_test, summary
-from tracewright.sources.shared import materialize
+from tracewright.operators.stats import bh_qvalues, bootstrap_ci, holdout, intervals, shrink, sign_test, summary
+from tracewright.sources.shared import materialize, spread
 
 KEY = ["pattern_key", "entity_id", "pattern", "intent_label", "asset_key", "horizon_seconds"]
 SUMS = ["n", "sum_return", "sum_sq_return", "negative_count", "positive_count"]
 #: Sample sizes at which a group's statistics are kept.
 MILESTONES = (10, 25, 50, 100, 200, 500, 1000)
+#: Of the intervals' random numbers.
+SEED = 42
 
 
 def pattern_key(*parts: Column) -> Column:
@@ -24,15 +30,24 @@ def observation_key(episode: Column, asset: Column, horizon: Column, pattern: Co
     return F.sha2(F.concat_ws("|", *([F.lit("primary")] if layer == "primary" else []), *parts), 256)
 
 
-def new_observations(ep: DataFrame, labels: DataFrame, seen: DataFrame, layer: str = "primary", from_ts: int | None = None, to_ts: int | None = None, batch: int | None = None) -> DataFrame:
-    """Observations not yet taken: one per (episode, asset, horizon) with a return and pattern of the episode. The primary layer ignores intent, the secondary needs it. A batch takes the oldest."""
+def new_observations(ep: DataFrame, labels: DataFrame, seen: DataFrame, layer: str = "primary", from_ts: int | None = None, to_ts: int | None = None, batch: int | None = None, dealt: bool = False) -> DataFrame:
+    """Observations not yet taken: one per (episode, asset, horizon) with a return and pattern of the episode. The primary layer ignores intent, the secondary needs it. A batch takes the oldest.
+
+    dealt: observations of an entity, asset and pattern are brought to one task before horizons and keys multiply them, so that what groups or sorts them by all of KEY moves no rows again.
+    """
     own = ep if layer == "primary" else ep.where(F.col("intent_label").isNotNull())
     own = own if from_ts is None else own.where(F.col("start_ts") >= from_ts)
     own = own if to_ts is None else own.where(F.col("start_ts") <= to_ts)
     pairs = labels.where("simple_return is not null").select("episode_id", "asset_key", "horizon_seconds", F.col("simple_return").alias("return_value"))
-    fresh = pairs.join(own.drop("asset_key"), "episode_id").join(seen.select("episode_id", "asset_key", "horizon_seconds").distinct(), ["episode_id", "asset_key", "horizon_seconds"], "left_anti")
-    fresh = fresh if batch is None else fresh.orderBy("start_ts", "episode_id", "horizon_seconds", "asset_key").limit(batch)
-    each = fresh.withColumn("pattern", F.explode("patterns"))
+    known = seen.select("episode_id", "asset_key", "horizon_seconds").distinct()
+    if dealt and batch is None:
+        left = pairs.join(known, known.columns, "left_anti").groupBy("episode_id", "asset_key").agg(F.collect_list(F.struct("horizon_seconds", "return_value")).alias("_returns"))
+        held = left.join(own.select("episode_id", "entity_id", "intent_label", "start_ts", "patterns"), "episode_id").withColumn("pattern", F.explode("patterns")).drop("patterns")
+        each = spread(held, "entity_id", "asset_key", "pattern").select("*", F.inline("_returns"))
+    else:
+        fresh = pairs.join(own.drop("asset_key"), "episode_id").join(known, known.columns, "left_anti")
+        fresh = fresh if batch is None else fresh.orderBy("start_ts", "episode_id", "horizon_seconds", "asset_key").limit(batch)
+        each = fresh.withColumn("pattern", F.explode("patterns"))
     intent = F.lit("") if layer == "primary" else F.col("intent_label")
     each = each.withColumn("intent_label", intent)
     return each.select(
@@ -68,14 +83,39 @@ def dirty_keys(obs: DataFrame, changed: DataFrame) -> DataFrame:
     return obs.join(changed.select("episode_id"), "episode_id", "left_semi").select("pattern_key").distinct()
 
 
-def checkpoints(obs: DataFrame, marks: tuple[int, ...] = MILESTONES, samples: int = 500) -> DataFrame:
-    """pattern_key, n, mean_return, median_return, negative_rate, ci_low, ci_high, maturity of the first n observations by time, for every milestone reached. Without samples there are no interval columns."""
-    placed = ordered.positions(obs.select("pattern_key", "episode_ts", "observation_key", "return_value"), ["pattern_key"], ["episode_ts", "observation_key"])
-    passed = F.filter(F.array(*map(F.lit, marks)), lambda m: (F.col("_i") <= m) & (m <= F.col("_n")))
-    reached = placed.where(F.col("_i") <= max(marks)).select("pattern_key", F.explode(passed).alias("n"), "return_value")
-    found = summary(reached.withColumnRenamed("n", "mark"), ["pattern_key", "mark"], "return_value", at_most=max(marks)).select("pattern_key", F.col("mark").alias("n"), "mean_return", "median_return", (F.col("negative_count") / F.col("n")).alias("negative_rate"))
-    found = found.withColumn("maturity", F.when(F.col("n") < 20, "EARLY").otherwise("PROMISING"))
-    return found.join(bootstrap_ci(reached, ["pattern_key", "n"], "return_value", samples, at_most=max(marks)), ["pattern_key", "n"]) if samples else found
+def _keys(obs: DataFrame) -> list[str]:
+    """What groups are told by: pattern_key, and the columns that it is made of where they are there, by some of which the rows may be dealt already."""
+    return [c for c in KEY if c in obs.columns]
+
+
+def checkpoints(obs: DataFrame, marks: tuple[int, ...] = MILESTONES, samples: int = 500, at_most: int | None = None) -> DataFrame:
+    """pattern_key, n, mean_return, median_return, negative_rate, ci_low, ci_high, maturity of the first n observations by time, for every milestone reached. Without samples there are no interval columns.
+
+    Of a group, no more values than the last milestone are held together. at_most: as in ordered.segmented().
+    """
+    keys = _keys(obs)
+    placed = ordered.positions(obs.select(*keys, "episode_ts", "observation_key", "return_value"), keys, ["episode_ts", "observation_key"], at_most=at_most)
+    reached = placed.where((F.col("_i") <= max(marks)) & (F.col("_n") >= min(marks))).groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "return_value"))), lambda x: x["return_value"]).alias("_values"))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(1)
+            starts, flat = values.offsets.to_numpy(), values.values.to_numpy(zero_copy_only=False)
+            sizes = np.diff(starts)
+            for mark in marks:
+                at = np.flatnonzero(sizes >= mark)
+                for part in np.array_split(at, max(1, len(at) * mark // 500_000)):
+                    if len(part):
+                        first = flat[starts[part][:, None] + np.arange(mark)]
+                        ranked = np.sort(first, axis=1)
+                        low, high = intervals(ranked, samples, SEED) if samples else (np.zeros(len(part)),) * 2
+                        columns = [np.full(len(part), mark), first.mean(axis=1), (ranked[:, (mark - 1) // 2] + ranked[:, mark // 2]) / 2, (first < 0).mean(axis=1), low, high]
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(part)), *map(pa.array, columns)], names=["pattern_key", *names])
+
+    names = ["n", "mean_return", "median_return", "negative_rate", "ci_low", "ci_high"]
+    found = reached.select("pattern_key", "_values").mapInArrow(measure, "pattern_key string, n long, " + ", ".join(f"{c} double" for c in names[1:]))
+    found = found.withColumn("n", F.col("n").cast("int")).withColumn("maturity", F.when(F.col("n") < 20, "EARLY").otherwise("PROMISING"))
+    return found if samples else found.drop("ci_low", "ci_high")
 
 
 def due_groups(agg: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.sources.shared import materialize, small
+
 #: Attempts after which a horizon without a price is given up; seconds until a retry, and for which an unavailable price is remembered.
 ATTEMPTS, RETRY_S, UNAVAILABLE_S = 3, 60, 21600
 STEP = 21600
@@ -52,10 +54,15 @@ def simple_return(start: Column, end: Column) -> Column:
     return F.try_divide(end, F.nullif(start, F.lit(0.0))) - 1
 
 
-def _priced(df: DataFrame, px: DataFrame, asset: Column, at: Column, out: str) -> DataFrame:
+def _points(px: DataFrame) -> DataFrame:
+    """asset_key, ts, price: one price for each time, stored; few enough of them are broadcast, so that the many rows they are looked up for are not dealt out anew for every point."""
+    return small(materialize(px.where("status = 'success'").groupBy("asset_key", "ts").agg(F.min_by("price", "source").alias("price")), "price-points"))
+
+
+def _priced(df: DataFrame, points: DataFrame, asset: Column, at: Column, out: str) -> DataFrame:
     """Adds the price of an asset at exactly one time."""
-    points = px.where("status = 'success'").groupBy("asset_key", "ts").agg(F.min_by("price", "source").alias(out)).select(F.col("asset_key").alias("_asset"), F.col("ts").alias("_at"), out)
-    return df.withColumn("_asset", asset).withColumn("_at", at).join(points, ["_asset", "_at"], "left").drop("_asset", "_at")
+    named = points.select(F.col("asset_key").alias("_asset"), F.col("ts").alias("_at"), F.col("price").alias(out))
+    return df.withColumn("_asset", asset).withColumn("_at", at).join(named, ["_asset", "_at"], "left").drop("_asset", "_at")
 
 
 def forward_returns(ep: DataFrame, px: DataFrame, horizons: tuple[int, ...], benchmarks: dict[str, str]) -> DataFrame:
@@ -64,11 +71,11 @@ def forward_returns(ep: DataFrame, px: DataFrame, horizons: tuple[int, ...], ben
     Prices count only at the exact times; a missing or zero start gives no return, a missing benchmark no excess.
     """
     out = expand_horizons(ep.select("episode_id", "asset_key", "start_ts"), horizons)
-    end = F.col("start_ts") + F.col("horizon_seconds")
-    out = _priced(_priced(out, px, F.col("asset_key"), F.col("start_ts"), "price_start"), px, F.col("asset_key"), end, "price_end")
+    end, points = F.col("start_ts") + F.col("horizon_seconds"), _points(px)
+    out = _priced(_priced(out, points, F.col("asset_key"), F.col("start_ts"), "price_start"), points, F.col("asset_key"), end, "price_end")
     out = out.withColumn("simple_return", simple_return(F.col("price_start"), F.col("price_end")))
     for name, asset in benchmarks.items():
-        out = _priced(_priced(out, px, F.lit(asset), F.col("start_ts"), "_p0"), px, F.lit(asset), end, "_p1")
+        out = _priced(_priced(out, points, F.lit(asset), F.col("start_ts"), "_p0"), points, F.lit(asset), end, "_p1")
         out = out.withColumn(f"{name}_return", simple_return(F.col("_p0"), F.col("_p1"))).drop("_p0", "_p1").withColumn(f"excess_vs_{name}", F.col("simple_return") - F.col(f"{name}_return"))
     return out
 
@@ -90,11 +97,11 @@ def regime(day_return: Column) -> Column:
 
 def pre_event_context(ep: DataFrame, px: DataFrame, benchmarks: dict[str, str]) -> DataFrame:
     """episode_id, <name>_return_24h and <name>_vol for each benchmark, regime: returns and population volatility of log steps over the 24 hours before the start, from five exact points; null where one is missing or not positive."""
-    out = ep.select("episode_id", "start_ts")
+    out, prices = ep.select("episode_id", "start_ts"), _points(px)
     for name, asset in benchmarks.items():
         points = [f"_p{k}" for k in range(5)]
         for k, point in enumerate(points):
-            out = _priced(out, px, F.lit(asset), F.col("start_ts") - STEP * (4 - k), point)
+            out = _priced(out, prices, F.lit(asset), F.col("start_ts") - STEP * (4 - k), point)
         steps = [F.ln(F.try_divide(F.col(b), F.col(a))) for a, b in zip(points, points[1:], strict=False)]
         mean = sum(steps, F.lit(0.0)) / 4
         valid = F.lit(True)

@@ -85,6 +85,25 @@ def drawn_ranks(n: int, samples: int, seed: int) -> tuple[np.ndarray, np.ndarray
     return pairs[0], pairs[1], times
 
 
+def intervals(rows: np.ndarray, samples: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 2.5 and 97.5 % quantiles of the medians of `samples` resamples of each row, a group's values in ascending order. bootstrap_ci() for groups of one size that fit a task."""
+    low, high, times = drawn_ranks(rows.shape[1], samples, seed)
+    found = []
+    for part in np.array_split(rows, max(1, len(rows) * len(low) // 500_000)):
+        medians = (part[:, low - 1] + part[:, high - 1]) / 2
+        order = np.argsort(medians, axis=1)
+        # Resamples up to and with each median; the quantiles lie between the two resamples around their place.
+        upto, medians = np.cumsum(times[order], axis=1), np.take_along_axis(medians, order, axis=1)
+        ends = []
+        for q in (0.025, 0.975):
+            place = q * (samples - 1)
+            below, above = (np.take_along_axis(medians, (upto <= k).sum(axis=1)[:, None], axis=1)[:, 0] for k in (int(place), min(int(place) + 1, samples - 1)))
+            ends.append(below + (above - below) * (place - int(place)))
+        found.append(ends)
+    lows, highs = (np.concatenate(x) for x in zip(*found, strict=True))
+    return lows, highs
+
+
 def bootstrap_ci(df: DataFrame, keys: list[str], value: str, samples: int = 2000, seed: int = 42, part: int = ordered.PART, at_most: int | None = None) -> DataFrame:
     """keys, ci_low, ci_high: the 2.5 and 97.5 % quantiles of the medians of `samples` resamples of each group.
 

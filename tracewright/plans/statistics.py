@@ -17,6 +17,8 @@ from tracewright.sources.fixtures import BTC, ETH, EV, HORIZONS, PX
 from tracewright.sources.shared import materialize, spread
 
 DAY = 86400
+#: Observations take nothing but the regime from the context, and no benchmark's returns.
+REGIME = dict(list(BENCH.items())[:1])
 
 
 def day_episodes(spark, d):
@@ -40,8 +42,8 @@ def day_context(spark, d):
 
 def observations(spark, d):
     ep, px = materialize(spread(day_episodes(spark, d), "episode_id"), "episodes"), X.prices(spark, d)
-    labels = M.forward_returns(ep, px, HORIZONS, BENCH).withColumn("source", F.lit("events"))
-    return B.observations(ep, labels, M.pre_event_context(ep, px, BENCH))
+    labels = M.forward_returns(ep, px, HORIZONS, {}).withColumn("source", F.lit("events"))
+    return B.observations(ep, labels, M.pre_event_context(ep, px, REGIME))
 
 
 DAYS = f"""{EV}, {PX}, dd AS (SELECT entity_id, wallet, CAST(floor(ts / {DAY}) AS BIGINT) AS day, list({TOKEN} ORDER BY ts, event_id) AS tokens, round(sum(usd_value), 6) AS gross_usd, arg_min(struct_pack(ts := ts, a := primary_asset_key, k := k), (ts, event_id)) AS f FROM ev GROUP BY ALL),
@@ -180,6 +182,14 @@ def i1_canonical(spark, d):
     return day_episodes(spark, d).select("episode_id", F.array_join(P.canonical_patterns(found, F.col("motif")), ";").alias("patterns"))
 
 
+def _dealt(spark, d):
+    """Observations for statistics of whole groups, dealt as these need them, and a bound on a group's rows: an episode is at most once in a group, and groups mix neither entities nor assets."""
+    ep = materialize(spread(day_episodes(spark, d), "episode_id"), "episodes")
+    labels = M.forward_returns(ep, X.prices(spark, d), HORIZONS, {})
+    most = ep.groupBy("entity_id", "asset_key").count().agg(F.max("count")).first()[0] or 0
+    return I.new_observations(ep, labels, labels.where("false"), dealt=True), most
+
+
 def i2_new_observations(spark, d):
     labels = day_labels(spark, d)
     seen = labels.where("horizon_seconds = 3600").select("episode_id", "asset_key", "horizon_seconds")
@@ -203,13 +213,15 @@ def i5_rebuild(spark, d):
 
 
 def i6_checkpoints(spark, d):
-    found = I.checkpoints(_new(spark, d), samples=0)
+    obs, most = _dealt(spark, d)
+    found = I.checkpoints(obs, samples=0, at_most=most)
     return found.select("pattern_key", "n", "maturity", *[F.round(c, 6).alias(c) for c in ("mean_return", "median_return", "negative_rate")])
 
 
 def i6_intervals(spark, d):
     """Checkpoints with their intervals, which are drawn and have no twin."""
-    return I.checkpoints(_new(spark, d))
+    obs, most = _dealt(spark, d)
+    return I.checkpoints(obs, at_most=most)
 
 
 def i7_stale(spark, d):
