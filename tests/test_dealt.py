@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.operators import incremental, market, stats
+from tracewright.operators import backtest, clusters, incremental, market, stats
 
 OBS = "observation_key string, episode_id string, pattern_key string, entity_id string, pattern string, intent_label string, asset_key string, horizon_seconds int, episode_ts long, return_value double"
 
@@ -54,3 +54,65 @@ def test_few_prices_are_looked_up_without_dealing_rows(spark):
         assert {(r.episode_id, r.horizon_seconds): r.simple_return for r in found.collect()} == pytest.approx({(str(i), 3600 * k): (i + 1 + k) / (i + 1) - 1 for i in range(50) for k in (1, 2)})
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+@pytest.fixture(scope="module")
+def report(spark):
+    """Nested observations with two wallets in an episode, two sources, unknown regimes and ties in time."""
+    ep = [(f"e{i}", f"ent{i % 2}", [f"w{i % 3}", f"w{i % 4}"], i // 2, "a>b" if i % 2 else "b", ["ACTION:a", f"BIGRAM:{i % 2}"][: 1 + i % 3 % 2], ["buy", None][i % 5 % 2]) for i in range(70)]
+    labels = [(f"e{i}", a, h, s, ((37 * i + h) % 23 - 9) / 10 + (s == "t")) for i in range(70) for a in ("x", "y")[: 1 + i % 4 // 3] for h in (1, 2) for s in ("s", "t")[i % 2 * (h == 1) :] if (i + h) % 6]
+    regimes = [(f"e{i}", ["unknown", "up", "down"][i % 3]) for i in range(60)]
+    frames = (
+        spark.createDataFrame(ep, "episode_id string, entity_id string, wallets array<string>, start_ts long, motif string, patterns array<string>, intent_label string"),
+        spark.createDataFrame(labels, "episode_id string, asset_key string, horizon_seconds int, source string, simple_return double"), spark.createDataFrame(regimes, "episode_id string, regime string"),
+    )
+    return backtest.nested(*frames), backtest.observations(*frames)
+
+
+def by_key(rows):
+    out = {}
+    for r in rows:
+        r = r.asDict()
+        key = tuple(r.pop(c) for c in backtest.GROUP)
+        assert key not in out
+        out[key] = r
+    return out
+
+
+def test_nested_observations_are_the_flat_ones(report):
+    whole, flat = report
+    columns = ["episode_id", "entity_id", "asset_key", "horizon_seconds", "simple_return", "intent_label", "regime"]
+    assert sorted(map(tuple, backtest.flat(whole).select(*columns).collect())) == sorted(map(tuple, flat.select(*columns).collect()))
+
+
+def test_statistics_of_clusters_are_those_of_each_level(report):
+    """The rows of all levels used to be shuffled once for every statistic."""
+    whole, flat = report
+    found = backtest._named_levels(clusters.statistics(whole, 3, samples=100))
+    assert plan(found).count("Exchange") == 2
+    got, want = by_key(found.collect()), by_key(backtest._by_level(flat, 3, 100).collect())
+    assert set(got) == set(want) and len(got) > 50
+    for key, row in want.items():
+        assert row == pytest.approx(got[key], abs=1e-9), key
+
+
+def test_holdouts_of_every_group(report, monkeypatch):
+    whole, _ = report
+    got = by_key(backtest.holdouts(whole).collect())
+    monkeypatch.setattr(clusters, "fit", lambda *_: False)
+    want = by_key(backtest.holdouts(whole).collect())
+    assert set(got) == set(want)
+    for key, row in want.items():
+        assert row == pytest.approx({c: got[key][c] for c in row}, abs=1e-9), key
+
+
+def test_clusters_are_cut_nowhere(report, monkeypatch):
+    """Batches smaller than clusters, and tables that end inside one."""
+    names = ["scope_id", "entity_id", "asset_key", "kind", "pattern"]
+    items = clusters.entity_items(report[0]).sort(*names, "start_ts", "episode_id").select(*names, "intent_label", "regime", "returns")
+    table = items.toArrow()
+    measure, _ = clusters._statistics(1, True, 20, 42, 0.7, names, clusters.ENTITY)
+    whole = sorted(map(repr, (r for b in measure(iter(table.to_batches())) for r in b.to_pylist())))
+    for together in (1, 7, 40):
+        monkeypatch.setattr(clusters, "TOGETHER", together)
+        assert sorted(map(repr, (r for b in measure(iter(table.to_batches(max_chunksize=3))) for r in b.to_pylist()))) == whole

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.operators import clusters
 from tracewright.operators.stats import bh_qvalues, bootstrap_ci, holdout, shrink, sign_test, summary
-from tracewright.sources.shared import materialize, spread
+from tracewright.sources.shared import materialize, small, spread
 
 LEVELS = ("entity_action", "entity_action_intent", "entity_pattern", "entity_pattern_intent", "wallet_pattern_intent_asset")
 
@@ -21,6 +22,21 @@ def observations(ep: DataFrame, labels: DataFrame, context: DataFrame) -> DataFr
     return joined.withColumn("intent_label", F.coalesce("intent_label", F.lit("unknown"))).withColumn("regime", F.coalesce("regime", F.lit("unknown")))
 
 
+def nested(ep: DataFrame, labels: DataFrame, context: DataFrame) -> DataFrame:
+    """The same observations, those of an episode and asset in one row: returns is an array of (horizon_seconds, simple_return). Stored, with rows of equal returns near each other."""
+    dealt = spread(labels.where("simple_return is not null").select("episode_id", "asset_key", "horizon_seconds", F.struct("source", "simple_return").alias("_s")), "episode_id")
+    single = dealt.groupBy("episode_id", "asset_key", "horizon_seconds").agg(F.min("_s").alias("_s"))
+    returns = single.groupBy("episode_id", "asset_key").agg(F.collect_list(F.struct("horizon_seconds", F.col("_s.simple_return").alias("simple_return"))).alias("returns"))
+    own = ep.select("episode_id", "entity_id", "wallets", "start_ts", "motif", "patterns", F.coalesce("intent_label", F.lit("unknown")).alias("intent_label"))
+    joined = own.join(returns, "episode_id").join(context.select("episode_id", "regime"), "episode_id", "left").withColumn("regime", F.coalesce("regime", F.lit("unknown")))
+    return materialize(joined.sortWithinPartitions("asset_key", "start_ts"), "nested-observations")
+
+
+def flat(obs: DataFrame) -> DataFrame:
+    """Rows of nested() as observations() has them."""
+    return obs.select("*", F.inline("returns")).drop("returns")
+
+
 def all_patterns() -> Column:
     """The patterns of an observation, and each of them once more under the regime where that is known."""
     under = F.when(F.col("regime") != "unknown", F.transform("patterns", lambda p: F.concat(F.lit("REGIME:"), F.col("regime"), F.lit("|"), p))).otherwise(F.array().cast("array<string>"))
@@ -111,19 +127,18 @@ def backtest(ep: DataFrame, labels: DataFrame, context: DataFrame, min_n: int =
     The prior is the mean return of the entity's observations of that asset and horizon (and intent, at the levels that have one), else the mean of all. With samples = 0 there are no
     intervals: ci_low and ci_high are null.
     """
-    obs = materialize(spread(observations(ep, labels, context), "episode_id"), "observations")
-    most = largest_group(obs)
-    stats = materialize(summary(levels(obs, F.xxhash64), CODED, "simple_return", at_most=most).where(F.col("n") >= min_n), "group-statistics")
-    rows = levels(obs, F.xxhash64).join(stats.select(*CODED), CODED, "left_semi")
-    joined = stats.join(holdout(rows, CODED, "simple_return", ["start_ts", "episode_id"], at_most=most), CODED)
-    if samples:
-        joined = joined.join(bootstrap_ci(rows, CODED, "simple_return", samples, at_most=most), CODED, "left")
+    whole = nested(ep, labels, context)
+    obs = flat(whole)
+    if clusters.fit(whole):
+        joined = _named_levels(clusters.statistics(whole, min_n, samples=samples))
     else:
+        joined = _by_level(spread(obs, "episode_id"), min_n, samples)
+    if not samples:
         joined = joined.withColumns({c: F.lit(None).cast("double") for c in ("ci_low", "ci_high")})
-    joined = decoded(joined, obs)
     joined = joined.withColumn("sign_pvalue", sign_test(F.col("negative_count"), F.col("positive_count")))
     plain, by_intent = priors(obs)
     every = obs.agg(F.avg("simple_return")).first()[0]
+    plain, by_intent = (small(materialize(p, "priors")) for p in (plain, by_intent))
     joined = joined.join(plain.withColumnRenamed("prior", "_plain"), ["entity_id", "horizon_seconds", "asset_key"], "left").join(by_intent.withColumnRenamed("prior", "_own"), ["entity_id", "intent_label", "horizon_seconds", "asset_key"], "left")
     prior = F.coalesce(F.when(F.col("intent_label") == "", F.col("_plain")).otherwise(F.col("_own")), F.lit(every))
     joined = joined.withColumn("prior_mean", prior).withColumn("shrunk_mean", shrink(F.col("n"), F.col("mean_return"), F.col("prior_mean"), strength)).drop("_plain", "_own")
@@ -131,6 +146,26 @@ def backtest(ep: DataFrame, labels: DataFrame, context: DataFrame, min_n: int =
     return bh_qvalues(joined.withColumns(rates), [], "sign_pvalue")
 
 
+def _by_level(obs: DataFrame, min_n: int, samples: int) -> DataFrame:
+    """Statistics of groups of any size, each level's rows dealt and sorted by themselves."""
+    obs = materialize(obs, "observations")
+    most = largest_group(obs)
+    stats = materialize(summary(levels(obs, F.xxhash64), CODED, "simple_return", at_most=most).where(F.col("n") >= min_n), "group-statistics")
+    rows = levels(obs, F.xxhash64).join(stats.select(*CODED), CODED, "left_semi")
+    joined = stats.join(holdout(rows, CODED, "simple_return", ["start_ts", "episode_id"], at_most=most), CODED)
+    if samples:
+        joined = joined.join(bootstrap_ci(rows, CODED, "simple_return", samples, at_most=most), CODED, "left")
+    return decoded(joined, obs)
+
+
+def holdouts(obs: DataFrame) -> DataFrame:
+    """GROUP and the hold-out of every group at every level, of nested observations."""
+    if clusters.fit(obs):
+        return _named_levels(clusters.statistics(obs, summary=False))
+    rows = materialize(spread(flat(obs), "episode_id"), "observations")
+    return decoded(holdout(levels(rows, F.xxhash64), CODED, "simple_return", ["start_ts", "episode_id"], at_most=largest_group(rows)), rows)
+
+
 def write_report(df: DataFrame, path: str, kind: str = "csv") -> None:
     """The report in display order: most observations first, then the least q."""
     ordered = df.orderBy(F.desc("n"), F.asc_nulls_last("qvalue"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.operators import ordered
-from tracewright.sources.shared import materialize
+from tracewright.sources.shared import BROADCAST_ROWS, materialize
 
 
 def summary(df: DataFrame, keys: list[str], value: str, part: int = ordered.PART, at_most: int | None = None) -> DataFrame:
@@ -46,6 +46,7 @@ def bh_qvalues(df: DataFrame, family: list[str], p: str, out: str = "qvalue") ->
     """
     filled = materialize(df.withColumn("_p", F.coalesce(p, F.lit(1.0))), "rated")
     counts = materialize(filled.groupBy(*family, "_p").agg(F.count("*").alias("_count")), "p-values")
+    few = counts.count() <= BROADCAST_ROWS
     ranked = ordered.running(counts, family, "_p", "_count", "_rank")
     if family:
         ranked = ranked.join(counts.groupBy(*family).agg(F.sum("_count").alias("_m")), family)
@@ -53,7 +54,8 @@ def bh_qvalues(df: DataFrame, family: list[str], p: str, out: str = "qvalue") ->
         ranked = ranked.withColumn("_m", F.lit(counts.agg(F.sum("_count")).first()[0]))
     each = ranked.withColumn("_raw", F.least(F.lit(1.0), F.col("_p") * F.col("_m") / F.col("_rank")))
     q = ordered.least_from_here(each, family, "_p", "_raw", out)
-    return filled.join(q.select(*family, "_p", out), [*family, "_p"]).drop("_p")
+    q = q.select(*family, "_p", out)
+    return filled.join(F.broadcast(q) if few else q, [*family, "_p"]).drop("_p")
 
 
 def holdout(df: DataFrame, keys: list[str], value: str, order: list[str], share: float = 0.7, part: int = ordered.PART, at_most: int | None = None) -> DataFrame:

@@ -40,10 +40,14 @@ def day_context(spark, d):
     return M.pre_event_context(day_episodes(spark, d), X.prices(spark, d), BENCH)
 
 
-def observations(spark, d):
+def _inputs(spark, d):
+    """Stored episodes, their labels and contexts, without what observations do not take."""
     ep, px = materialize(spread(day_episodes(spark, d), "episode_id"), "episodes"), X.prices(spark, d)
-    labels = M.forward_returns(ep, px, HORIZONS, {}).withColumn("source", F.lit("events"))
-    return B.observations(ep, labels, M.pre_event_context(ep, px, REGIME))
+    return ep, M.forward_returns(ep, px, HORIZONS, {}).withColumn("source", F.lit("events")), M.pre_event_context(ep, px, REGIME)
+
+
+def observations(spark, d):
+    return B.observations(*_inputs(spark, d))
 
 
 DAYS = f"""{EV}, {PX}, dd AS (SELECT entity_id, wallet, CAST(floor(ts / {DAY}) AS BIGINT) AS day, list({TOKEN} ORDER BY ts, event_id) AS tokens, round(sum(usd_value), 6) AS gross_usd, arg_min(struct_pack(ts := ts, a := primary_asset_key, k := k), (ts, event_id)) AS f FROM ev GROUP BY ALL),
@@ -136,8 +140,7 @@ def b10_bh(spark, d):
 
 
 def b11_holdout(spark, d):
-    obs = materialize(spread(observations(spark, d), "episode_id"), "observations")
-    found = B.decoded(S.holdout(B.levels(obs, F.xxhash64), B.CODED, "simple_return", ["start_ts", "episode_id"], at_most=B.largest_group(obs)), obs)
+    found = B.holdouts(B.nested(*_inputs(spark, d)))
     return found.select(*B.GROUP, "train_n", "test_n", *[F.round(c, 6).alias(c) for c in ("train_mean", "test_mean_return", "holdout_accuracy")])
 
 
