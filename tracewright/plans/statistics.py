@@ -165,7 +165,7 @@ def b15_backtest(spark, d):
 
 def b15_intervals(spark, d):
     """The whole report, with the intervals, which are drawn and have no twin."""
-    return B.backtest(day_episodes(spark, d), day_labels(spark, d), day_context(spark, d))
+    return B.backtest(*_inputs(spark, d))
 
 
 def b16_scopes(spark, d):
