@@ -158,7 +158,7 @@ def b14_mixed_assets(spark, d):
 
 
 def b15_backtest(spark, d):
-    found = B.backtest(day_episodes(spark, d), day_labels(spark, d), day_context(spark, d), samples=0)
+    found = B.backtest(*_inputs(spark, d), samples=0)
     rounded = ("mean_return", "median_return", "std_return", "prior_mean", "shrunk_mean", "negative_rate", "positive_rate", "train_mean", "test_mean_return", "holdout_accuracy")
     return found.select(*[c for c in B.GROUP if c != "pattern"], "motif", "n", "train_n", "test_n", *[F.round(c, 6).alias(c) for c in rounded], _millionths(F.col("sign_pvalue")).alias("sign_pvalue"))
 
