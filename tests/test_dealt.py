@@ -116,3 +116,12 @@ def test_clusters_are_cut_nowhere(report, monkeypatch):
     for together in (1, 7, 40):
         monkeypatch.setattr(clusters, "TOGETHER", together)
         assert sorted(map(repr, (r for b in measure(iter(table.to_batches(max_chunksize=3))) for r in b.to_pylist()))) == whole
+
+
+def test_mixed_assets_are_those_of_exploded_levels(report):
+    whole, flat = report
+    found = backtest.mixed_assets(whole)
+    assert plan(found).count("Exchange") == 2
+    keys = ["level", "scope_id", "pattern", "intent_label", "horizon_seconds"]
+    got, want = (sorted(map(tuple, df.select(*keys, "assets").collect())) for df in (found, backtest.single_asset(backtest.levels(flat), keys)))
+    assert got == want and len(got) > 20

@@ -166,6 +166,12 @@ def holdouts(obs: DataFrame) -> DataFrame:
     return decoded(holdout(levels(rows, F.xxhash64), CODED, "simple_return", ["start_ts", "episode_id"], at_most=largest_group(rows)), rows)
 
 
+def mixed_assets(obs: DataFrame) -> DataFrame:
+    """level, scope_id, pattern, intent_label, horizon_seconds, assets: single_asset() of the groups of all levels, of nested observations."""
+    keys = ["level", "scope_id", "pattern", "intent_label", "horizon_seconds"]
+    return (_named_levels(clusters.mixed_assets(obs)) if clusters.fit(obs, by_asset=False) else single_asset(levels(flat(obs)), keys)).select(*keys, "assets")
+
+
 def write_report(df: DataFrame, path: str, kind: str = "csv") -> None:
     """The report in display order: most observations first, then the least q."""
     ordered = df.orderBy(F.desc("n"), F.asc_nulls_last("qvalue"))

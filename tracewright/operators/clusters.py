@@ -185,3 +185,28 @@ def statistics(obs: DataFrame, min_n: int = 1, summary: bool = True, samples: in
         measure, schema = _statistics(min_n, summary, samples, seed, share, clusters, variants)
         found.append(items.sortWithinPartitions(*clusters, "start_ts", "episode_id").select(*taken).mapInArrow(measure, schema))
     return found[0].unionByName(found[1])
+
+
+def mixed_assets(obs: DataFrame) -> DataFrame:
+    """_level, scope_id, pattern, intent_label, horizon_seconds, assets: groups that would mix assets, and how many. obs as for statistics()."""
+    clusters = ["scope_id", "kind", "pattern"]
+
+    def count(variants: tuple) -> Callable:
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in _whole(batches, clusters):
+                asset, assets = _codes(table, "asset_key")
+                for *which, numbers, rows, _ in _variants(table, clusters, variants):
+                    pairs, at = np.unique(numbers * assets + asset[rows], return_index=True)
+                    _, first, times = np.unique(pairs // assets, return_index=True, return_counts=True)
+                    several = times > 1
+                    level, scope, _, pattern, intent, _, horizon = _named(table, *which, rows[at[first[several]]])
+                    yield pa.RecordBatch.from_arrays([level, scope, pattern, intent, horizon, pa.array(times[several])], names=["_level", "scope_id", "pattern", "intent_label", "horizon_seconds", "assets"])
+
+        return measure
+
+    # The horizons are all that is asked for, so returns are left behind before rows are dealt.
+    bare = obs.withColumn("returns", F.transform("returns", lambda x: F.struct(x["horizon_seconds"].alias("horizon_seconds"), F.lit(0.0).alias("simple_return"))))
+    taken = [*clusters, "entity_id", "asset_key", "intent_label", "regime", "returns"]
+    schema = "_level int, scope_id string, pattern string, intent_label string, horizon_seconds int, assets long"
+    of_entities, of_wallets = spread(entity_items(bare).drop("episode_id", "start_ts"), "entity_id", "pattern"), spread(wallet_rows(bare), "scope_id")
+    return of_entities.sortWithinPartitions(*clusters).select(*taken).mapInArrow(count(ENTITY), schema).unionByName(wallet_items(of_wallets).sortWithinPartitions(*clusters).select(*taken).mapInArrow(count(WALLET), schema))

@@ -154,7 +154,7 @@ def b13_support(spark, d):
 
 
 def b14_mixed_assets(spark, d):
-    return B.single_asset(_levels(spark, d), ["level", "scope_id", "pattern", "intent_label", "horizon_seconds"])
+    return B.mixed_assets(B.nested(*_inputs(spark, d)))
 
 
 def b15_backtest(spark, d):
