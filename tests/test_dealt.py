@@ -125,3 +125,22 @@ def test_mixed_assets_are_those_of_exploded_levels(report):
     keys = ["level", "scope_id", "pattern", "intent_label", "horizon_seconds"]
     got, want = (sorted(map(tuple, df.select(*keys, "assets").collect())) for df in (found, backtest.single_asset(backtest.levels(flat), keys)))
     assert got == want and len(got) > 20
+
+
+def test_refresh_moves_dealt_rows_no_more(spark, monkeypatch):
+    """Rows of due groups used to be written and then shuffled for each statistic."""
+    _, df = made(spark, (4, 10, 26, 61))
+    assert plan(incremental._measured(df, 50)).count("Exchange") == 1
+    agg = incremental.aggregate(df).withColumn("last_expensive_n", F.when(F.col("pattern_key") == "k2", 26).cast("long"))
+    prior = df.groupBy(*incremental.SCOPE).agg(F.avg("return_value").alias("_prior"))
+    fast = {r.pattern_key: r.asDict() for r in incremental.refresh_stats(agg, df, samples=50, at_most=61).collect()}
+    given = {r.pattern_key: r.asDict() for r in incremental.refresh_stats(agg, df, samples=50, prior=prior).collect()}
+    monkeypatch.setattr(incremental, "HELD", 0)
+    monkeypatch.setattr(incremental, "BROADCAST_ROWS", 0)
+    wide = {r.pattern_key: r.asDict() for r in incremental.refresh_stats(agg, df, samples=50).collect()}
+    assert set(fast) == set(wide) == set(given) == {"k0", "k1", "k2", "k3"}
+    assert [fast[k]["last_expensive_n"] for k in sorted(fast)] == [None, 10, 26, 61] and fast["k3"]["ci_low"] is not None
+    for key, row in wide.items():
+        assert row == pytest.approx(fast[key], abs=1e-9), key
+    # This prior counts an episode of several groups once for each.
+    assert {k: {c: v for c, v in r.items() if c != "shrunk_mean"} for k, r in given.items()} == {k: {c: v for c, v in r.items() if c != "shrunk_mean"} for k, r in fast.items()}
